@@ -62,3 +62,52 @@ def memlog_lines(spark: SparkSession, sf_dir: str, newest_first: bool = False) -
     if newest_first:
         df = df.withColumn("line_no", -F.col("line_no"))
     return lines_from_column(df, "line", "line_no", log_id=F.lit("memlog"))
+
+
+def money(cents):
+    """Non-negative cents as 'd.dd' text, exact in every engine."""
+    return F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), (cents % 100).cast("long"))
+
+
+def convlog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversion log lines; 50 logs (doc_id % 50), up to six lines per document.
+
+    Covers retries, exact / partial / ambiguous / unmatched scan names, failures
+    without SUCCESS and SUCCESS without CONVERTED. Sizes are whole cents.
+    """
+    docs = load_table(spark, sf_dir, "documents")
+    did = F.col("doc_id")
+    ty = F.when(did % 3 == 0, "excel").when(did % 3 == 1, "powerpoint").otherwise("word")
+    ext = F.when(did % 3 == 0, ".xlsx").when(did % 3 == 1, ".pptx").otherwise(".docx")
+    n = docs.select(did, (did % 50).alias("log_id"), ty.alias("ty"), F.col("n_chars").alias("sz_c"),
+                    ((F.col("n_chars") + 1) / 2).cast("long").alias("pdf_c"),
+                    F.concat(ty, F.lit("_input_"), did.cast("string"), ext).alias("fn"))
+    k = F.col("k")
+    n = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
+    n = n.where(~((k == 3) & (did % 4 != 0)) & ~((k == 4) & (did % 5 == 0))
+                & ~((k == 5) & ((did % 5 == 0) | (did % 7 == 0))))
+    fn, sz, pdf = F.col("fn"), money(F.col("sz_c")), money(F.col("pdf_c"))
+    scan_name = (F.when(did % 9 == 0, F.lit("other"))
+                 .when(did % 9 == 1, F.replace(fn, F.concat(F.col("ty"), F.lit("_")), F.lit("")))
+                 .when(did % 9 == 2, F.concat((did % 10).cast("string"), F.lit("."),
+                                              F.split_part(fn, F.lit("."), F.lit(2))))
+                 .otherwise(fn))
+    types = F.when(did % 4 == 0, F.lit("")).when(did % 4 == 1, F.lit("'ole'")).otherwise(F.lit("'ole', 'chart'"))
+    ts = F.concat(F.lit("[2026-01-08 10:00:0"), k.cast("string"), F.lit("] "))
+    body = (F.when(k == 0, F.concat(F.lit("[ENTRY] convert_office_to_pdf called: type="), F.col("ty"),
+                                    F.lit(", size="), sz, F.lit("MB, max_retries=2")))
+            .when(k == 1, F.concat(F.lit("[Attempt 1/2] Converting "), fn, F.lit(" ("), sz, F.lit("MB)...")))
+            .when(k == 2, F.concat(F.lit("[LINK_SCAN] file='"), scan_name, F.lit("' external_links_found="),
+                                   (did % 4).cast("string"), F.lit(" link_types=["), types, F.lit("]")))
+            .when(k == 3, F.concat(F.lit("[Attempt 2/2] Converting "), fn, F.lit(" ("), sz, F.lit("MB)...")))
+            .when(k == 4, F.concat(F.lit("[SUCCESS] "), F.col("ty"), F.lit(" conversion completed, PDF size: "),
+                                   pdf, F.lit("MB")))
+            .otherwise(F.concat(F.lit("Converted "), fn, F.lit(" to PDF ("), pdf, F.lit("MB) in "),
+                                (did % 60).cast("string"), F.lit(".00s"))))
+    return n.select(F.col("log_id").cast("string").alias("log_id"), (did * 10 + k).alias("line_no"),
+                    F.concat(ts, body).alias("line"))
+
+
+def convlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = convlog_text(spark, sf_dir)
+    return lines_from_column(df, "line", "line_no", log_id="log_id", block_size=64)

@@ -5,7 +5,7 @@ parser is checked rather than mirrored. Pairing uses a correlated MAX over
 earlier STARTs, a different formulation from the Spark carry-forward.
 """
 
-LIMIT = "2048.0"
+LIMIT = "cast(2048.0 as double)"
 
 F1_TYPED = """
 t as (select event_id line_no, date_trunc('second', ts) ts, 'job_' || cast(user_id % 20 as varchar) job,

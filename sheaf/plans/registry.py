@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from sheaf.plans import memlog_oracle, memlog_queries
+from sheaf.plans import convlog_oracle, convlog_queries, memlog_oracle, memlog_queries
 
-_DOMAINS = [(memlog_queries.QUERIES, memlog_oracle.ORACLE)]
+_DOMAINS = [
+    (memlog_queries.QUERIES, memlog_oracle.ORACLE),
+    (convlog_queries.QUERIES, convlog_oracle.ORACLE),
+]
 
 
 def all_queries() -> dict:
