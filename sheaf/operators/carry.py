@@ -40,3 +40,19 @@ def carry_last(df: DataFrame, *, keys: list[str], bucket: str, order: list[str],
     return (with_local.join(carry, on=[*keys, bucket], how="left")
             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
             .drop("_v", "_local", "_carry"))
+
+
+def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str], value: Column, out: str,
+                include_current: bool = True) -> DataFrame:
+    """Add ``out``: max of ``value`` over rows before (and, by default, at) this one
+    within ``keys``; bucketed like :func:`carry_last`."""
+    order_cols = _cols(order)
+    hi = 0 if include_current else -1
+    w = Window.partitionBy(*keys, bucket).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
+    with_local = df.withColumn("_v", value).withColumn("_local", F.max("_v").over(w))
+    tails = with_local.groupBy(*keys, bucket).agg(F.max("_v").alias("_tail"))
+    wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*keys, bucket, F.max("_tail").over(wb).alias("_carry"))
+    return (with_local.join(carry, on=[*keys, bucket], how="left")
+            .withColumn(out, F.greatest(F.col("_local"), F.col("_carry")))
+            .drop("_v", "_local", "_carry"))

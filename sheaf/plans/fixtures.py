@@ -111,3 +111,16 @@ def convlog_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def convlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = convlog_text(spark, sf_dir)
     return lines_from_column(df, "line", "line_no", log_id="log_id", block_size=64)
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one memory sample per event, one run per user; ``elapsed_s`` from the run's first sample."""
+    from sheaf.operators.leaks import epoch_seconds
+    ev = load_table(spark, sf_dir, "events")
+    t = ev.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"),
+                  F.floor(epoch_seconds(F.col("ts"))).cast("long").alias("epoch_s"),
+                  (F.col("value") * 1048576.0).alias("rss_bytes"), F.col("value").alias("rss_mb"),
+                  (F.col("value") + 300).alias("vms_mb"), (2000 - 4 * F.col("value")).alias("available_mb"),
+                  (F.col("event_id") % 100).cast("double").alias("percent"))
+    first = t.groupBy("run_id").agg(F.min("epoch_s").alias("_t0"))
+    return t.join(first, "run_id").withColumn("elapsed_s", F.col("epoch_s") - F.col("_t0")).drop("_t0")
