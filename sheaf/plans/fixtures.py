@@ -124,3 +124,31 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (F.col("event_id") % 100).cast("double").alias("percent"))
     first = t.groupBy("run_id").agg(F.min("epoch_s").alias("_t0"))
     return t.join(first, "run_id").withColumn("elapsed_s", F.col("epoch_s") - F.col("_t0")).drop("_t0")
+
+
+def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one processing record per document; mixed-case and unsupported suffixes.
+
+    Export counts per format equal ``tables_found`` except JSON, which loses one
+    table on every seventh document (so C20's maximum matters).
+    """
+    docs = load_table(spark, sf_dir, "documents")
+    labels = load_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    did = F.col("doc_id")
+    ext = F.element_at(F.array(*[F.lit(e) for e in
+                                 (".pdf", ".DOCX", ".pptx", ".xlsx", ".png", ".html", ".md", ".zip")]),
+                       (did % 8 + 1).cast("int"))
+    ok = F.coalesce(F.col("quality"), F.lit(1)) == 1
+    d = docs.join(labels, "doc_id", "left")
+    tables = F.when(ok, F.col("n_chars") % 4).otherwise(0)
+    return d.select(
+        did, F.concat(F.lit("in/"), F.col("source"), F.lit("/"), did.cast("string"), ext).alias("path"),
+        (F.col("n_chars") * 1000).alias("size_bytes"), ok.alias("ok"), tables.alias("tables_found"),
+        tables.alias("tables_csv"), tables.alias("tables_md"),
+        F.greatest(tables - F.when(did % 7 == 0, 1).otherwise(0), F.lit(0)).alias("tables_json"),
+        tables.alias("tables_html"),
+        F.when(ok, did % 3).otherwise(0).alias("images_extracted"),
+        F.when(ok, did % 5).otherwise(0).alias("page_images_extracted"),
+        (F.col("n_chars") / 100.0).alias("run_seconds"), (did % 3 + 1).cast("int").alias("attempt"),
+        F.when(ok, F.lit(None)).when(did % 2 == 0, F.lit("terminate: Out of Memory"))
+        .otherwise(F.lit("parse error")).alias("error_msg"))

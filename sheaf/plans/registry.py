@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sheaf.plans import (convlog_oracle, convlog_queries, memlog_oracle, memlog_queries, samples_oracle,
+from sheaf.plans import (convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
                          samples_queries)
 
 _DOMAINS = [
     (memlog_queries.QUERIES, memlog_oracle.ORACLE),
     (convlog_queries.QUERIES, convlog_oracle.ORACLE),
     (samples_queries.QUERIES, samples_oracle.ORACLE),
+    (documents_queries.QUERIES, documents_oracle.ORACLE),
 ]
 
 
