@@ -152,3 +152,31 @@ def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_chars") / 100.0).alias("run_seconds"), (did % 3 + 1).cast("int").alias("attempt"),
         F.when(ok, F.lit(None)).when(did % 2 == 0, F.lit("terminate: Out of Memory"))
         .otherwise(F.lit("parse error")).alias("error_msg"))
+
+
+def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """office-package members built from ``pages``; eight consecutive pages per package."""
+    pages = load_table(spark, sf_dir, "pages")
+    pid, url = F.col("page_id"), F.col("url")
+    ps = pid.cast("string")
+    member = (F.when(pid % 5 == 0, F.concat(F.lit("ppt/slides/slide"), ps, F.lit(".xml")))
+              .when(pid % 5 == 1, F.concat(F.lit("ppt/charts/chart"), ps, F.lit(".xml")))
+              .when(pid % 5 == 2, F.concat(F.lit("ppt/slides/_rels/slide"), ps, F.lit(".xml.rels")))
+              .when(pid % 5 == 3, F.concat(F.lit("ppt/media/m"), ps, F.lit(".bin")))
+              .otherwise(F.lit("docProps/app.xml")))
+    content = (F.when((pid % 5 == 0) & (pid % 3 == 0),
+                      F.concat(F.lit('<p:sld><p:oleObj id="'), ps, F.lit('">x</p:oleObj><a:t>'), url,
+                               F.lit("</a:t></p:sld>")))
+               .when(pid % 5 == 0, F.concat(F.lit("<p:sld><a:t>"), url, F.lit("</a:t></p:sld>")))
+               .when((pid % 5 == 1) & (pid % 2 == 0),
+                     F.lit('<c:chart><c:externalData r:id="r1"><c:autoUpdate val="0"/></c:externalData></c:chart>'))
+               .when(pid % 5 == 1, F.lit("<c:chart/>"))
+               .when((pid % 5 == 2) & (pid % 4 != 3),
+                     F.concat(F.lit('<Relationships><Relationship Id="r1" Target="'),
+                              F.when(pid % 4 == 0, F.lit("file:///x")).otherwise(url),
+                              F.lit('" TargetMode="External"/></Relationships>')))
+               .when(pid % 5 == 2, F.lit("<Relationships/>"))
+               .otherwise(url))
+    return pages.select(F.concat(F.lit("pkg_"), F.floor(pid / 8).cast("long").cast("string"), F.lit(".pptx")).alias("path"),
+                        pid.cast("int").alias("member_ix"), member.alias("member"), content.alias("content"),
+                        F.lit(True).alias("readable"), pid.alias("page_id"))

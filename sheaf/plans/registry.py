@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.plans import (convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
+from sheaf.plans import (packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
                          samples_queries)
 
 _DOMAINS = [
@@ -10,6 +10,7 @@ _DOMAINS = [
     (convlog_queries.QUERIES, convlog_oracle.ORACLE),
     (samples_queries.QUERIES, samples_oracle.ORACLE),
     (documents_queries.QUERIES, documents_oracle.ORACLE),
+    (packages_queries.QUERIES, packages_oracle.ORACLE),
 ]
 
 
