@@ -180,3 +180,31 @@ def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.concat(F.lit("pkg_"), F.floor(pid / 8).cast("long").cast("string"), F.lit(".pptx")).alias("path"),
                         pid.cast("int").alias("member_ix"), member.alias("member"), content.alias("content"),
                         F.lit(True).alias("readable"), pid.alias("page_id"))
+
+
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one table per brand in long form (key, name, price columns).
+
+    Row numbers per brand come from a per-brand window; the fixture stands in for a
+    table extractor's output, where row indices are given.
+    """
+    from pyspark.sql import Window
+    part = load_table(spark, sf_dir, "part")
+    rn = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    p = part.select("p_brand", "p_partkey", "p_name", "p_retailprice", rn.alias("rn"))
+    c = p.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col_ix"))
+    cell = (F.when(F.col("col_ix") == 0, F.col("p_partkey").cast("string"))
+            .when(F.col("col_ix") == 1, F.col("p_name"))
+            .otherwise(F.col("p_retailprice").cast("decimal(14,2)").cast("string")))
+    header = F.when(F.col("col_ix") == 0, "key").when(F.col("col_ix") == 1, "name").otherwise("price")
+    return c.select(F.col("p_brand").alias("table_id"), F.col("rn").cast("long").alias("row_ix"),
+                    F.col("col_ix").cast("int").alias("col_ix"), header.alias("header"), cell.alias("cell"))
+
+
+def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: task status events from ``events`` (ties on ts broken by seq)."""
+    ev = load_table(spark, sf_dir, "events")
+    st = (F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failure")
+          .when(F.col("event_type") == "signup", "pending").otherwise("started"))
+    return ev.select(F.col("user_id").alias("task_id"), F.col("ts").alias("event_ts"), F.col("event_id").alias("seq"),
+                     st.alias("task_status"), (F.col("value") * 0.002).alias("progress"))

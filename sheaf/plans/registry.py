@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.plans import (packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
+from sheaf.plans import (content_oracle, content_queries, packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
                          samples_queries)
 
 _DOMAINS = [
@@ -11,6 +11,7 @@ _DOMAINS = [
     (samples_queries.QUERIES, samples_oracle.ORACLE),
     (documents_queries.QUERIES, documents_oracle.ORACLE),
     (packages_queries.QUERIES, packages_oracle.ORACLE),
+    (content_queries.QUERIES, content_oracle.ORACLE),
 ]
 
 
