@@ -277,3 +277,15 @@ def last_monitor_before_crash(entries: DataFrame, bucket_seconds: int = 3600) ->
                       "left")
             .select(orph.job_name, "start_time", F.coalesce("monitor_samples", F.lit(0)).alias("monitor_samples"),
                     "m.last_monitor_ts", "m.elapsed", "m.current_rss_mb", "m.peak_rss_mb", "m.memory_percent"))
+
+
+def stale_runs(entries: DataFrame, now, max_age_s: float = 300, bucket_seconds: int = 3600) -> DataFrame:
+    """T5 (batch): runs still open at ``now`` that started more than ``max_age_s`` earlier.
+
+    ``now`` is a timestamp_ntz literal or column; the streaming form is
+    ``streaming.folds.stream_orphans``.
+    """
+    now_c = F.lit(now).cast("timestamp_ntz") if not isinstance(now, Column) else now
+    o = orphaned_jobs(entries, bucket_seconds)
+    age = epoch_seconds(now_c) - epoch_seconds(F.col("start_time"))
+    return o.withColumn("age_seconds", age).where(F.col("age_seconds") > max_age_s)

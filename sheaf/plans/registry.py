@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sheaf.plans import (content_oracle, content_queries, packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
+from sheaf.plans import (reports_oracle, reports_queries, content_oracle, content_queries, packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
                          samples_queries)
 
 _DOMAINS = [
@@ -12,6 +12,7 @@ _DOMAINS = [
     (documents_queries.QUERIES, documents_oracle.ORACLE),
     (packages_queries.QUERIES, packages_oracle.ORACLE),
     (content_queries.QUERIES, content_oracle.ORACLE),
+    (reports_queries.QUERIES, reports_oracle.ORACLE),
 ]
 
 
