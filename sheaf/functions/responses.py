@@ -16,12 +16,16 @@ FORMATS = ("md", "json", "html", "text")
 FORMAT_ALIASES = {"markdown": "md"}
 
 
-@F.pandas_udf("string")
-def _pretty(s: pd.Series) -> pd.Series:
+def _pretty_text(s: pd.Series) -> pd.Series:
     """Small per-row helper: JSON text -> 2-space indented, non-ASCII kept."""
     return s.map(lambda t: None if t is None else json.dumps(json.loads(t), indent=2, ensure_ascii=False))
 
 
+def _pretty(c: Column) -> Column:
+    # Built on use: a pandas UDF needs an active session.
+    return F.pandas_udf(_pretty_text, "string")(c)
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """One response document per file."""
     return spark.read.option("wholetext", "true").text(path).select(
