@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.convlog import MAX_RETRIES, substrings
+from sheaf.functions.convlog import MAX_RETRIES, substrings_of_lengths
 from sheaf.operators.carry import carry_last
 
 ORDER = ["block", "line_no"]
@@ -55,14 +55,16 @@ def scan_targets(events: DataFrame, convs: DataFrame | None = None) -> DataFrame
              .select("log_id", "block", "line_no", F.col("filename").alias("scan_name"), "current_file",
                      "links_found", "link_types", _pos().alias("pos")))
     c = convs.select("log_id", F.col("filename").alias("cand"), "created")
+    # Only substrings whose length some name on the other side has can match; the length
+    # sets are scalar subqueries (bounded by the longest file name).
+    conv_lengths = c.select(F.collect_set(F.length("cand"))).scalar()
+    scan_lengths = scans.select(F.collect_set(F.length("scan_name"))).scalar()
     # (a) conversion name inside the scan name: substrings of the scan name hit names exactly.
-    in_scan = (scans.select("log_id", "pos", F.explode(F.array_distinct(substrings(F.col("scan_name")))).alias("cand"))
-               .join(c, on=["log_id", "cand"]).where(F.col("created") < F.col("pos")))
+    in_scan = (substrings_of_lengths(scans.select("log_id", "pos", "scan_name"), "scan_name", conv_lengths, "cand")
+               .join(c, on=["log_id", "cand"]).where(F.col("created") < F.col("pos")).select("log_id", "pos", "cand", "created"))
     # (b) scan name inside a conversion name: earliest conversion per (log, substring).
-    by_sub = (c.select("log_id", "cand", "created",
-                       F.explode(F.array_distinct(substrings(F.col("cand")))).alias("sub"))
-              .groupBy("log_id", "sub").agg(F.min_by("cand", "created").alias("cand"),
-                                            F.min("created").alias("created")))
+    by_sub = (substrings_of_lengths(c, "cand", scan_lengths, "sub")
+              .groupBy("log_id", "sub").agg(F.min_by("cand", "created").alias("cand"), F.min("created").alias("created")))
     has_scan = (scans.select("log_id", "pos", F.col("scan_name").alias("sub"))
                 .join(by_sub, on=["log_id", "sub"]).where(F.col("created") < F.col("pos")).drop("sub"))
     best = (in_scan.unionByName(has_scan).groupBy("log_id", "pos")
