@@ -40,6 +40,13 @@ def time_bucket(ts: Column, bucket_seconds: int) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(float(bucket_seconds))).cast("long")
 
 
+def with_bucket(entries: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Add the time bucket ``_tb`` unless present (keeps an upstream partitioning usable)."""
+    if "_tb" in entries.columns:
+        return entries
+    return entries.withColumn("_tb", time_bucket(F.col("ts"), bucket_seconds))
+
+
 def sort_entries(entries: DataFrame, order_by: str = "ts") -> DataFrame:
     """Stable sort by timestamp (file order breaks ties)."""
     keys = ["ts", *FILE_ORDER] if order_by == "ts" else FILE_ORDER
@@ -53,9 +60,8 @@ def pair_starts_ends(entries: DataFrame, bucket_seconds: int = 3600) -> DataFram
     job_name, end_ts, file-order columns and ``start_ts`` (NULL when no START came
     before).
     """
-    se = (entries.where(F.col("log_type").isin("START", "END"))
-          .select("job_name", "ts", "log_type", *FILE_ORDER)
-          .withColumn("_tb", time_bucket(F.col("ts"), bucket_seconds)))
+    se = (with_bucket(entries, bucket_seconds).where(F.col("log_type").isin("START", "END"))
+          .select("job_name", "ts", "log_type", *FILE_ORDER, "_tb"))
     carried = carry_last(se, keys=["job_name"], bucket="_tb", order=["ts", *FILE_ORDER],
                          value=F.when(F.col("log_type") == "START", F.col("ts")), out="start_ts")
     return (carried.where(F.col("log_type") == "END")
@@ -262,8 +268,7 @@ def analysis_overview(entries: DataFrame, *, container_limit_mb: float | None =
 
 def last_monitor_before_crash(entries: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """For every orphaned run, its last MONITOR sample before the next START."""
-    rows = (entries.where(F.col("log_type").isin("START", "MONITOR"))
-            .withColumn("_tb", time_bucket(F.col("ts"), bucket_seconds)))
+    rows = with_bucket(entries, bucket_seconds).where(F.col("log_type").isin("START", "MONITOR"))
     carried = carry_last(rows, keys=["job_name"], bucket="_tb", order=["ts", *FILE_ORDER],
                          value=F.when(F.col("log_type") == "START", F.col("ts")), out="run_start")
     last_mon = (carried.where((F.col("log_type") == "MONITOR") & F.col("run_start").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sheaf.functions.convlog import parse_convlog, truncate_text
@@ -11,7 +12,8 @@ from sheaf.plans.fixtures import convlog_lines
 
 
 def events(spark, sf_dir):
-    return parse_convlog(convlog_lines(spark, sf_dir))
+    # Shared by the fold's branches (current file, conversions, scans, completions).
+    return parse_convlog(convlog_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def records(spark, sf_dir):

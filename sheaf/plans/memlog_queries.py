@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ CONTAINER_LIMIT_MB = 2048.0
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_memlog(memlog_lines(spark, sf_dir))
+    # Parsed once per session and shared by every branch of a plan (pairing, per-job and
+    # global aggregates read it several times). Lost partitions recompute from lineage.
+    return parse_memlog(memlog_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _stats(spark, sf_dir, limit=CONTAINER_LIMIT_MB):
