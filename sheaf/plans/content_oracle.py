@@ -16,7 +16,7 @@ def _html_sql(col: str) -> str:
 
 
 F6 = """
-p as (select p_brand, p_partkey, p_name, p_retailprice, row_number() over (partition by p_brand order by p_partkey) - 1 rn from part),
+p as (select p_brand, p_partkey, p_name, p_retailprice, p_partkey rn from part),
 c as (select p_brand table_id, cast(rn as bigint) row_ix, cast(col_ix as integer) col_ix,
   case col_ix when 0 then 'key' when 1 then 'name' else 'price' end header,
   case col_ix when 0 then cast(p_partkey as varchar) when 1 then p_name else cast(cast(p_retailprice as decimal(14,2)) as varchar) end cell

@@ -185,19 +185,17 @@ def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one table per brand in long form (key, name, price columns).
 
-    Row numbers per brand come from a per-brand window; the fixture stands in for a
-    table extractor's output, where row indices are given.
+    The part key is the row key: unique and ordered, so no per-brand window (one
+    task per brand) is needed to number rows.
     """
-    from pyspark.sql import Window
     part = load_table(spark, sf_dir, "part")
-    rn = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    p = part.select("p_brand", "p_partkey", "p_name", "p_retailprice", rn.alias("rn"))
-    c = p.select("*", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col_ix"))
+    c = part.select("p_brand", "p_partkey", "p_name", "p_retailprice",
+                    F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col_ix"))
     cell = (F.when(F.col("col_ix") == 0, F.col("p_partkey").cast("string"))
             .when(F.col("col_ix") == 1, F.col("p_name"))
             .otherwise(F.col("p_retailprice").cast("decimal(14,2)").cast("string")))
     header = F.when(F.col("col_ix") == 0, "key").when(F.col("col_ix") == 1, "name").otherwise("price")
-    return c.select(F.col("p_brand").alias("table_id"), F.col("rn").cast("long").alias("row_ix"),
+    return c.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").cast("long").alias("row_ix"),
                     F.col("col_ix").cast("int").alias("col_ix"), header.alias("header"), cell.alias("cell"))
 
 
