@@ -47,9 +47,9 @@ def conversions(events: DataFrame) -> DataFrame:
         F.max_by("input_size", F.when(F.col("input_size").isNotNull(), _pos())).alias("input_size_mb"))
 
 
-def scan_targets(events: DataFrame, convs: DataFrame | None = None) -> DataFrame:
+def scan_targets(events: DataFrame, convs: DataFrame | None = None, with_current: DataFrame | None = None) -> DataFrame:
     """The conversion each LINK_SCAN updates (NULL when none)."""
-    ev = with_current_file(events)
+    ev = with_current_file(events) if with_current is None else with_current
     convs = conversions(events) if convs is None else convs
     scans = (ev.where(F.col("event_type") == "LINK_SCAN")
              .select("log_id", "block", "line_no", F.col("filename").alias("scan_name"), "current_file",
@@ -87,7 +87,7 @@ def conversion_records(events: DataFrame) -> DataFrame:
     """C14: one row per converted document and log, as the fold leaves it."""
     convs = conversions(events)
     ev = with_current_file(events)
-    scans = (scan_targets(events, convs).where(F.col("target").isNotNull())
+    scans = (scan_targets(events, convs, ev).where(F.col("target").isNotNull())
              .groupBy("log_id", F.col("target").alias("filename"))
              .agg(F.max_by(F.struct("links_found", "link_types"), F.struct(*[F.col(c) for c in ORDER])).alias("s")))
     succ = (ev.where((F.col("event_type") == "SUCCESS") & F.col("current_file").isNotNull())

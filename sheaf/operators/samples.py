@@ -47,7 +47,6 @@ def run_stats(samples: DataFrame, continuous: bool = True) -> DataFrame:
         F.count(F.lit(1)).alias("n_samples"),
         F.min_by(_snap(), _pos()).alias("before"),
         F.max_by(_snap(), _pos()).alias("after"),
-        F.max_by(_snap(), peak_key).alias("_peak_all"),
     )
     if continuous:
         # Peak over every sample but the last; a one-sample run peaks at "before".
@@ -58,7 +57,7 @@ def run_stats(samples: DataFrame, continuous: bool = True) -> DataFrame:
             "peak", F.coalesce(F.col("_peak_body"), F.col("before"))).drop("_peak_body")
     else:
         agg = agg.withColumn("peak", F.col("after"))
-    return agg.drop("_peak_all").select(
+    return agg.select(
         "run_id", "n_samples", "before", "after", "peak",
         (F.col("after.epoch_s") - F.col("before.epoch_s")).cast("double").alias("duration_seconds"),
         (F.col("after.rss_mb") - F.col("before.rss_mb")).alias("rss_delta_mb"),
@@ -98,15 +97,13 @@ def limit_verdicts(samples: DataFrame, *, timeout_s: float = TIMEOUT_S, max_memo
 
 def profiler_totals(stats: DataFrame) -> DataFrame:
     """Jobs, total delta, largest delta and highest peak (first run wins ties)."""
-    first = F.struct(F.col("before.epoch_s"), F.col("before.seq"))
     neg_first = F.struct(-F.col("before.epoch_s"), -F.col("before.seq"))
     return stats.agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.sum("rss_delta_mb").alias("total_rss_delta_mb"),
         F.max_by(F.struct("run_id", "rss_delta_mb"), F.struct(F.col("rss_delta_mb"), neg_first)).alias("max_delta"),
         F.max_by(F.struct("run_id", F.col("peak.rss_mb").alias("peak_rss_mb")),
-                 F.struct(F.coalesce(F.col("peak.rss_mb"), F.lit(0.0)), neg_first)).alias("max_peak"),
-        F.min(first).alias("_unused")).select(
+                 F.struct(F.coalesce(F.col("peak.rss_mb"), F.lit(0.0)), neg_first)).alias("max_peak")).select(
         "total_jobs", "total_rss_delta_mb", F.col("max_delta.run_id").alias("max_delta_run"),
         F.col("max_delta.rss_delta_mb").alias("max_rss_delta_mb"), F.col("max_peak.run_id").alias("max_peak_run"),
         F.col("max_peak.peak_rss_mb").alias("max_peak_rss_mb"))

@@ -63,9 +63,9 @@ ORACLE = {
   array_to_string(list_transform(headers, lambda x: '<th>' || {HTMLE} || '</th>'), '') || '</tr>' line from h
   union all select table_id, row_ix + 1, '<tr>' || array_to_string(list_transform(cells, lambda x: '<td>' || {HTMLE} || '</td>'), '') || '</tr>' from rw
   union all select table_id, cast(4611686018427387904 as bigint), '</table>' from h"""),
-    "html_to_markdown": f"select page_id, md5({_html_sql('html')}) md5, length({_html_sql('html')}) n_chars from pages",
+    "html_to_markdown": f"select page_id, md5({_html_sql('html')}) md5, cast(length({_html_sql('html')}) as integer) n_chars from pages",
     "doc_chunk": """select doc_id, cast(chunk_ix as integer) chunk_ix, cast(start as integer) start,
-  length(substring(text, start, 1000)) n_chars, md5(substring(text, start, 1000)) md5 from (
+  cast(length(substring(text, start, 1000)) as integer) n_chars, md5(substring(text, start, 1000)) md5 from (
   select doc_id, text, s.start, row_number() over (partition by doc_id order by s.start) - 1 chunk_ix
   from documents, unnest(case when length(text) > 0 then generate_series(1, greatest(length(text) - 100, 1), 900) else [] end) s(start))""",
     "task_status_latest": "with " + F8 + """select task_id, task_status, round(progress, 6) progress,
