@@ -103,6 +103,16 @@ def leak_report_lines(entries: DataFrame, *, container_limit_mb: float | None =
                    F.format_string("  Available headroom: %.2f MB (%.1f%%)", "available_headroom_mb", "headroom_percent"))
             .otherwise(F.lit("  Available headroom: N/A")), F.lit("")]))
     orph = leaks.orphaned_jobs(entries)
+    n_orph = orph.select(F.count(F.lit(1))).scalar()
+    one = entries.sparkSession.range(1)
+    crit = [RULE, "!!! CRITICAL: JOBS THAT STARTED BUT NEVER COMPLETED !!!", RULE, "",
+            "These jobs are PRIMARY OOM SUSPECTS - they started but have no completion log.",
+            "This typically indicates the container was killed (OOM) during job execution.", ""]
+    passed = [RULE, "ORPHANED JOBS CHECK: PASSED", RULE, "", "All jobs that started also completed successfully.",
+              "No evidence of container crash during job execution in this log sample.", ""]
+    parts.append(_lines(one, 2, [F.when(n_orph > 0, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(crit, passed)]))
+    parts.append(_lines(one, 4, [F.lit(""), F.lit(RULE), F.lit("TOP MEMORY LEAK CULPRITS (ranked by leak score)"),
+                                 F.lit(RULE), F.lit("")]))
     numbered = dense_index(orph, ["start_time", "job_name"], out="idx")
     parts.append(_lines(numbered, 3, [
         F.format_string("%d. %s", "idx", "job_name"), F.lit("   " + "─" * 95),
