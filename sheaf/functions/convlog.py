@@ -88,13 +88,6 @@ def parse_convlog(lines: DataFrame, lenient: bool = False) -> DataFrame:
     return t.select(F.explode(F.array_compact(F.array(F.when(ev.isNotNull(), rec)))).alias("r")).select("r.*")
 
 
-def substrings(s: Column) -> Column:
-    """Every non-empty substring of ``s`` (O(len^2) items)."""
-    n = F.length(s)
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), n),
-                                 lambda i: F.transform(F.sequence(i, n), lambda j: F.substring(s, i, j - i + 1)))))
-
-
 def truncate_text(c: Column, width: int, keep: int) -> Column:
     """Longer than ``width`` -> first ``keep`` characters + '...'."""
     return F.when(F.length(c) > width, F.concat(F.substring(c, 1, keep), F.lit("..."))).otherwise(c)
