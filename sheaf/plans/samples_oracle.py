@@ -47,3 +47,18 @@ ORACLE = {
     "culprits_sorted": _w("select run_id, round(rss_delta_mb, 6) rss_delta_mb from st where rss_delta_mb > 100 or p_rss > 450"),
     "high_memory_jobs": _w("select count(*) filter (where rss_delta_mb > 100) high_memory_runs, count(*) runs from st"),
 }
+
+ORACLE["monitor_emit"] = """with recursive
+s0 as (select user_id run_id, event_id seq, cast(floor(epoch(ts)) as bigint) epoch_s, value rss_mb from events),
+s1 as (select *, max(rss_mb) over (partition by run_id order by epoch_s, seq rows between unbounded preceding and 1 preceding) prev_peak,
+  max(rss_mb) over (partition by run_id order by epoch_s, seq rows between unbounded preceding and current row) running_peak,
+  row_number() over (partition by run_id order by epoch_s, seq) rn from s0),
+m as (select *, rss_mb > prev_peak new_peak from s1 where rn > 1),
+r as (select run_id, rn, (new_peak or epoch_s >= 43200) emit, case when new_peak or epoch_s >= 43200 then epoch_s else 0 end last
+  from m where rn = 2
+  union all
+  select m.run_id, m.rn, (m.new_peak or m.epoch_s - r.last >= 43200),
+    case when m.new_peak or m.epoch_s - r.last >= 43200 then m.epoch_s else r.last end
+  from r join m on m.run_id = r.run_id and m.rn = r.rn + 1)
+select m.run_id, m.seq, m.epoch_s, round(m.rss_mb, 6) rss_mb, round(m.running_peak, 6) peak_rss_mb, m.new_peak
+from r join m using (run_id, rn) where r.emit"""

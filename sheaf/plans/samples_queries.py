@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.memlog import job_status_line
 from sheaf.operators import samples as sm
+from sheaf.operators.timers import monitor_emissions_batch
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import samples
 
@@ -25,7 +26,12 @@ def _stats_cols(df):
         "duration_seconds", "rss_delta_mb", "vms_delta_mb"))
 
 
+# Samples of one run are hours apart in the fixture; a 12 h interval makes the timer matter.
+MONITOR_INTERVAL_S, MONITOR_CHUNK_S = 43200, 864000
+
 QUERIES = {
+    "monitor_emit": lambda s, d: flat(monitor_emissions_batch(samples(s, d), log_interval_s=MONITOR_INTERVAL_S,
+                                                              chunk_seconds=MONITOR_CHUNK_S)),
     "samples_scan": lambda s, d: flat(samples(s, d).select(
         "run_id", "seq", "epoch_s", sm.bytes_to_mb(F.col("rss_bytes")).alias("rss_mb"), "vms_mb", "available_mb",
         "percent", "elapsed_s")),

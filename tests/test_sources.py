@@ -19,3 +19,20 @@ def test_line_order_across_splits(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [f"file{f} line {i:05d} {'x' * (i % 37)}" for f in range(3) for i in range(4000)]
     assert got == want
+
+
+def test_map_sorted_groups_across_batches(spark):
+    import pandas as pd
+    from sheaf.operators.carry import map_sorted_groups
+    df = spark.range(0, 5000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+
+    def fn(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"k": [int(g["k"].iloc[0])], "n": [len(g)], "first": [int(g["v"].iloc[0])]})
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = sorted(tuple(r) for r in map_sorted_groups(df, ["k"], ["v"], fn, "k long, n long, first long").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == [(k, len(range(k, 5000, 7)), k) for k in range(7)]

@@ -113,3 +113,21 @@ def test_monitor_and_spikes_vs_loop(spark, tmpdir_path):
     src2 = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(d)
     sp = run(memory_spikes(src2), "t3", f"{tmpdir_path}/ck3")
     assert sorted(r.seq for r in sp.collect() if r.seq < 10_000) == loop_spikes(rows, 100.0)
+
+
+def test_monitor_batch_matches_loop(spark):
+    from sheaf.operators.timers import monitor_emissions_batch
+    rnd = random.Random(21)
+    rows = []
+    for run in range(4):
+        t = 1_700_000_000 + run * 977
+        for i in range(400):
+            t += rnd.choice([1, 1, 2, 5, 13, 40])
+            rows.append((run, run * 10_000 + i, t, float(rnd.randint(100, 400) + (i if run == 3 else 0))))
+    df = samples_df(spark, rows)
+    got = {}
+    for r in monitor_emissions_batch(df, log_interval_s=30, chunk_seconds=120).collect():
+        got.setdefault(r.run_id, []).append(r.seq)
+    for run in range(4):
+        want = loop_monitor([x for x in rows if x[0] == run], 30)
+        assert sorted(got.get(run, [])) == want, run
