@@ -124,3 +124,70 @@ def monitor_emissions_batch(samples: DataFrame, *, log_interval_s: float = LOG_I
     theta = map_sorted_groups(summary, ["run_id"], ["chunk"], _scan(log_interval_s), _THETA)
     return map_sorted_groups(mon.join(theta, ["run_id", "chunk"]), ["run_id", "chunk"], ["epoch_s", "seq"],
                              _replay(log_interval_s), _OUT)
+
+
+SPIKE_STEP_MB = 100.0
+_SPIKE_SUMMARY = "run_id long, chunk long, bounds array<double>, exits array<double>"
+_SPIKE_THETA = "run_id long, chunk long, last double"
+_SPIKE_OUT = "run_id long, seq long, epoch_s long, rss_mb double"
+
+
+def _spike_summarise(step):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["epoch_s", "seq"])
+        v = pdf["rss_mb"].to_numpy(dtype=float)
+        # Reports are always strict prefix maxima of the chunk, whose values increase.
+        pm = np.maximum.accumulate(v)
+        rec = v[np.concatenate([[True], v[1:] > pm[:-1]])] if len(v) else v
+        m = len(rec)
+        exits = np.empty(m)
+        for i in range(m - 1, -1, -1):
+            j = int(np.searchsorted(rec, rec[i] + step, side="right"))
+            exits[i] = rec[i] if j >= m else exits[j]
+        # first report for threshold th = first record > th; merge runs of equal exits.
+        keep = np.ones(m, dtype=bool)
+        if m > 1:
+            keep[:-1] = exits[:-1] != exits[1:]
+        return pd.DataFrame({"run_id": [int(pdf["run_id"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])],
+                             "bounds": [rec[keep].tolist()], "exits": [exits[keep].tolist()]})
+    return f
+
+
+def _spike_scan(step):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        last, out = 0.0, []
+        for r in pdf.itertuples(index=False):
+            out.append((r.run_id, r.chunk, last))
+            b = np.asarray(r.bounds, dtype=float)
+            j = int(np.searchsorted(b, last + step, side="right"))
+            if j < len(b):
+                last = float(r.exits[j])
+        return pd.DataFrame(out, columns=["run_id", "chunk", "last"])
+    return f
+
+
+def _spike_replay(step):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["epoch_s", "seq"])
+        last = float(pdf["last"].iloc[0])
+        keep = []
+        for v in pdf["rss_mb"].to_numpy(dtype=float):
+            hit = v > last + step
+            keep.append(hit)
+            if hit:
+                last = v
+        sel = pdf[np.asarray(keep, dtype=bool)]
+        return pd.DataFrame({"run_id": sel["run_id"], "seq": sel["seq"], "epoch_s": sel["epoch_s"], "rss_mb": sel["rss_mb"]})
+    return f
+
+
+def memory_spikes_batch(samples: DataFrame, *, step_mb: float = SPIKE_STEP_MB, chunk_seconds: int = 3600) -> DataFrame:
+    """T3 (batch): samples reported by the converter's ratchet (rss above the last
+    reported value + ``step_mb``; the last value starts at 0)."""
+    s = samples.select("run_id", "seq", "epoch_s", "rss_mb").withColumn(
+        "chunk", F.floor(F.col("epoch_s") / chunk_seconds).cast("long"))
+    summary = map_sorted_groups(s, ["run_id", "chunk"], ["epoch_s", "seq"], _spike_summarise(step_mb), _SPIKE_SUMMARY)
+    last = map_sorted_groups(summary, ["run_id"], ["chunk"], _spike_scan(step_mb), _SPIKE_THETA)
+    return map_sorted_groups(s.join(last, ["run_id", "chunk"]), ["run_id", "chunk"], ["epoch_s", "seq"],
+                             _spike_replay(step_mb), _SPIKE_OUT)

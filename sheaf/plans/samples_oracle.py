@@ -62,3 +62,12 @@ r as (select run_id, rn, (new_peak or epoch_s >= 43200) emit, case when new_peak
   from r join m on m.run_id = r.run_id and m.rn = r.rn + 1)
 select m.run_id, m.seq, m.epoch_s, round(m.rss_mb, 6) rss_mb, round(m.running_peak, 6) peak_rss_mb, m.new_peak
 from r join m using (run_id, rn) where r.emit"""
+
+ORACLE["memory_spikes"] = """with recursive
+s0 as (select user_id run_id, event_id seq, cast(floor(epoch(ts)) as bigint) epoch_s, value rss_mb,
+  row_number() over (partition by user_id order by cast(floor(epoch(ts)) as bigint), event_id) rn from events),
+r as (select run_id, rn, rss_mb > 100.0 hit, case when rss_mb > 100.0 then rss_mb else 0.0 end last from s0 where rn = 1
+  union all
+  select s0.run_id, s0.rn, s0.rss_mb > r.last + 100.0, case when s0.rss_mb > r.last + 100.0 then s0.rss_mb else r.last end
+  from r join s0 on s0.run_id = r.run_id and s0.rn = r.rn + 1)
+select s0.run_id, s0.seq, s0.epoch_s, round(s0.rss_mb, 6) rss_mb from r join s0 using (run_id, rn) where r.hit"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.memlog import job_status_line
 from sheaf.operators import samples as sm
-from sheaf.operators.timers import monitor_emissions_batch
+from sheaf.operators.timers import memory_spikes_batch, monitor_emissions_batch
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import samples
 
@@ -30,6 +30,7 @@ def _stats_cols(df):
 MONITOR_INTERVAL_S, MONITOR_CHUNK_S = 43200, 864000
 
 QUERIES = {
+    "memory_spikes": lambda s, d: flat(memory_spikes_batch(samples(s, d), chunk_seconds=MONITOR_CHUNK_S)),
     "monitor_emit": lambda s, d: flat(monitor_emissions_batch(samples(s, d), log_interval_s=MONITOR_INTERVAL_S,
                                                               chunk_seconds=MONITOR_CHUNK_S)),
     "samples_scan": lambda s, d: flat(samples(s, d).select(

@@ -131,3 +131,20 @@ def test_monitor_batch_matches_loop(spark):
     for run in range(4):
         want = loop_monitor([x for x in rows if x[0] == run], 30)
         assert sorted(got.get(run, [])) == want, run
+
+
+def test_spikes_batch_matches_loop(spark):
+    from sheaf.operators.timers import memory_spikes_batch
+    rnd = random.Random(33)
+    rows = []
+    for run in range(5):
+        t = 1_700_000_000
+        for i in range(500):
+            t += rnd.choice([1, 3, 20, 90])
+            base = i * 2.0 if run % 2 else 0.0  # leaking runs climb steadily
+            rows.append((run, run * 10_000 + i, t, base + rnd.randint(0, 300)))
+    got = {}
+    for r in memory_spikes_batch(samples_df(spark, rows), chunk_seconds=300).collect():
+        got.setdefault(r.run_id, []).append(r.seq)
+    for run in range(5):
+        assert sorted(got.get(run, [])) == loop_spikes([x for x in rows if x[0] == run], 100.0), run
