@@ -91,7 +91,9 @@ def parse_memlog(lines: DataFrame, lenient: bool = False, keep_rejects: bool = F
     for name, grp in MONITOR_FIELDS.items():
         mon = F.when(typ == "MONITOR", num(grp + 1))
         cols[name] = mon if name not in START_FIELDS else F.coalesce(cols[name], mon)
-    t = t.withColumn("ts", F.try_to_timestamp(g(1), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
+    # The regex fixed the shape; a zone-free cast keeps wall-clock times exact (no DST gaps)
+    # and turns out-of-range values (month 13, hour 25) into NULL.
+    t = t.withColumn("ts", g(1).try_cast("timestamp_ntz"))
     keep = typ.isNotNull() if keep_rejects else (typ.isNotNull() & F.col("ts").isNotNull())
     rec = F.struct(F.col("log_id"), F.col("block"), F.col("line_no"), F.col("ts"), typ.alias("log_type"),
                    g(2).alias("job_name"), *[cols[m].alias(m) for m in METRICS])

@@ -180,3 +180,14 @@ def test_last_monitor_before_crash(spark):
              monitor("2024-01-01 00:00:20", "a", rss=20.0), start("2024-01-01 00:01:00", "a"), end("2024-01-01 00:01:30", "a")]
     r = leaks.last_monitor_before_crash(parse(spark, lines)).collect()
     assert len(r) == 1 and r[0].current_rss_mb == 20.0 and r[0].monitor_samples == 2
+
+
+def test_parse_is_zone_independent(spark):
+    line = start("2024-03-10 02:30:00", "dst")  # inside the US spring-forward gap
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        r = parse(spark, [line, start("2024-13-01 00:00:00", "bad")]).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert len(r) == 1 and str(r[0].ts) == "2024-03-10 02:30:00"
