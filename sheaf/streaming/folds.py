@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions.memlog import parse_memlog
+from sheaf.operators.leaks import epoch_seconds
 from sheaf.streaming.ordered import ordered_fold
 
 LOG_INTERVAL_S = 30.0
@@ -68,13 +69,14 @@ def stream_orphans(entries: DataFrame, *, max_age_s: float = MAX_AGE_S, watermar
     e = entries.where(F.col("log_type").isin("START", "END")).select(
         "job_name", "ts", "log_id", "block", "line_no", "log_type", "rss_mb", "vms_mb", "memory_percent",
         "system_available_mb")
-    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withColumn("ts", F.floor(epoch_seconds(F.col("ts")) * 1000).cast("long"))  # epoch ms, zone-free
     wake = lambda st: (min(int(k) for k in st.get("open", {})) + int(max_age_s * 1000) + 1) if st.get("open") else None
     out = ordered_fold(e, key="job_name", ts_col="ts", order=["log_id", "block", "line_no"],
                        step=_orphan_step(max_age_s), watermark=watermark, wake_after_ms=wake,
                        out_schema="job_name string, start_ms long, rss_at_start double, vms_at_start double, "
                                   "memory_percent_at_start double, system_available_at_start double")
-    return out.select("job_name", F.timestamp_millis("start_ms").cast("timestamp_ntz").alias("start_time"),
+    epoch0 = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return out.select("job_name", F.timestamp_add("MILLISECOND", F.col("start_ms"), epoch0).alias("start_time"),
                       "rss_at_start", "vms_at_start", "memory_percent_at_start", "system_available_at_start")
 
 
@@ -101,7 +103,7 @@ def monitor_emissions(samples: DataFrame, *, log_interval_s: float = LOG_INTERVA
                       watermark: str = "10 seconds") -> DataFrame:
     """Which samples the profiler logs: a new peak, or ``log_interval_s`` since
     the last logged sample (an emission resets the timer)."""
-    s = samples.withColumn("ts", F.timestamp_seconds("epoch_s"))
+    s = samples.withColumn("ts", (F.col("epoch_s") * 1000).cast("long"))
     out = ordered_fold(s, key="run_id", ts_col="ts", order=["seq"], step=_monitor_step(log_interval_s),
                        watermark=watermark,
                        out_schema="run_id long, seq long, epoch_s long, rss_mb double, peak_rss_mb double, new_peak boolean")
@@ -123,7 +125,7 @@ def _spike_step(step_mb: float):
 
 def memory_spikes(samples: DataFrame, *, step_mb: float = SPIKE_STEP_MB, watermark: str = "10 seconds") -> DataFrame:
     """Ratchet - report a sample when it exceeds the last reported value by ``step_mb``."""
-    s = samples.withColumn("ts", F.timestamp_seconds("epoch_s"))
+    s = samples.withColumn("ts", (F.col("epoch_s") * 1000).cast("long"))
     return ordered_fold(s, key="run_id", ts_col="ts", order=["seq"], step=_spike_step(step_mb), watermark=watermark,
                         out_schema="run_id long, seq long, epoch_s long, rss_mb double")
 

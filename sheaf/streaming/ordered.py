@@ -19,6 +19,7 @@ from typing import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 STATE_SCHEMA = "state string, buffer string"
@@ -27,8 +28,13 @@ STATE_SCHEMA = "state string, buffer string"
 def ordered_fold(df: DataFrame, *, key: str, ts_col: str, order: list[str], step: Callable, out_schema: str,
                  watermark: str = "10 seconds", wake_after_ms: Callable[[dict], int | None] | None = None,
                  init: dict | None = None) -> DataFrame:
-    """Apply ``step`` per ``key`` in event-time order; append-mode output."""
+    """Apply ``step`` per ``key`` in event-time order; append-mode output.
+
+    ``ts_col`` holds event time as epoch milliseconds (long): ordering and the
+    watermark both use that number, so the session time zone plays no part.
+    """
     init = dict(init or {})
+    df = df.withColumn("_event_time", F.timestamp_millis(F.col(ts_col)))
     cols = df.columns
     out_cols = [c.strip().split(" ")[0] for c in out_schema.split(",")]
 
@@ -40,13 +46,13 @@ def ordered_fold(df: DataFrame, *, key: str, ts_col: str, order: list[str], step
             st, buf = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else (dict(init), [])
             new = [r for pdf in batches for r in pdf.to_dict("records")]
         for r in new:
-            r[ts_col] = pd.Timestamp(r[ts_col]).value // 1_000_000  # epoch ms
+            r.pop("_event_time", None)
         buf.extend(new)
         wm = state.getCurrentWatermarkMs()
         ready = [r for r in buf if r[ts_col] <= wm]
         buf = [r for r in buf if r[ts_col] > wm]
         ready.sort(key=lambda r: tuple(r[c] for c in [ts_col, *order]))
-        st, out = step(st, pd.DataFrame(ready, columns=cols), wm)
+        st, out = step(st, pd.DataFrame(ready, columns=[c for c in cols if c != "_event_time"]), wm)
         state.update((json.dumps(st), json.dumps(buf, default=str)))
         wake = [r[ts_col] for r in buf]
         if wake_after_ms is not None:
@@ -60,5 +66,5 @@ def ordered_fold(df: DataFrame, *, key: str, ts_col: str, order: list[str], step
                 rec[key] = k[0]
             yield pd.DataFrame(out, columns=out_cols)
 
-    return (df.withWatermark(ts_col, watermark).groupBy(key)
+    return (df.withWatermark("_event_time", watermark).groupBy(key)
             .applyInPandasWithState(fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
