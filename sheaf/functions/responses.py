@@ -28,7 +28,7 @@ def _pretty(c: Column) -> Column:
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """One response document per file."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("response"))
 
 

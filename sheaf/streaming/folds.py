@@ -18,7 +18,7 @@ MAX_AGE_S = 300
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """T1 source: whole files (exact line numbers per file), split into lines."""
-    files = spark.readStream.option("wholetext", "true").text(path)
+    files = spark.readStream.text(path, wholetext=True)  # the keyword, not .option(): text() would reset it
     lines = files.select(F.col("_metadata.file_path").alias("log_id"),
                          F.posexplode(F.split(F.col("value"), "\r?\n")).alias("line_no", "line"))
     return lines.select("log_id", F.lit(0).cast("long").alias("block"), F.col("line_no").cast("long"), "line")

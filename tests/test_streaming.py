@@ -35,8 +35,13 @@ def ts(sec):
 def test_stream_parse_equals_batch(spark, tmpdir_path):
     lines = [start(ts(i), f"j{i % 3}") if i % 2 else end(ts(i), f"j{i % 3}") for i in range(50)] + ["noise"]
     write_files(f"{tmpdir_path}/in", [lines[:25], lines[25:]])
-    s = run(stream_memlog(spark, f"{tmpdir_path}/in").select("job_name", "ts", "log_type", "rss_mb", "rss_after"),
-            "t1", f"{tmpdir_path}/ck")
+    full = run(stream_memlog(spark, f"{tmpdir_path}/in"), "t1", f"{tmpdir_path}/ck")
+    # Whole files are read, so line numbers are exact file positions (distinct, in file order).
+    for log in {r.log_id for r in full.select("log_id").collect()}:
+        got = [r.ts for r in full.where(F.col("log_id") == log).orderBy("line_no").collect()]
+        nos = [r.line_no for r in full.where(F.col("log_id") == log).collect()]
+        assert len(set(nos)) == len(nos) and got == sorted(got)
+    s = full.select("job_name", "ts", "log_type", "rss_mb", "rss_after")
     b = parse_memlog(read_log_lines(spark, f"{tmpdir_path}/in")).select("job_name", "ts", "log_type", "rss_mb", "rss_after")
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, b.collect()))
 
@@ -53,7 +58,7 @@ def test_stream_orphans_vs_batch(spark, tmpdir_path):
     lines.sort(key=lambda l: l[1:20])
     far = [start(ts(80000), "zz"), start(ts(80001), "zz")]
     write_files(f"{tmpdir_path}/in", [lines, far[:1], far[1:]])
-    src = (spark.readStream.option("maxFilesPerTrigger", 1).option("wholetext", "true").text(f"{tmpdir_path}/in")
+    src = (spark.readStream.option("maxFilesPerTrigger", 1).text(f"{tmpdir_path}/in", wholetext=True)
            .select(F.lit("s").alias("log_id"), F.lit(0).cast("long").alias("block"),
                    F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
     e = parse_memlog(src.select("log_id", "block", F.col("line_no").cast("long"), "line"))
