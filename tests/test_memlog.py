@@ -63,7 +63,7 @@ def test_pairing_edge_cases(spark):
 
 
 def brute_orphans(entries):
-    """The reference's loop, transcribed as a test oracle over plain tuples."""
+    """Brute-force loop with the same semantics (sorted scan, closest earlier START), as a test oracle."""
     ents = sorted(entries, key=lambda e: e[0])  # stable sort by ts
     started, done = {}, set()
     for ts, kind, job, line in ents:
