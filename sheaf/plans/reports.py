@@ -15,12 +15,33 @@ from pyspark.sql import functions as F
 from sheaf.operators import leaks
 from sheaf.operators.indexing import dense_index
 
+# ---------------------------------------------------------------------------
+# Report text that must read exactly as the tools' reports do.
+# Static lines are gathered here in report order; per-line format templates
+# stay next to the columns they format below.
+# ---------------------------------------------------------------------------
+RULE = "=" * 100
 LEAK_CSV_HEADER = ("job_name,orphaned_count,run_count,leak_score,growth_rate_mb_per_hour,avg_rss_delta_mb,"
                    "total_rss_delta_mb,baseline_shift_mb,cumulative_impact_mb,avg_vms_delta_mb,"
                    "avg_peak_rss_mb,max_peak_rss_mb,time_to_oom_hours,headroom_consumed_pct,is_outlier")
 CONV_CSV_HEADER = ("filename,file_type,has_links,links_found,link_types,conversion_successful,input_size_mb,"
                    "pdf_size_mb,conversion_time_seconds")
-RULE = "=" * 100
+LEAK_TITLE = [RULE, "MEMORY LEAK ANALYSIS REPORT", RULE, "", "OVERVIEW:"]
+ORPHANS_FOUND = [RULE, "!!! CRITICAL: JOBS THAT STARTED BUT NEVER COMPLETED !!!", RULE, "",
+                 "These jobs are PRIMARY OOM SUSPECTS - they started but have no completion log.",
+                 "This typically indicates the container was killed (OOM) during job execution.", ""]
+ORPHANS_NONE = [RULE, "ORPHANED JOBS CHECK: PASSED", RULE, "", "All jobs that started also completed successfully.",
+                "No evidence of container crash during job execution in this log sample.", ""]
+ORPHAN_STATUS = "   [STATUS]: JOB STARTED BUT NEVER FINISHED - LIKELY CAUSED CONTAINER CRASH"
+CULPRITS_TITLE = ["", RULE, "TOP MEMORY LEAK CULPRITS (ranked by leak score)", RULE, ""]
+GLOBAL_TITLE = [RULE, "GLOBAL STATISTICS", RULE, ""]
+ITEM_RULE = "   " + "─" * 95
+CONV_TITLE = [RULE, "DOCUMENT CONVERSION LOG ANALYSIS REPORT", RULE, "", "SUMMARY", "-" * 50]
+CONV_BY_TYPE_TITLE = ["", "BY FILE TYPE", "-" * 50]
+CONV_DETAIL_TITLE = ["", "DETAILED CONVERSION RESULTS", "-" * 120,
+                     f"{'Filename':<40} {'Type':<12} {'Links':<6} {'Link Types':<15} {'Status':<10} "
+                     f"{'Input Size':<12} {'PDF Size':<12}", "-" * 120]
+CONV_DETAIL_ROW = "%-40s %-12s %-6s %-15s %-10s %-12s %-12s"
 
 
 def _f2(c) -> Column:
@@ -80,7 +101,7 @@ def leak_report_lines(entries: DataFrame, *, container_limit_mb: float | None =
     """K2: the leak report as ordered lines (overview, container, orphans, culprits, global)."""
     ov = leaks.analysis_overview(entries, container_limit_mb=container_limit_mb)
     mins = (leaks.epoch_seconds(F.col("time_range_end")) - leaks.epoch_seconds(F.col("time_range_start"))) / 60
-    s0 = _lines(ov, 0, [F.lit(RULE), F.lit("MEMORY LEAK ANALYSIS REPORT"), F.lit(RULE), F.lit(""), F.lit("OVERVIEW:"),
+    s0 = _lines(ov, 0, [*[F.lit(x) for x in LEAK_TITLE],
                         F.format_string("  Log entries analyzed: %d", "total_entries"),
                         F.format_string("  Unique jobs tracked: %d", "total_jobs_tracked"),
                         F.format_string("  Time range: %s to %s", F.col("time_range_start").cast("string"),
@@ -105,18 +126,12 @@ def leak_report_lines(entries: DataFrame, *, container_limit_mb: float | None =
     orph = leaks.orphaned_jobs(entries)
     n_orph = orph.select(F.count(F.lit(1))).scalar()
     one = entries.sparkSession.range(1)
-    crit = [RULE, "!!! CRITICAL: JOBS THAT STARTED BUT NEVER COMPLETED !!!", RULE, "",
-            "These jobs are PRIMARY OOM SUSPECTS - they started but have no completion log.",
-            "This typically indicates the container was killed (OOM) during job execution.", ""]
-    passed = [RULE, "ORPHANED JOBS CHECK: PASSED", RULE, "", "All jobs that started also completed successfully.",
-              "No evidence of container crash during job execution in this log sample.", ""]
-    parts.append(_lines(one, 2, [F.when(n_orph > 0, F.lit(a)).otherwise(F.lit(b)) for a, b in zip(crit, passed)]))
-    parts.append(_lines(one, 4, [F.lit(""), F.lit(RULE), F.lit("TOP MEMORY LEAK CULPRITS (ranked by leak score)"),
-                                 F.lit(RULE), F.lit("")]))
+    parts.append(_lines(one, 2, [F.when(n_orph > 0, F.lit(a)).otherwise(F.lit(b))
+                                 for a, b in zip(ORPHANS_FOUND, ORPHANS_NONE)]))
+    parts.append(_lines(one, 4, [F.lit(x) for x in CULPRITS_TITLE]))
     numbered = dense_index(orph, ["start_time", "job_name"], out="idx")
     parts.append(_lines(numbered, 3, [
-        F.format_string("%d. %s", "idx", "job_name"), F.lit("   " + "─" * 95),
-        F.lit("   [STATUS]: JOB STARTED BUT NEVER FINISHED - LIKELY CAUSED CONTAINER CRASH"),
+        F.format_string("%d. %s", "idx", "job_name"), F.lit(ITEM_RULE), F.lit(ORPHAN_STATUS),
         F.format_string("   Start Time: %s", F.col("start_time").cast("string")),
         F.format_string("   RSS at Start: %.2f MB", "rss_at_start"), F.format_string("   VMS at Start: %.2f MB", "vms_at_start"),
         F.format_string("   Memory %% at Start: %.2f%%", "memory_percent_at_start"),
@@ -125,7 +140,7 @@ def leak_report_lines(entries: DataFrame, *, container_limit_mb: float | None =
     ind = leaks.leak_indicators()
     flag = lambda cond: F.when(cond, F.lit("[LEAK]")).otherwise(F.lit("[OK]"))
     parts.append(_lines(top, 5, [
-        F.format_string("%d. %s", "rank", "job_name"), F.lit("   " + "─" * 95),
+        F.format_string("%d. %s", "rank", "job_name"), F.lit(ITEM_RULE),
         F.format_string("   Leak Score: %.2f %s %s", "leak_score", leaks.severity_label(),
                         F.when(F.size(ind) > 0, F.concat(F.lit("["), F.array_join(ind, ", "), F.lit("]"))).otherwise(F.lit(""))),
         F.format_string("   Completed Runs: %d", "run_count"),
@@ -148,7 +163,7 @@ def leak_report_lines(entries: DataFrame, *, container_limit_mb: float | None =
         F.format_string("     • Outlier: %s", F.when(F.col("is_statistical_outlier"), F.lit("YES [WARNING]")).otherwise(F.lit("No"))),
         F.format_string("     • StdDev: %.2f MB", "stddev_rss_delta"), F.lit("")], F.col("rank").cast("long")))
     g = leaks.global_delta_stats(entries)
-    parts.append(_lines(g, 7, [F.lit(RULE), F.lit("GLOBAL STATISTICS"), F.lit(RULE), F.lit(""),
+    parts.append(_lines(g, 7, [*[F.lit(x) for x in GLOBAL_TITLE],
                                F.format_string("  Global average RSS delta: %.2f MB", "global_avg_delta"),
                                F.format_string("  Global standard deviation: %.2f MB", "global_stddev_delta"),
                                F.format_string("  Outlier threshold (mean + 2*stddev): %.2f MB", "outlier_threshold"), F.lit("")]))
@@ -164,14 +179,14 @@ def conv_report_lines(records: DataFrame) -> DataFrame:
     from sheaf.operators.conversions import conversion_summary, conversions_by_type
     s = conversion_summary(records)
     summary = _lines(s, 0, [
-        F.lit(RULE), F.lit("DOCUMENT CONVERSION LOG ANALYSIS REPORT"), F.lit(RULE), F.lit(""), F.lit("SUMMARY"), F.lit("-" * 50),
+        *[F.lit(x) for x in CONV_TITLE],
         F.format_string("Total documents processed: %d", "total"),
         F.when(F.col("total") > 0, F.format_string("Successful conversions: %d (%.1f%%)", "successful", "success_pct"))
         .otherwise(F.lit("No documents")),
         F.format_string("Documents with links: %d", "with_links"),
         F.format_string("Documents with links - successful: %d", "successful_with_links"),
         F.when(F.col("with_links") > 0, F.format_string("Success rate for docs with links: %.1f%%", "links_success_pct")),
-        F.lit(""), F.lit("BY FILE TYPE"), F.lit("-" * 50)])
+        *[F.lit(x) for x in CONV_BY_TYPE_TITLE]])
     bt = conversions_by_type(records)
     by_type = bt.select(F.lit(1).alias("section"), F.when(F.col("file_type") == "excel", F.lit(0)).otherwise(F.lit(1)).cast("long").alias("ord"),
                         F.format_string("%s: %d total, %d successful",
@@ -181,15 +196,13 @@ def conv_report_lines(records: DataFrame) -> DataFrame:
     lt = truncate_text(F.when(F.size("link_types") > 0, F.array_join("link_types", ", ")).otherwise(F.lit("-")), 15, 12)
     ins = F.when(F.col("input_size_mb").isNotNull(), F.format_string("%.2fMB", "input_size_mb")).otherwise(F.lit("-"))
     pdf = F.when(F.coalesce(F.col("pdf_size_mb"), F.lit(0.0)) != 0, F.format_string("%.2fMB", "pdf_size_mb")).otherwise(F.lit("-"))
-    row = F.format_string("%-40s %-12s %-6s %-15s %-10s %-12s %-12s", truncate_text(F.col("filename"), 40, 37),
+    row = F.format_string(CONV_DETAIL_ROW, truncate_text(F.col("filename"), 40, 37),
                           F.coalesce(F.col("file_type"), F.lit("None")), links, lt,
                           F.when(F.col("conversion_successful"), F.lit("SUCCESS")).otherwise(F.lit("FAILED")), ins, pdf)
     detail = dense_index(records.withColumn("_nl", ~F.col("has_links")), ["_nl", "filename", "log_id"], out="idx") \
         .select(F.lit(3).alias("section"), F.col("idx").alias("ord"), row.alias("line"))
-    head = records.sparkSession.range(1).select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"), F.lit(
-        "\n".join(["", "DETAILED CONVERSION RESULTS", "-" * 120,
-                   f"{'Filename':<40} {'Type':<12} {'Links':<6} {'Link Types':<15} {'Status':<10} {'Input Size':<12} {'PDF Size':<12}",
-                   "-" * 120])).alias("line"))
+    head = records.sparkSession.range(1).select(F.lit(2).alias("section"), F.lit(0).cast("long").alias("ord"),
+                                                F.lit("\n".join(CONV_DETAIL_TITLE)).alias("line"))
     return summary.unionByName(by_type).unionByName(head).unionByName(detail)
 
 
