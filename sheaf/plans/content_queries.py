@@ -37,9 +37,10 @@ QUERIES = {
     "table_to_markdown": lambda s, d: tb.to_markdown_lines(table_cells(s, d)),
     "table_to_json": lambda s, d: tb.to_json_lines(table_cells(s, d)),
     "table_to_html": lambda s, d: tb.to_html_lines(table_cells(s, d)),
+    # The Markdown is computed once (a projection referenced twice is not inlined).
     "html_to_markdown": lambda s, d: load_table(s, d, "pages").select(
-        "page_id", F.md5(html_to_markdown(F.col("html"))).alias("md5"),
-        F.length(html_to_markdown(F.col("html"))).alias("n_chars")),
+        "page_id", html_to_markdown(F.col("html")).alias("md")).select(
+        "page_id", F.md5("md").alias("md5"), F.length("md").alias("n_chars")),
     "doc_chunk": _chunks,
     "task_status_latest": lambda s, d: flat(tk.latest_status(task_events(s, d))),
     "task_results": lambda s, d: tk.task_results(tk.latest_status(task_events(s, d)), _results(s, d)).select(
