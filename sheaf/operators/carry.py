@@ -43,19 +43,25 @@ def carry_last(df: DataFrame, *, keys: list[str], bucket: str, order: list[str],
 
 
 def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str], value: Column, out: str,
-                include_current: bool = True) -> DataFrame:
+                include_current: bool = True, out_prev: str | None = None) -> DataFrame:
     """Add ``out``: max of ``value`` over rows before (and, by default, at) this one
-    within ``keys``; bucketed like :func:`carry_last`."""
+    within ``keys``; bucketed like :func:`carry_last`. ``out_prev`` additionally
+    gives the max over the rows strictly before, from the same pass."""
     order_cols = _cols(order)
-    hi = 0 if include_current else -1
-    w = Window.partitionBy(*keys, bucket).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, hi)
-    with_local = df.withColumn("_v", value).withColumn("_local", F.max("_v").over(w))
+    w = Window.partitionBy(*keys, bucket).orderBy(*order_cols)
+    run = F.max("_v").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    with_local = df.withColumn("_v", value).withColumn("_local", run)
+    with_local = with_local.withColumn("_local_prev", F.lag("_local", 1).over(w))
     tails = with_local.groupBy(*keys, bucket).agg(F.max("_v").alias("_tail"))
     wb = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carry = tails.select(*keys, bucket, F.max("_tail").over(wb).alias("_carry"))
-    return (with_local.join(carry, on=[*keys, bucket], how="left")
-            .withColumn(out, F.greatest(F.col("_local"), F.col("_carry")))
-            .drop("_v", "_local", "_carry"))
+    joined = with_local.join(carry, on=[*keys, bucket], how="left")
+    prev = F.greatest(F.col("_local_prev"), F.col("_carry"))
+    cur = F.greatest(F.col("_local"), F.col("_carry"))
+    joined = joined.withColumn(out, cur if include_current else prev)
+    if out_prev:
+        joined = joined.withColumn(out_prev, prev)
+    return joined.drop("_v", "_local", "_local_prev", "_carry")
 
 
 def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:

@@ -70,9 +70,8 @@ def with_running_peak(samples: DataFrame, bucket_seconds: int = 3600) -> DataFra
     The first sample of a run is the seed and counts as a new peak.
     """
     s = samples.withColumn("_b", F.floor(F.col("epoch_s") / bucket_seconds).cast("long"))
-    s = running_max(s, keys=["run_id"], bucket="_b", order=ORDER, value=F.col("rss_mb"), out="running_peak")
-    s = running_max(s, keys=["run_id"], bucket="_b", order=ORDER, value=F.col("rss_mb"), out="_prev_peak",
-                    include_current=False)
+    s = running_max(s, keys=["run_id"], bucket="_b", order=ORDER, value=F.col("rss_mb"), out="running_peak",
+                    out_prev="_prev_peak")
     return (s.withColumn("is_new_peak", F.col("_prev_peak").isNull() | (F.col("rss_mb") > F.col("_prev_peak")))
             .drop("_prev_peak", "_b"))
 
