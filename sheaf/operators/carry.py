@@ -64,7 +64,8 @@ def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str]
     return joined.drop("_v", "_local", "_local_prev", "_carry")
 
 
-def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema: str) -> DataFrame:
+def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema: str,
+                      prepartitioned: bool = False) -> DataFrame:
     """Like ``groupBy(keys).applyInPandas(fn)`` but one Python call per partition.
 
     Rows are hash-partitioned on ``keys`` and sorted within partitions, so each
@@ -90,4 +91,8 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, sche
         if carry is not None and len(carry):
             yield fn(carry)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    if not prepartitioned:
+        df = df.repartition(*keys)
+    # With ``prepartitioned`` the caller guarantees hash partitioning on ``keys``;
+    # a sort the child already satisfies is removed by the planner.
+    return df.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -119,11 +119,13 @@ def monitor_emissions_batch(samples: DataFrame, *, log_interval_s: float = LOG_I
     seeds = s.groupBy("run_id").agg(F.min(F.struct("epoch_s", "seq")).alias("_first"))
     mon = mon.join(seeds, "run_id").where(F.struct("epoch_s", "seq") > F.col("_first")).drop("_first")
     cols = ["run_id", "seq", "epoch_s", "rss_mb", "running_peak", "new_peak", "chunk", "chunk_start"]
-    mon = mon.select(*cols)
-    summary = map_sorted_groups(mon, ["run_id", "chunk"], ["epoch_s", "seq"], _summarise(log_interval_s), _SUMMARY)
+    # One shuffle of the samples on (run, chunk), shared by the summary and replay passes;
+    # the join below moves only the small per-chunk state table.
+    mon = mon.select(*cols).repartition("run_id", "chunk")
+    keys, order = ["run_id", "chunk"], ["epoch_s", "seq"]
+    summary = map_sorted_groups(mon, keys, order, _summarise(log_interval_s), _SUMMARY, prepartitioned=True)
     theta = map_sorted_groups(summary, ["run_id"], ["chunk"], _scan(log_interval_s), _THETA)
-    return map_sorted_groups(mon.join(theta, ["run_id", "chunk"]), ["run_id", "chunk"], ["epoch_s", "seq"],
-                             _replay(log_interval_s), _OUT)
+    return map_sorted_groups(mon.join(theta, keys), keys, order, _replay(log_interval_s), _OUT, prepartitioned=True)
 
 
 SPIKE_STEP_MB = 100.0
@@ -186,8 +188,8 @@ def memory_spikes_batch(samples: DataFrame, *, step_mb: float = SPIKE_STEP_MB, c
     """T3 (batch): samples reported by the converter's ratchet (rss above the last
     reported value + ``step_mb``; the last value starts at 0)."""
     s = samples.select("run_id", "seq", "epoch_s", "rss_mb").withColumn(
-        "chunk", F.floor(F.col("epoch_s") / chunk_seconds).cast("long"))
-    summary = map_sorted_groups(s, ["run_id", "chunk"], ["epoch_s", "seq"], _spike_summarise(step_mb), _SPIKE_SUMMARY)
+        "chunk", F.floor(F.col("epoch_s") / chunk_seconds).cast("long")).repartition("run_id", "chunk")
+    keys, order = ["run_id", "chunk"], ["epoch_s", "seq"]
+    summary = map_sorted_groups(s, keys, order, _spike_summarise(step_mb), _SPIKE_SUMMARY, prepartitioned=True)
     last = map_sorted_groups(summary, ["run_id"], ["chunk"], _spike_scan(step_mb), _SPIKE_THETA)
-    return map_sorted_groups(s.join(last, ["run_id", "chunk"]), ["run_id", "chunk"], ["epoch_s", "seq"],
-                             _spike_replay(step_mb), _SPIKE_OUT)
+    return map_sorted_groups(s.join(last, keys), keys, order, _spike_replay(step_mb), _SPIKE_OUT, prepartitioned=True)
