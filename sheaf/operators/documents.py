@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sheaf.functions import routing as r
 from sheaf.operators.indexing import dense_index
 
+# The converter's error summary (message text and excerpt length) as it reports them.
 ERROR_TEXT_CHARS = 300
 OOM_MESSAGE = "OUT OF MEMORY detected in LibreOffice logs"
 

@@ -8,30 +8,36 @@ from sheaf.operators import conversions as cv
 
 
 def fold_loop(events):
-    """Reference semantics as a plain loop over parsed events (test oracle)."""
-    conv, order, cur = {}, [], None
-    for e in events:
-        t = e["event_type"]
-        if t == "ATTEMPT":
-            cur = e["filename"]
-            if cur not in conv:
-                conv[cur] = dict(file_type=e["file_type"], attempt=e["attempt"], size=e["input_size"], links=0,
-                                 types=[], ok=False, pdf=None, time=None)
-                order.append(cur)
-            else:
-                conv[cur]["attempt"] = e["attempt"]
-                if e["input_size"] is not None:
-                    conv[cur]["size"] = e["input_size"]
-        elif t == "LINK_SCAN":
-            m = next((k for k in order if e["filename"] in k or k in e["filename"]), None)
-            tgt = m or (cur if cur in conv else None)
-            if tgt:
-                conv[tgt]["links"], conv[tgt]["types"] = e["links_found"], e["link_types"]
-        elif t == "SUCCESS" and cur in conv:
-            conv[cur]["ok"], conv[cur]["pdf"] = True, e["pdf_size"]
-        elif t == "CONVERTED" and e["filename"] in conv:
-            conv[e["filename"]].update(ok=True, pdf=e["pdf_size"], time=e["conversion_time"])
-    return conv
+    """Specification, evaluated per document over the whole event list (test oracle)."""
+    ev = list(events)
+    pos = {id(e): i for i, e in enumerate(ev)}
+    attempts = [e for e in ev if e["event_type"] == "ATTEMPT"]
+    created = {}
+    for e in attempts:
+        created.setdefault(e["filename"], pos[id(e)])
+
+    def current(i):
+        before = [e for e in attempts if pos[id(e)] <= i]
+        return before[-1]["filename"] if before else None
+
+    def scan_target(e):
+        i, name = pos[id(e)], e["filename"]
+        hits = [(c, f) for f, c in created.items() if c < i and (name in f or f in name)]
+        return min(hits)[1] if hits else current(i)
+
+    out = {}
+    for f, c in created.items():
+        mine = [e for e in attempts if e["filename"] == f]
+        sizes = [e["input_size"] for e in mine if e["input_size"] is not None]
+        scans = [e for e in ev if e["event_type"] == "LINK_SCAN" and scan_target(e) == f]
+        done = [e for e in ev if (e["event_type"] == "SUCCESS" and current(pos[id(e)]) == f)
+                or (e["event_type"] == "CONVERTED" and e["filename"] == f and c < pos[id(e)])]
+        conv = [e for e in done if e["event_type"] == "CONVERTED"]
+        out[f] = dict(file_type=mine[0]["file_type"], attempt=mine[-1]["attempt"], size=sizes[-1] if sizes else None,
+                      links=scans[-1]["links_found"] if scans else 0, types=scans[-1]["link_types"] if scans else [],
+                      ok=bool(done), pdf=done[-1]["pdf_size"] if done else None,
+                      time=conv[-1]["conversion_time"] if conv else None)
+    return out
 
 
 def test_parse_priority_and_fields(spark):

@@ -63,20 +63,18 @@ def test_pairing_edge_cases(spark):
 
 
 def brute_orphans(entries):
-    """Brute-force loop with the same semantics (sorted scan, closest earlier START), as a test oracle."""
-    ents = sorted(entries, key=lambda e: e[0])  # stable sort by ts
-    started, done = {}, set()
-    for ts, kind, job, line in ents:
-        if kind == "START":
-            started[(job, ts)] = line
-        else:
-            best = None
-            for (j, s) in started:
-                if j == job and s <= ts and (best is None or s > best):
-                    best = s
-            if best is not None:
-                done.add((job, best))
-    return {k for k in started if k not in done}
+    """Specification, checked item by item: an END takes the latest START key of its job among
+    STARTs that come before it in (time, file position) order; a START key is orphaned when no
+    END takes it."""
+    starts = [(ts, pos, job) for ts, kind, job, pos in entries if kind == "START"]
+    taken = set()
+    for ts, kind, job, pos in entries:
+        if kind != "END":
+            continue
+        before = [s_ts for s_ts, s_pos, s_job in starts if s_job == job and (s_ts, s_pos) < (ts, pos)]
+        if before:
+            taken.add((job, max(before)))
+    return {(job, ts) for ts, _, job in starts} - taken
 
 
 def test_pairing_matches_brute_force(spark):
