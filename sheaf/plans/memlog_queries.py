@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.memlog import parse_memlog, render_memlog_message
 from sheaf.operators import leaks
-from sheaf.plans.common import flat, r6, ts_text
+from sheaf.plans.common import flat, ts_text
 from sheaf.plans.fixtures import memlog_lines
 
 CONTAINER_LIMIT_MB = 2048.0

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.plans import (reports_oracle, reports_queries, content_oracle, content_queries, packages_oracle, packages_queries, convlog_oracle, convlog_queries, documents_oracle, documents_queries, memlog_oracle, memlog_queries, samples_oracle,
-                         samples_queries)
+from sheaf.plans import (content_oracle, content_queries, convlog_oracle, convlog_queries, documents_oracle,
+                         documents_queries, memlog_oracle, memlog_queries, packages_oracle, packages_queries,
+                         reports_oracle, reports_queries, samples_oracle, samples_queries)
 
 _DOMAINS = [
     (memlog_queries.QUERIES, memlog_oracle.ORACLE),

@@ -1,11 +1,9 @@
 """Sinks write what the operators produce; the driver entry runs on sf0.001."""
 
 import glob
-import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF
 from sheaf.plans import reports as rp
 from sheaf.streaming.folds import task_status_stream
 
