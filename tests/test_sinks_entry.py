@@ -2,7 +2,6 @@
 
 import glob
 
-from pyspark.sql import functions as F
 
 from sheaf.plans import reports as rp
 from sheaf.streaming.folds import task_status_stream
