@@ -29,6 +29,7 @@ def get_session(master: str | None = None, app_name: str = "sheaf",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -55,3 +56,33 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark, fallback_dir or os.environ.get("SHEAF_TEST_CHECKPOINT_DIR"))
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sheaf`` importable in Python workers (like ``--py-files``), once per context.
+
+    Pandas functions that run in tasks refer to this package; executors receive a
+    zip of it through ``SparkContext.addPyFile``.
+    """
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    fd, path = tempfile.mkstemp(prefix="sheaf-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
