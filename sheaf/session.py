@@ -61,28 +61,52 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
 _SHIPPED: set = set()
 
 
+def _package_zip() -> bytes:
+    import io
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    return buf.getvalue()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``sheaf`` importable in Python workers (like ``--py-files``), once per context.
 
-    Pandas functions that run in tasks refer to this package; executors receive a
-    zip of it through ``SparkContext.addPyFile``.
+    Pandas functions that run in tasks refer to this package. Its zip is written to
+    the cluster's shared checkpoint folder (Hadoop FileSystem API) and added with
+    ``SparkContext.addPyFile``; only a session without that folder (local tests)
+    falls back to a driver-local file.
     """
-    import tempfile
-    import zipfile
+    import uuid
 
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    fd, path = tempfile.mkstemp(prefix="sheaf-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for base, _, files in os.walk(pkg_dir):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(base, f)
-                    z.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
+    data = _package_zip()
+    shared = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        jvm = sc._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/sheaf-pkg-{uuid.uuid4().hex}.zip")
+        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(target, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+        sc.addPyFile(target.toString())
+    else:
+        import tempfile
+        fd, path = tempfile.mkstemp(prefix="sheaf-", suffix=".zip")
+        with os.fdopen(fd, "wb") as fh:
+            fh.write(data)
+        sc.addPyFile(path)
     _SHIPPED.add(key)
