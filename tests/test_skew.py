@@ -37,3 +37,32 @@ def test_hot_job_spreads_and_stays_exact(spark):
     got = {(r.job_name, (r.start_time.day - 1) * 86400 + r.start_time.hour * 3600 + r.start_time.minute * 60
             + r.start_time.second) for r in leaks.orphaned_jobs(e).collect()}
     assert got == brute_orphans(ents)
+
+
+def test_one_huge_conversion_log(spark):
+    from sheaf.functions.convlog import parse_convlog
+    from sheaf.operators import conversions as cv
+    from sheaf.sources.text import lines_from_column
+    from test_convlog import fold_loop
+    rnd = random.Random(4)
+    names = [f"excel_input_{i}.xlsx" for i in range(60)]
+    text = []
+    for _ in range(3000):
+        n = rnd.choice(names)
+        k = rnd.random()
+        if k < 0.4:
+            text.append(f"[Attempt {rnd.randint(1, 2)}/2] Converting {n} ({rnd.randint(1, 9)}.00MB)...")
+        elif k < 0.6:
+            text.append(f"[LINK_SCAN] file='{rnd.choice([n, n[6:], 'zz'])}' external_links_found=1 link_types=['ole']")
+        elif k < 0.8:
+            text.append(f"[SUCCESS] excel conversion completed, PDF size: {rnd.randint(1, 9)}.00MB")
+        else:
+            text.append(f"Converted {n} to PDF ({rnd.randint(1, 9)}.00MB) in 2.0s")
+    raw = spark.createDataFrame(list(enumerate(text)), "pos long, line string")
+    ev = parse_convlog(lines_from_column(raw, "line", "pos", log_id=F.lit("one-log"), block_size=32))
+    # One log: a per-log window is one task (100%). About 94 blocks of 32 lines hash into 64 partitions, so the
+    # busiest partition holds a few blocks (a few percent) rather than the log.
+    assert _max_share(ev, ["log_id"]) == 1.0 and _max_share(ev, ["log_id", "block"]) < 0.1
+    want = fold_loop([r.asDict() for r in ev.orderBy("line_no").collect()])
+    got = {r.filename: (r.conversion_successful, r.links_found, r.pdf_size_mb) for r in cv.conversion_records(ev).collect()}
+    assert got == {f: (w["ok"], w["links"], w["pdf"]) for f, w in want.items()}
