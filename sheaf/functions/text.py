@@ -1,6 +1,6 @@
 """Text conversions: HTML -> Markdown (P21), slide text (P22), chunking.
 
-The HTML rules are ours (the reference delegates to an external converter):
+The HTML rules are ours (the original tools delegate to an external converter):
 drop head/script/style/nav and comments, map headings, list items, links and
 bold/italic to Markdown, turn block ends into line breaks, strip the remaining
 tags, unescape the five basic entities and squeeze blank lines.

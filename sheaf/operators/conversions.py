@@ -1,6 +1,6 @@
 """Conversion-log fold (C14, C15, J3, J4, C16, C17, S2, F-9): one record per document.
 
-Per log (``log_id``) the reference walks lines in order with a mutable map of
+Per log (``log_id``) the rule is defined as a walk over lines in order with a map of
 conversions keyed by file name and a "current file" cursor. Here:
 
 * C15 current file: bucketed carry-forward of the last ATTEMPT file name.

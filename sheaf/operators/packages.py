@@ -149,7 +149,7 @@ def sanitize_members(members: DataFrame, parity: bool = True) -> DataFrame:
     """G6 + J9: rewritten content per member and the operation it caused.
 
     Only members whose name ends with ``.xml`` are visited (so with ``parity``
-    the ``.rels`` rule never fires, as in the reference sanitiser); members that
+    the ``.rels`` rule never fires, as in the original sanitiser); members that
     are not UTF-8 are left as they are.
     """
     m, c = F.col("member"), F.col("content")

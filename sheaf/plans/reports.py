@@ -51,7 +51,7 @@ def _f2(c) -> Column:
 def leak_csv_lines(top: DataFrame, tto_format: str | None = None) -> DataFrame:
     """K1: rank-ordered CSV lines for the top culprits (rank 0 is the header).
 
-    ``time_to_oom_hours`` is written raw (shortest repr), as the reference does;
+    ``time_to_oom_hours`` is written raw (shortest repr), as the original report does;
     ``tto_format`` (e.g. '%.6f') renders it at a fixed precision instead.
     """
     raw = F.col("time_to_oom_hours")
