@@ -165,10 +165,9 @@ def job_stats(entries: DataFrame, *, container_limit_mb: float | None = None,
             .withColumn("time_to_oom_hours", F.lit(None).cast("double"))
 
     # The global threshold is a scalar subquery, applied to every job.
-    g = global_delta_stats(entries)
+    g = global_delta_stats(entries).select(F.struct("n_deltas", "outlier_threshold").alias("g")).scalar()
     js = js.withColumn("is_statistical_outlier",
-                       (g.select(F.col("n_deltas") > 0).scalar())
-                       & (F.col("avg_rss_delta") > g.select("outlier_threshold").scalar()))
+                       (g.getField("n_deltas") > 0) & (F.col("avg_rss_delta") > g.getField("outlier_threshold")))
 
     # Weighted score, terms added in a fixed order.
     score = F.col("orphaned_count") * 10000.0
@@ -237,7 +236,7 @@ def analysis_overview(entries: DataFrame, *, container_limit_mb: float | None =
         F.max_by("rss_after", F.when(end, file_order())).alias("last_rss"))
     jobs = (orphaned_jobs(entries, bucket_seconds).select("job_name")
             .unionByName(entries.where(end).select("job_name")).distinct())
-    g = global_delta_stats(entries)
+    gs = global_delta_stats(entries).select(F.struct("global_avg_delta", "global_stddev_delta").alias("g")).scalar()
     zero = F.lit(0.0)
     truthy = lambda c: c.isNotNull() & (c != 0)
     growth = F.when((F.col("n_end") > 0) & truthy(F.col("first_rss")) & truthy(F.col("last_rss")),
@@ -252,8 +251,8 @@ def analysis_overview(entries: DataFrame, *, container_limit_mb: float | None =
         growth.alias("overall_rss_growth"),
         F.when(hours > 0, growth / hours).otherwise(zero).alias("overall_growth_rate_mb_per_hour"),
         current.alias("current_rss_mb"),
-        g.select("global_avg_delta").scalar().alias("global_avg_delta"),
-        g.select("global_stddev_delta").scalar().alias("global_stddev_delta"))
+        gs.getField("global_avg_delta").alias("global_avg_delta"),
+        gs.getField("global_stddev_delta").alias("global_stddev_delta"))
     if container_limit_mb:
         lim = F.lit(float(container_limit_mb))
         avail = F.when(truthy(F.col("current_rss_mb")), lim - F.col("current_rss_mb"))
