@@ -57,8 +57,12 @@ def scan_targets(events: DataFrame, convs: DataFrame | None = None, with_current
     c = convs.select("log_id", F.col("filename").alias("cand"), "created")
     # Only substrings whose length some name on the other side has can match; the length
     # sets are scalar subqueries (bounded by the longest file name).
-    conv_lengths = c.select(F.collect_set(F.length("cand"))).scalar()
-    scan_lengths = scans.select(F.collect_set(F.length("scan_name"))).scalar()
+    lengths = (c.select(F.lit(True).alias("is_conv"), F.length("cand").alias("n"))
+               .unionByName(scans.select(F.lit(False).alias("is_conv"), F.length("scan_name").alias("n")))
+               .agg(F.struct(F.collect_set(F.when(F.col("is_conv"), F.col("n"))).alias("conv"),
+                             F.collect_set(F.when(~F.col("is_conv"), F.col("n"))).alias("scan")).alias("l"))
+               .scalar())  # one job for both length sets
+    conv_lengths, scan_lengths = lengths.getField("conv"), lengths.getField("scan")
     # (a) conversion name inside the scan name: substrings of the scan name hit names exactly.
     in_scan = (substrings_of_lengths(scans.select("log_id", "pos", "scan_name"), "scan_name", conv_lengths, "cand")
                .join(c, on=["log_id", "cand"]).where(F.col("created") < F.col("pos")).select("log_id", "pos", "cand", "created"))
