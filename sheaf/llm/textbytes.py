@@ -10,7 +10,7 @@ only within one document or one pair of documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -78,6 +78,14 @@ class Chunk:
         """A-Z in lower case, all other characters as they are."""
         return Chunk(LOWER[self.data], self.offsets)
 
+    def folded(self) -> "Chunk":
+        """A-Z and the capitals from U+00C0 to U+00DE in lower case."""
+        data = LOWER[self.data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+        data[second] += 0x20
+        return Chunk(data, self.offsets)
+
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Per document, the sum of a per-byte count or flag."""
         total = np.concatenate([[0], np.cumsum(per_byte, dtype=np.int64)])
@@ -114,12 +122,28 @@ class Chunk:
         s[~head], e[~tail] = inner + 1, inner
         return s, e, count
 
-    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
+    def hasher(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Gives 64-bit hashes of byte spans (starts, ends); equal bytes give equal hashes wherever they stand."""
         up, down = powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-        return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        return lambda s, e: mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+
+    def hashes(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return self.hasher()(s, e)
+
+
+def windows(word_hash: np.ndarray, per_doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every window of ``width`` words that lies within one document."""
+    size = max(len(word_hash) - width + 1, 0)
+    full = np.zeros(size, np.uint64)
+    if not size:
+        return np.empty(0, np.int64), full
+    for k in range(width):
+        full = full * _SHINGLE + word_hash[k: k + size]
+    doc = np.repeat(np.arange(len(per_doc)), per_doc)
+    first = np.flatnonzero(doc[:size] == doc[width - 1:])
+    return first, mix(full[first] + np.uint64(width))
 
 
 def shingles(word_hash: np.ndarray, per_doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,17 +151,13 @@ def shingles(word_hash: np.ndarray, per_doc: np.ndarray, width: int) -> tuple[np
 
     A document with fewer words gives one window of all its words; without words it gives none.
     """
-    n = len(word_hash)
-    at = np.concatenate([[0], np.cumsum(per_doc)])
-    doc = np.repeat(np.arange(len(per_doc)), per_doc)
-    full = np.zeros(max(n - width + 1, 0), np.uint64)
-    for k in range(width):
-        full = full * _SHINGLE + word_hash[k: k + len(full)] if len(full) else full
-    keep = np.flatnonzero(doc[: len(full)] == doc[width - 1:]) if len(full) else np.empty(0, np.int64)
+    first, full = windows(word_hash, per_doc, width)
+    count = np.where(per_doc >= width, per_doc - width + 1, np.minimum(per_doc, 1))
     short = np.flatnonzero((per_doc > 0) & (per_doc < width))
     if not len(short):
-        return mix(full[keep] + np.uint64(width)), np.maximum(per_doc - width + 1, 0)
-    pos, val = [keep], [mix(full[keep] + np.uint64(width))]
+        return full, count
+    at = np.concatenate([[0], np.cumsum(per_doc)])
+    pos, val = [first], [full]
     for d in short:
         h = np.zeros(1, np.uint64)
         for w in word_hash[at[d]: at[d + 1]]:
@@ -145,7 +165,21 @@ def shingles(word_hash: np.ndarray, per_doc: np.ndarray, width: int) -> tuple[np
         pos.append(np.array([at[d]]))
         val.append(mix(h + np.uint64(per_doc[d])))
     order = np.argsort(np.concatenate(pos), kind="stable")
-    return np.concatenate(val)[order], np.where(per_doc >= width, per_doc - width + 1, np.minimum(per_doc, 1))
+    return np.concatenate(val)[order], count
+
+
+def repeats(hashes: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flags of items that an earlier item of their document equals, and of items that any other one equals."""
+    doc = np.repeat(np.arange(len(per_doc), dtype=np.uint64), per_doc)
+    key = mix(hashes + doc * _SHINGLE)  # equal only for equal hashes of one document
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    later, shared = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    later[order[1:]] = same
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    return later, shared
 
 
 def text_chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, Chunk]]:
