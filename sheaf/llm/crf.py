@@ -81,7 +81,7 @@ def train(word: np.ndarray, label: np.ndarray, chains: Chains, words: int, ridge
     inner[chains.start] = False
     nxt = np.flatnonzero(inner)
     seen = np.bincount(word, label, words)
-    pairs = np.bincount(label[nxt - 1] * 2 + label[nxt], minlength=4).astype(float)
+    pairs = np.bincount(label[nxt - 1].astype(np.int64) * 2 + label[nxt], minlength=4).astype(float)
     for _ in range(steps):
         transition = np.exp(theta[words + 1:]).reshape(2, 2)
         emission = np.exp(theta[:words] + theta[words])[word]
@@ -89,11 +89,12 @@ def train(word: np.ndarray, label: np.ndarray, chains: Chains, words: int, ridge
         p = forward * backward
         p /= 1 + p
         a, b = forward[nxt - 1], emission[nxt] * backward[nxt]
-        joint = np.stack([np.full(len(nxt), transition[0, 0]), transition[0, 1] * b, transition[1, 0] * a,
-                          transition[1, 1] * a * b])
-        joint /= joint.sum(0)
+        whole = transition[0, 0] + transition[0, 1] * b + a * (transition[1, 0] + transition[1, 1] * b)
+        from_one = a / whole
+        both = np.array([(1 / whole).sum(), (b / whole).sum(), from_one.sum(), (from_one * b).sum()])
+        joint = transition.ravel() * both
         own = np.bincount(word, p, words) - seen
-        gradient = np.concatenate([own + ridge * theta[:words], [own.sum()], joint.sum(1) - pairs])
+        gradient = np.concatenate([own + ridge * theta[:words], [own.sum()], joint - pairs])
         turn = np.sign(gradient) * np.sign(before)
         step = np.clip(np.where(turn > 0, step * 1.2, np.where(turn < 0, step * 0.5, step)), 1e-4, 2.0)
         before = np.where(turn < 0, 0, gradient)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Documents are handled in chunks of about this many bytes; one longer text is a chunk by itself."""
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -54,7 +54,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse; the table of a normal chunk is kept."""
-    size = CHUNK_BYTES * 2
+    size = CHUNK_BYTES + 1
     if n > size:
         return _powers.__wrapped__(n)
     up, down = _powers(size)

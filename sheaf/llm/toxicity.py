@@ -2,7 +2,7 @@
 
 Documents carry one label each, so tokens are labelled first: *stems* (beginnings of words, or whole
 words) are picked greedily that explain toxic documents with few clean ones, each time among
-the toxic documents that no picked stem explains; a token is toxic if its document is and it
+the toxic documents that few picked stems explain; a token is toxic if its document is and it
 has a picked stem. A two-state chain over the words of each sentence is trained on these
 tokens. Forward-backward marginals of every token of a whole text give its offending spans, and,
 aggregated, the document's score by a logistic fit to the documents' labels.
@@ -15,7 +15,7 @@ runs where the texts are.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +31,25 @@ _STOP = lut(".!?\n")
 _CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
-"""Code points of the beginnings of words that may become stems; whole words may too."""
+"""Code points of the beginnings of words that may become stems; whole words may too. A stem's length stands in the
+last four bits of its hash."""
+
+_LENGTH = np.uint64(15)
+_ANY = ~_LENGTH
 
 
 @dataclass(frozen=True)
 class Tagging:
     """``sample``: labelled rows at most; ``picked``: toxic stems at most; ``support``: unexplained toxic texts that a
-    stem needs; ``precision``: share of toxic ones among its texts; ``words``: words with weights of their own."""
-    sample: int = 3000
+    stem needs; ``precision``: share of toxic ones among its texts; ``words``: words with weights of their own;
+    ``plain``: one in so many sentences without a stem trains the chain, and all with one do; ``cover``: stems that explain a document."""
+    sample: int = 5000
     picked: int = 200
-    support: int = 5
+    support: int = 4
     precision: float = 0.65
     words: int = 5000
+    plain: int = 4
+    cover: int = 2
     cut: float = 0.5
 
 
@@ -104,10 +111,20 @@ class Tokens:
     def stems(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens that have so many code points, and the hashes of their beginnings; 0: all tokens, as whole words."""
         if not length:
-            return np.arange(len(self.s)), mix(self.word + np.uint64(1))
+            return np.arange(len(self.s)), mix(self.word + np.uint64(1)) & _ANY
         after = self.char_at[np.minimum(self.points[self.s] + length, len(self.char_at) - 1)]
         row = np.flatnonzero((after <= self.e) & (self.points[self.e] - self.points[self.s] >= length))
-        return row, self.hash(self.s[row], after[row])
+        return row, self.hash(self.s[row], after[row]) & _ANY | np.uint64(length)
+
+    def units(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, stem hash) of all stems of all lengths, each pair once."""
+        found = [self.stems(n) for n in (0, *STEM_LENGTHS)]
+        doc, h = np.concatenate([self.doc[r] for r, _ in found]), np.concatenate([h for _, h in found])
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        return doc[new], h[new]
 
     def chains(self) -> Chains:
         return chains_of(self.first)
@@ -127,31 +144,26 @@ def aggregates(p: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
                      np.minimum(np.bincount(doc[p > 0.5], minlength=docs), 3.0)], 1)
 
 
-def pick_stems(units: list[np.ndarray], toxic: np.ndarray, length: dict[int, int], params: Tagging) -> list[int]:
-    """Hashes that explain toxic documents (arrays of distinct hashes), greedily by unexplained support, longest first
-    among equals."""
-    if not toxic.any():
-        return []
-    clean = [d for d, t in zip(units, toxic) if not t]
-    known, known_count = np.unique(np.concatenate(clean), return_counts=True) if clean else \
-        (np.empty(0, np.uint64), np.empty(0, np.int64))
-    poor = [d for d, t in zip(units, toxic) if t]
-    owner, flat = np.repeat(np.arange(len(poor)), [len(d) for d in poor]), np.concatenate(poor)
-    words, at = np.unique(flat, return_inverse=True)
-    in_clean = np.append(known_count, 0)[places(known, words)]
-    size = np.array([length[w] or 9 for w in words.tolist()])
-    left, out = np.ones(len(poor), bool), []
-    while len(words) and len(out) < params.picked:
-        new = np.bincount(at[left[owner]], minlength=len(words))
+def pick_stems(owner: np.ndarray, at: np.ndarray, stems: np.ndarray, in_clean: np.ndarray, params: Tagging) -> list[int]:
+    """Hashes of stems that explain toxic documents, greedily by support among those not yet explained, longest first among equals.
+
+    ``owner`` and ``at``: toxic document and index of each of its stems; ``in_clean``: clean documents with each stem.
+    """
+    size = (stems & _LENGTH).astype(int)
+    size[size == 0] = max(STEM_LENGTHS) + 1
+    needs, out = np.full(int(owner.max()) + 1 if len(owner) else 0, params.cover), []
+    while len(stems) and len(out) < params.picked:
+        new = np.bincount(at[needs[owner] > 0], minlength=len(stems))
+        new[[k for k, _ in out]] = 0
         worth = np.where((new >= params.support) & (new >= params.precision * (new + in_clean)),
                          new * (new / np.maximum(new + in_clean, 1)) ** 2, 0)
         ties = np.flatnonzero(worth == worth.max())
-        k = int(ties[np.lexsort((words[ties], -size[ties]))[0]])
+        k = int(ties[np.lexsort((stems[ties], -size[ties]))[0]])
         if not worth[k]:
             break
-        out.append(int(words[k]))
-        left[owner[at == k]] = False
-    return out
+        out.append((k, int(stems[k])))
+        needs[owner[at == k]] -= 1
+    return [h for _, h in out]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -176,34 +188,44 @@ def learn(docs: DataFrame, labels: DataFrame, params: Tagging = Tagging()) -> Ta
 
 def train_tagger(texts: pa.ChunkedArray, toxic: np.ndarray, params: Tagging = Tagging()) -> Tagger:
     """A tagger from different texts and their labels."""
-    parts = [Tokens(c) for _, c in text_chunks(texts)]
-    units, length = [], {}
-    for t in parts:
-        found = [(n, *t.stems(n)) for n in (0, *STEM_LENGTHS)]
-        for n, _, h in found:
-            length.update(dict.fromkeys(np.unique(h).tolist(), n))
-        row, h = np.concatenate([r for _, r, _ in found]), np.concatenate([h for _, _, h in found])
-        order = np.argsort(t.doc[row], kind="stable")
-        cut = np.searchsorted(t.doc[row][order], np.arange(len(t.per_doc) + 1))
-        units += [np.unique(h[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
-    picked = pick_stems(units, toxic, length, params)
-    if not picked:
+    owner, flat, every = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+    for row, c in text_chunks(texts):
+        t = Tokens(c)
+        doc, h = t.units()
+        of_toxic = toxic[row + doc]
+        owner.append(row + doc[of_toxic])
+        flat.append(h[of_toxic])
+        every.append(t.word)
+    owner, flat, every = np.concatenate(owner), np.concatenate(flat), np.concatenate(every)
+    stems, at, hits = np.unique(flat, return_inverse=True, return_counts=True)
+    often = hits >= params.support
+    owner, at, stems = owner[often[at]], (np.cumsum(often) - 1)[at[often[at]]], stems[often]
+    in_clean = np.zeros(len(stems) + 1, np.int64)
+    for row, c in text_chunks(texts):
+        doc, h = Tokens(c).units()
+        in_clean += np.bincount(places(stems, h[~toxic[row + doc]]), minlength=len(stems) + 1)
+    picked = np.array(pick_stems(owner, at, stems, in_clean[:-1], params), np.uint64)
+    if not len(picked):
         return Tagger()
-    stems = {n: np.sort(np.array([w for w in picked if length[w] == n], np.uint64)) for n in
-             sorted({length[w] for w in picked})}
-    every, count = np.unique(np.concatenate([t.word for t in parts]), return_counts=True)
+    stems = {int(n): np.sort(picked[picked & _LENGTH == n]) for n in np.unique(picked & _LENGTH)}
+    every, count = np.unique(every, return_counts=True)
     words = np.sort(every[np.lexsort((every, -count))[: params.words]])
     start = Tagger(stems, words)
-    symbol = np.concatenate([start.symbols(t) for t in parts])
-    before = np.cumsum([0, *[len(t.per_doc) for t in parts]])
-    doc = np.concatenate([t.doc + b for t, b in zip(parts, before)])
-    first = np.concatenate([t.first for t in parts])
-    label = (toxic[doc] & (symbol < len(picked))).astype(np.int64)
-    chains = chains_of(first)
-    weights, transition = train(symbol, label, chains, len(picked) + len(words) + 1)
-    p = marginals(np.exp(weights)[symbol], np.exp(transition), chains)
-    fit = _logistic(aggregates(p, doc, len(toxic)), toxic.astype(float))
-    return Tagger(stems, words, weights, np.exp(transition), fit)
+    parts = []
+    for row, c in text_chunks(texts):
+        t = Tokens(c)
+        symbol, chains = start.symbols(t).astype(np.int32), t.chains()
+        chain = np.cumsum(t.first) - 1
+        told = np.zeros(len(chains.start), bool)
+        told[chain[symbol < len(picked)]] = True
+        use = told | (np.arange(len(told)) % params.plain == 0)
+        use = use[chain] if len(chain) else np.zeros(0, bool)
+        parts.append((symbol[use], (toxic[row + t.doc[use]] & (symbol[use] < len(picked))).astype(np.int8), t.first[use]))
+    symbol, label, first = (np.concatenate(x) for x in zip(*parts))
+    weights, transition = train(symbol, label, chains_of(first), len(picked) + len(words) + 1)
+    tagger = Tagger(stems, words, weights, np.exp(transition))
+    rows = [aggregates(tagger.marginals(t), t.doc, len(c)) for _, c in text_chunks(texts) for t in [Tokens(c)]]
+    return replace(tagger, logistic=_logistic(np.concatenate(rows), toxic.astype(float)))
 
 
 def tag(docs: DataFrame, tagger: Tagger, cut: float = 0.5, keep: bool = False) -> DataFrame:
