@@ -16,10 +16,11 @@ Pattern = tuple[tuple[int, ...], int]
 
 @dataclass(frozen=True)
 class Limits:
-    """``width``: fillings tried at a node; ``nodes``: nodes that the search opens at most;
-    ``items``: pieces that a filling adds to the largest one at a time."""
+    """``width``: fillings tried at a node; ``nodes``: nodes that the search opens at most; ``steps``: extensions of
+    a filling that a node tries; ``items``: pieces that a filling adds to the largest one at a time."""
     width: int = 6
-    nodes: int = 6_000
+    nodes: int = 4_000
+    steps: int = 300
     items: int = 5
 
 
@@ -100,7 +101,7 @@ def fillings(order: list[int], left: dict[int, int], room: int, waste: int, limi
     if not order or order[0] > room:
         return [()] if room <= waste else []
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [400 * limits.width]
+    budget = [limits.steps]
     least = [room]
 
     def grow(filling: tuple[int, ...], space: int, top: int) -> None:
