@@ -3,8 +3,8 @@
 Every line of enough words is keyed by its digest. HyperLogLog sketches of the sites, and of
 the documents' own signatures, merge per line by aggregation. Lines whose estimates lie near a
 threshold get exact distinct counts. A line on ``sites`` sites or more is boilerplate and
-goes from every document but the first that has it. A signature is a document's smallest line digest: copies
-of one document share it. A line whose documents mostly share signatures stands in copies of
+goes from every document but the first that has it. A signature stands for a document's
+other lines: copies of one document mostly share it. A line whose documents mostly share signatures stands in copies of
 a text, not in different texts; it is left to near-duplicate removal.
 """
 
@@ -40,11 +40,20 @@ def _key(line: Column) -> Column:
 
 
 def line_entries(docs: DataFrame, site: str, params: Spread) -> DataFrame:
-    """line (digest), doc_id, site, signature: one row per document and different line of enough words."""
+    """line (digest), doc_id, site, signature: one row per document and different line of enough words.
+
+    The signature joins the smallest and the largest digest of the document's other lines, so that a line never
+    is its own documents' signature, whatever its digest.
+    """
     long = F.filter(_lines(F.col("text")), lambda x: F.regexp_count(x, F.lit(WORD)) >= params.words)
     keys = docs.select("doc_id", F.col(site).cast("string").alias("site"),
-                       F.array_distinct(F.transform(long, _key)).alias("keys"))
-    return keys.select("doc_id", "site", F.array_min("keys").alias("signature"), F.explode("keys").alias("line"))
+                       F.array_sort(F.array_distinct(F.transform(long, _key))).alias("keys"))
+    at, n = F.col("at"), F.size("keys")
+    low = F.get("keys", F.when(at == 0, 1).otherwise(0))
+    high = F.get("keys", F.when(at == n - 1, n - 2).otherwise(n - 1))
+    none = F.unhex(F.lit(""))
+    return keys.select("doc_id", "site", "keys", F.posexplode("keys").alias("at", "line")).select(
+        "doc_id", "site", F.concat(F.coalesce(low, none), F.coalesce(high, none)).alias("signature"), "line")
 
 
 def boilerplate(entries: DataFrame, params: Spread) -> DataFrame:
@@ -79,7 +88,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", params: Spread = Spread()
     but never lose any. Repeated rows are treated alike; of ties for the first document there are none, as
     the smallest doc_id counts. An empty table gives no rows.
     """
-    entries = line_entries(docs, site, params)
+    entries = cut_lineage(line_entries(docs, site, params))
     found = cut_lineage(boilerplate(entries, params))
     drop = entries.join(found, "line").where(F.col("doc_id") > F.col("first_doc")).groupBy("doc_id").agg(
         F.collect_set("line").alias("_drop")).withColumnRenamed("doc_id", "_id")

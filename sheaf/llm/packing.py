@@ -27,8 +27,8 @@ from sheaf.session import cut_lineage
 
 CACHE_WORDS = 500_000
 """Words whose ids a worker keeps; beyond it the cache starts anew."""
-RANK_ROWS = 20_000
-"""Pieces that one ranking window holds, about."""
+RANK_ROWS = 4_000
+"""Pieces that one ranking window holds, about, should all have one length."""
 
 PIECE = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
                    f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -123,7 +123,7 @@ def _layout(plan: list[Pattern]) -> dict[int, np.ndarray]:
 def place(made: DataFrame, capacity: int = 1024, limits: Limits = Limits()) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns of ``pieces``; a stored table, as it is read three times)."""
     total = made.count()
-    buckets = max(1, total // (RANK_ROWS * 4))
+    buckets = max(1, total // RANK_ROWS)
     keys = ("doc_id", "piece", "start", "ids_crc32")
     dealt = made.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     count = dealt.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
