@@ -48,9 +48,16 @@ def html_to_markdown(html: Column) -> Column:
     return F.trim(out)
 
 
+def xml_unescape(c: Column) -> Column:
+    """The five named entities of XML; the ampersand last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
 def slide_text(xml: Column) -> Column:
     """Text runs ``<a:t>..</a:t>`` of one slide, joined by spaces."""
-    return F.array_join(F.regexp_extract_all(xml, F.lit(r"(?s)<a:t>(.*?)</a:t>"), 1), " ")
+    return xml_unescape(F.array_join(F.regexp_extract_all(xml, F.lit(r"(?s)<a:t>(.*?)</a:t>"), 1), " "))
 
 
 def chunk_starts(text: Column, size: int, overlap: int) -> Column:

@@ -81,11 +81,14 @@ def batch_progress(stats: DataFrame) -> DataFrame:
 
 def apply_limits(runs: DataFrame, *, max_file_size: int | None = None, max_num_pages: int | None = None,
                  max_seconds: float | None = None) -> DataFrame:
-    """F-11: reason a document is over a limit (NULL = within limits). Unset limits are ignored."""
+    """F-11: reason a document is over a limit (NULL = within limits). Unset limits are ignored;
+    a set one needs its column (``size_bytes``, ``num_pages``, ``run_seconds``)."""
     reasons = []
     if max_file_size is not None:
         reasons.append(F.when(F.col("size_bytes") > max_file_size, F.lit("file too large")))
-    if max_num_pages is not None and "num_pages" in runs.columns:
+    if max_num_pages is not None:
+        if "num_pages" not in runs.columns:
+            raise ValueError("max_num_pages needs a column num_pages")
         reasons.append(F.when(F.col("num_pages") > max_num_pages, F.lit("too many pages")))
     if max_seconds is not None:
         reasons.append(F.when(F.col("run_seconds") > max_seconds, F.lit("timeout")))

@@ -24,7 +24,7 @@ CHART_MARKER = "<c:externalData"
 EXTERNAL_MODE = 'TargetMode="External"'
 NETWORK_TARGETS = ('Target="http://', 'Target="https://')
 FILE_TARGET = 'Target="file://'
-OLE_ELEMENT = r"(?s)<p:oleObj.*?</p:oleObj>"
+OLE_ELEMENT = r"(?s)<p:oleObj\b[^>]*/>|<p:oleObj\b.*?</p:oleObj>"
 CHART_ELEMENT = r"(?s)<c:externalData.*?</c:externalData>"
 AUTO_UPDATE_ELEMENT = r"(?s)<c:autoUpdate.*?/>"
 EXTERNAL_REL_ELEMENT = r'<Relationship\b[^>]*TargetMode="External"[^>]*/>'
@@ -131,7 +131,7 @@ def gate_decision(scans: DataFrame, *, link_detection: bool = True, auto_sanitiz
 
 
 def strip_ole(c: Column) -> Column:
-    """Drop complete ``<p:oleObj ...>...</p:oleObj>`` elements (text removal)."""
+    """Drop complete ``<p:oleObj .../>`` and ``<p:oleObj ...>...</p:oleObj>`` elements (text removal)."""
     return F.regexp_replace(c, OLE_ELEMENT, "")
 
 
@@ -168,6 +168,14 @@ def sanitize_members(members: DataFrame, parity: bool = True) -> DataFrame:
         .withColumn("changed", F.col("sanitized") != c)
 
 
+def rewrite_members(members: DataFrame, parity: bool = True) -> DataFrame:
+    """Every member's bytes after sanitising; a member that is not text keeps its ``raw`` bytes."""
+    out = sanitize_members(members, parity)
+    text = F.encode("sanitized", "UTF-8")
+    return out.select("path", "member_ix", "member", (F.coalesce(text, F.col("raw")) if "raw" in members.columns
+                                                      else text).alias("content_out"))
+
+
 def sanitize_ops(sanitized: DataFrame) -> DataFrame:
     """Operations per package in zip order, content size before and after (bytes of
     uncompressed member content)."""

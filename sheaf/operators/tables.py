@@ -31,24 +31,47 @@ def md_cell(c: Column) -> Column:
 
 
 def headers(cells: DataFrame) -> DataFrame:
-    """Header list per table in column order (distinct columns first, then ordered collect)."""
-    cols = cells.groupBy("table_id", "col_ix").agg(F.min("header").alias("header"))
-    return cols.groupBy("table_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("col_ix", "header"))), lambda x: x["header"]).alias("headers"))
+    """Column numbers and header list per table in column order (distinct columns first, then ordered collect).
+
+    A column without a header has an empty one.
+    """
+    cols = cells.groupBy("table_id", "col_ix").agg(F.coalesce(F.min("header"), F.lit("")).alias("header"))
+    both = F.sort_array(F.collect_list(F.struct("col_ix", "header")))
+    return cols.groupBy("table_id").agg(F.transform(both, lambda x: x["col_ix"]).alias("cols"),
+                                        F.transform(both, lambda x: x["header"]).alias("headers"))
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """One row per (table, row) with the cells in column order."""
-    return cells.groupBy("table_id", "row_ix").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("col_ix", "cell"))), lambda x: x["cell"]).alias("cells"))
+    """One row per (table, row) with a cell for every column of the table, in column order.
+
+    NULL and absent cells are empty strings; of several cells in one place the smallest counts.
+    """
+    rows = cells.groupBy("table_id", "row_ix").agg(
+        F.sort_array(F.collect_list(F.struct("col_ix", F.coalesce("cell", F.lit("")).alias("cell")))).alias("_given"))
+    grid = F.transform("cols", lambda c: F.coalesce(
+        F.get(F.filter("_given", lambda x: x["col_ix"] == c), F.lit(0))["cell"], F.lit("")))
+    return rows.join(headers(cells), "table_id").select("table_id", "row_ix", "headers", grid.alias("cells"))
+
+
+def json_keys(h: Column) -> Column:
+    """Headers as JSON keys: a repeated header gets its number among its equals, from the second on."""
+    earlier = lambda x, i: F.size(F.filter(F.slice(h, F.lit(1), i + 1), lambda y: y == x))
+    return F.transform(h, lambda x, i: F.when(earlier(x, i) > 1, F.concat(x, F.lit("_"), earlier(x, i).cast("string")))
+                       .otherwise(x))
+
+
+def json_string(c: Column) -> Column:
+    """A string as a JSON string literal."""
+    quoted = F.to_json(F.array(c))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
 def table_metadata(cells: DataFrame) -> DataFrame:
     """C21 (+ S6): rows, columns, headers, cells; a header row always exists."""
-    dims = cells.groupBy("table_id").agg(F.count_distinct("row_ix").alias("num_rows"),
-                                         F.count_distinct("col_ix").alias("num_columns"))
-    h = headers(cells)
-    m = dims.join(h, "table_id")
+    rows = cells.groupBy("table_id", "row_ix").agg(F.lit(1).alias("_")).groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("num_rows"))
+    h = headers(cells).withColumn("num_columns", F.size("cols").cast("long"))
+    m = rows.join(h, "table_id")
     return m.select(
         "table_id", "num_rows", "num_columns", "headers", F.lit(True).alias("has_headers"),
         (F.col("num_rows") * F.col("num_columns")).alias("total_cells"),
@@ -86,10 +109,11 @@ def to_markdown_lines(cells: DataFrame) -> DataFrame:
 
 
 def to_json_lines(cells: DataFrame) -> DataFrame:
-    """Records orientation, one JSON object per row (header -> cell)."""
-    rows = table_rows(cells).join(headers(cells), "table_id")
-    return rows.select("table_id", (F.col("row_ix") + 1).cast("long").alias("line_ix"),
-                       F.to_json(F.map_from_arrays("headers", "cells")).alias("line"))
+    """Records orientation, one JSON object per row (header -> cell); repeated headers are numbered."""
+    pairs = F.zip_with(json_keys(F.col("headers")), F.col("cells"),
+                       lambda k, v: F.concat(json_string(k), F.lit(":"), json_string(v)))
+    return table_rows(cells).select("table_id", (F.col("row_ix") + 1).cast("long").alias("line_ix"),
+                                    F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("line"))
 
 
 def to_html_lines(cells: DataFrame) -> DataFrame:
@@ -103,5 +127,6 @@ def to_html_lines(cells: DataFrame) -> DataFrame:
 
 def write_table_exports(lines: DataFrame, out_dir: str, fmt: str) -> None:
     """K8-style sink: one text file set per table under ``out_dir/kind=tables/fmt=../table_id=..``."""
-    (lines.repartition("table_id").sortWithinPartitions("table_id", "line_ix")
+    # ranges of lines: a large table is written by several tasks, its part files in line order
+    (lines.repartitionByRange("table_id", "line_ix").sortWithinPartitions("table_id", "line_ix")
      .select("table_id", "line").write.mode("overwrite").partitionBy("table_id").text(f"{out_dir}/kind=tables/fmt={fmt}"))

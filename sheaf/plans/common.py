@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TS_FMT = "yyyy-MM-dd HH:mm:ss"
-
 
 def r6(c) -> Column:
     """Doubles in query outputs are rounded to 6 decimals (float sums are order dependent)."""
@@ -17,7 +15,7 @@ def r6(c) -> Column:
 
 def ts_text(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.date_format(c, TS_FMT)
+    return F.substring(c.cast("string"), 1, 19)  # a zone-free timestamp stays as it is
 
 
 def flat(df: DataFrame) -> DataFrame:

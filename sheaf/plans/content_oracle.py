@@ -19,7 +19,8 @@ F6 = """
 p as (select p_brand, p_partkey, p_name, p_retailprice, p_partkey rn from part),
 c as (select p_brand table_id, cast(rn as bigint) row_ix, cast(col_ix as integer) col_ix,
   case col_ix when 0 then 'key' when 1 then 'name' else 'price' end header,
-  case col_ix when 0 then cast(p_partkey as varchar) when 1 then p_name else cast(cast(p_retailprice as decimal(14,2)) as varchar) end cell
+  case when col_ix = 0 then cast(p_partkey as varchar) when col_ix = 1 then case p_partkey % 7 when 0 then '' when 1 then '' else p_name end
+    when p_partkey % 7 = 2 then '' else cast(cast(p_retailprice as decimal(14,2)) as varchar) end cell
   from p, range(3) t(col_ix)),
 h as (select table_id, list(header order by col_ix) headers from (select distinct table_id, col_ix, header from c) group by table_id),
 rw as (select table_id, row_ix, list(cell order by col_ix) cells from c group by table_id, row_ix),
@@ -58,7 +59,7 @@ ORACLE = {
   || ' |' || chr(10) || '|' || array_to_string(list_transform(headers, lambda x: ' --- '), '|') || '|' line from h
   union all select table_id, row_ix + 1, '| ' || array_to_string(list_transform(cells, lambda x: replace(x, '|', '\\|')), ' | ') || ' |' from rw"""),
     "table_to_json": _w("""select rw.table_id, row_ix + 1 line_ix, '{' || array_to_string(list_transform(list_zip(headers, cells),
-  lambda z: to_json(z[1]) || ':' || to_json(z[2])), ',') || '}' line from rw join h using (table_id)"""),
+  lambda z: to_json(case when z[1] = 'price' then 'name_2' else z[1] end) || ':' || to_json(z[2])), ',') || '}' line from rw join h using (table_id)"""),
     "table_to_html": _w(f"""select table_id, cast(0 as bigint) line_ix, '<table>' || chr(10) || '<tr>' ||
   array_to_string(list_transform(headers, lambda x: '<th>' || {HTMLE} || '</th>'), '') || '</tr>' line from h
   union all select table_id, row_ix + 1, '<tr>' || array_to_string(list_transform(cells, lambda x: '<td>' || {HTMLE} || '</td>'), '') || '</tr>' from rw

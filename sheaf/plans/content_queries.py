@@ -16,11 +16,12 @@ CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
 
 
 def _chunks(s, d):
-    docs = load_table(s, d, "documents").select("doc_id", "text")
-    c = docs.select("doc_id", "text", F.posexplode(chunk_starts(F.col("text"), CHUNK_SIZE, CHUNK_OVERLAP))
-                    .alias("chunk_ix", "start"))
-    piece = F.substring(F.col("text"), F.col("start"), F.lit(CHUNK_SIZE))
-    return c.select("doc_id", "chunk_ix", "start", F.length(piece).alias("n_chars"), F.md5(piece).alias("md5"))
+    # the pieces are exploded, not the text: each row carries its own piece only
+    starts = chunk_starts(F.col("text"), CHUNK_SIZE, CHUNK_OVERLAP)
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(
+        F.col("text"), s, F.lit(CHUNK_SIZE)).alias("piece")))
+    c = load_table(s, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_ix", "c"))
+    return c.select("doc_id", "chunk_ix", "c.start", F.length("c.piece").alias("n_chars"), F.md5("c.piece").alias("md5"))
 
 
 def _results(s, d):
@@ -35,7 +36,7 @@ QUERIES = {
     "headers_preview": lambda s, d: tb.table_metadata(table_cells(s, d)).select("table_id", "headers_preview"),
     "table_to_csv": lambda s, d: tb.to_csv_lines(table_cells(s, d)),
     "table_to_markdown": lambda s, d: tb.to_markdown_lines(table_cells(s, d)),
-    "table_to_json": lambda s, d: tb.to_json_lines(table_cells(s, d)),
+    "table_to_json": lambda s, d: tb.to_json_lines(table_cells(s, d, repeated=True)),
     "table_to_html": lambda s, d: tb.to_html_lines(table_cells(s, d)),
     # The Markdown is computed once (a projection referenced twice is not inlined).
     "html_to_markdown": lambda s, d: load_table(s, d, "pages").select(

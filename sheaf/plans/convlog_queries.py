@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sheaf.functions.convlog import parse_convlog, truncate_text
 from sheaf.operators import conversions as cv
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import convlog_lines
+from sheaf.session import cut_lineage
 
 
 def events(spark, sf_dir):
     # Shared by the fold's branches (current file, conversions, scans, completions).
-    return parse_convlog(convlog_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(parse_convlog(convlog_lines(spark, sf_dir)))
 
 
 def records(spark, sf_dir):

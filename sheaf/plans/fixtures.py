@@ -182,8 +182,9 @@ def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(True).alias("readable"), pid.alias("page_id"))
 
 
-def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one table per brand in long form (key, name, price columns).
+def table_cells(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """one table per brand in long form (key, name, price columns); some names are NULL or empty, some prices absent.
+    ``repeated`` heads the price column ``name`` as well.
 
     The part key is the row key: unique and ordered, so no per-brand window (one
     task per brand) is needed to number rows.
@@ -192,9 +193,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = part.select("p_brand", "p_partkey", "p_name", "p_retailprice",
                     F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("col_ix"))
     cell = (F.when(F.col("col_ix") == 0, F.col("p_partkey").cast("string"))
+            .when((F.col("col_ix") == 1) & (F.col("p_partkey") % 7 == 0), F.lit(None).cast("string"))
+            .when((F.col("col_ix") == 1) & (F.col("p_partkey") % 7 == 1), F.lit(""))
             .when(F.col("col_ix") == 1, F.col("p_name"))
             .otherwise(F.col("p_retailprice").cast("decimal(14,2)").cast("string")))
-    header = F.when(F.col("col_ix") == 0, "key").when(F.col("col_ix") == 1, "name").otherwise("price")
+    header = F.when(F.col("col_ix") == 0, "key").when(F.col("col_ix") == 1, "name").otherwise("name" if repeated else "price")
+    c = c.where("not (col_ix = 2 and p_partkey % 7 = 2)")
     return c.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").cast("long").alias("row_ix"),
                     F.col("col_ix").cast("int").alias("col_ix"), header.alias("header"), cell.alias("cell"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +9,15 @@ from sheaf.functions.memlog import parse_memlog, render_memlog_message
 from sheaf.operators import leaks
 from sheaf.plans.common import flat, ts_text
 from sheaf.plans.fixtures import memlog_lines
+from sheaf.session import cut_lineage
 
 CONTAINER_LIMIT_MB = 2048.0
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Parsed once per session and shared by every branch of a plan (pairing, per-job and
-    # global aggregates read it several times). Lost partitions recompute from lineage.
-    return parse_memlog(memlog_lines(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
+    # Parsed once per query into the shared checkpoint folder and read by every branch of its plan (pairing,
+    # per-job and global aggregates). The files go when the plan is no longer referenced.
+    return cut_lineage(parse_memlog(memlog_lines(spark, sf_dir)))
 
 
 def _stats(spark, sf_dir, limit=CONTAINER_LIMIT_MB):

@@ -31,9 +31,9 @@ sc as (select *, case when n_links = 0 then 0 when n_ole > 0 then 3 when n_chart
 sc2 as (select *, case risk_level when 0 then 'SAFE' when 1 then 'LOW' when 2 then 'MEDIUM' when 3 then 'HIGH' else 'CRITICAL' end risk_name from sc),
 sz as (select *, case when ends_with(member, '.xml') and starts_with(member, 'ppt/slides/') and contains(content, '<p:oleObj') then true else false end ole,
   case when ends_with(member, '.xml') and starts_with(member, 'ppt/charts/') and contains(content, '<c:externalData') then true else false end chart from m),
-sz2 as (select *, case when chart then regexp_replace(regexp_replace(case when ole then regexp_replace(content, '(?s)<p:oleObj.*?</p:oleObj>', '', 'g') else content end,
+sz2 as (select *, case when chart then regexp_replace(regexp_replace(case when ole then regexp_replace(content, '(?s)<p:oleObj\\b[^>]*/>|<p:oleObj\\b.*?</p:oleObj>', '', 'g') else content end,
   '(?s)<c:externalData.*?</c:externalData>', '', 'g'), '(?s)<c:autoUpdate.*?/>', '', 'g')
-  when ole then regexp_replace(content, '(?s)<p:oleObj.*?</p:oleObj>', '', 'g') else content end sanitized,
+  when ole then regexp_replace(content, '(?s)<p:oleObj\\b[^>]*/>|<p:oleObj\\b.*?</p:oleObj>', '', 'g') else content end sanitized,
   concat_ws('|', case when ole then 'Removed OLE from ' || member end, case when chart then 'Broke chart links in ' || member end) ops from sz)
 """
 
@@ -50,7 +50,7 @@ ORACLE = {
     "ole_slides": _kind(1),
     "chart_links": _kind(2),
     "external_rels": _kind(3),
-    "utf8_decodable": _w("select path, member, true decodable from m"),
+    "utf8_decodable": _w("select path, member, length(content) % 3 <> 0 decodable from m"),
     "link_sources_union": _w("select path, kind, member, finding from fd"),
     "pkg_link_scan": _w("""select path, cast(n_links as integer) links_found, coalesce(links, '') external_links,
   concat_ws('|', case when n_ole > 0 then 'ole' end, case when n_chart > 0 then 'chart' end, case when n_rel > 0 then 'external_rel' end) link_types,
@@ -58,7 +58,7 @@ ORACLE = {
     "pkg_risk": _w("select path, cast(risk_level as integer) risk_level, risk_name from sc2"),
     "gate_decision": _w("""select path, case when risk_level >= 2 then 'sanitize' else 'proceed' end action,
   case when risk_level >= 2 then 'sanitize ' || risk_name || ' risk file' else '' end message from sc2"""),
-    "strip_ole": _w("""select path, member, regexp_replace(content, '(?s)<p:oleObj.*?</p:oleObj>', '', 'g') content_after from m
+    "strip_ole": _w("""select path, member, regexp_replace(content, '(?s)<p:oleObj\\b[^>]*/>|<p:oleObj\\b.*?</p:oleObj>', '', 'g') content_after from m
   where starts_with(member, 'ppt/slides/') and contains(content, '<p:oleObj')"""),
     "strip_chart_links": _w("""select path, member, regexp_replace(regexp_replace(content, '(?s)<c:externalData.*?</c:externalData>', '', 'g'),
   '(?s)<c:autoUpdate.*?/>', '', 'g') content_after from m where starts_with(member, 'ppt/charts/') and contains(content, '<c:externalData')"""),

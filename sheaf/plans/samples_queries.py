@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sheaf.functions.memlog import job_status_line
@@ -10,14 +9,15 @@ from sheaf.operators import samples as sm
 from sheaf.operators.timers import memory_spikes_batch, monitor_emissions_batch
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import samples as _samples
+from sheaf.session import cut_lineage
 
 # Generous limits so that every verdict occurs in the fixture.
 VERDICT_LIMITS = dict(timeout_s=259200, max_memory_mb=400, min_available_mb=500)
 
 
 def samples(s, d):
-    # Shared by the branches of a plan (running peak, seeds, chunk passes); lost partitions recompute.
-    return _samples(s, d).persist(StorageLevel.MEMORY_AND_DISK)
+    # Shared by the branches of a plan (running peak, seeds, chunk passes); one checkpoint per query.
+    return cut_lineage(_samples(s, d))
 
 
 def stats(s, d):

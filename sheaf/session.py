@@ -36,8 +36,8 @@ def get_session(master: str | None = None, app_name: str = "sheaf",
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` wins. Only when the session has
-    none (local tests) is ``fallback`` used.
+    The folder named by ``spark.checkpoint.dir`` wins. Only when the session has none is
+    ``fallback`` used, or, where driver and executors are one process, a temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,8 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     target = configured or fallback
+    if not target and sc.master.partition("[")[0] == "local":
+        import tempfile
+        target = tempfile.mkdtemp(prefix="sheaf-checkpoints-")
     if not target:
-        raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir()
 
@@ -54,7 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local checkpoint."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark, fallback_dir or os.environ.get("SHEAF_TEST_CHECKPOINT_DIR"))
+    ensure_checkpoint_dir(spark, fallback_dir)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from sheaf.operators import office, packages as pk
+from sheaf.operators import office, packages as pk, tables
 from sheaf.sources.packages import binary_files, read_members, read_packages
 
 
@@ -88,3 +88,29 @@ def test_slides_and_sheets(spark, tmpdir_path):
     assert md["ole.pptx"] == "## Slide 1\n\nA\n\n## Slide 2\n\nB"
     cells = {(r.cell_ref, r.row_ix, r.col_ix): r.value for r in office.sheet_cells(members).collect()}
     assert cells == {("A1", 0, 0): "beta", ("B1", 0, 1): "42", ("AA2", 1, 26): "alpha"}
+
+
+def test_shared_strings_entities_and_export(spark):
+    strings = ("<sst><si><t>Name</t></si><si/><si><t>A &amp;amp; B</t><rPh sb='0'><t>guide</t></rPh></si>"
+               "<si><r><t xml:space='preserve'>C </t></r><r><t>&lt;d&gt;</t></r></si></sst>")
+    sheet = ('<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>Name</t></is></c></row>'
+             '<row r="2"><c r="A2" t="s"><v>2</v></c></row>'
+             '<row r="3"><c r="A3" t="s"><v>1</v></c><c r="B3" t="s"><v>3</v></c></row></sheetData>')
+    members = spark.createDataFrame([("b.xlsx", 0, "xl/sharedStrings.xml", strings),
+                                     ("b.xlsx", 1, "xl/worksheets/sheet1.xml", sheet)],
+                                    "path string, member_ix int, member string, content string")
+    cells = office.sheet_tables(office.sheet_cells(members))
+    lines = lambda df: [r.line for r in df.orderBy("line_ix").collect()]
+    assert lines(tables.to_csv_lines(cells)) == ["Name,Name", "A &amp; B,", ",C <d>"]
+    assert lines(tables.to_json_lines(cells)) == ['{"Name":"A &amp; B","Name_2":""}', '{"Name":"","Name_2":"C <d>"}']
+
+
+def test_self_closed_ole_and_binary_members(spark):
+    slide = '<p:sld><p:oleObj id="1"/><a:t>kept</a:t><p:oleObj id="2">x</p:oleObj><a:t>too</a:t></p:sld>'
+    members = spark.createDataFrame(
+        [("d.pptx", 0, "ppt/slides/slide1.xml", slide, bytearray(slide.encode()), True),
+         ("d.pptx", 1, "ppt/media/a.png", None, bytearray(b"\x89PNG\xff"), False)],
+        "path string, member_ix int, member string, content string, raw binary, readable boolean")
+    out = {r.member: bytes(r.content_out) for r in pk.rewrite_members(members).collect()}
+    assert out == {"ppt/slides/slide1.xml": b"<p:sld><a:t>kept</a:t><a:t>too</a:t></p:sld>",
+                   "ppt/media/a.png": b"\x89PNG\xff"}
