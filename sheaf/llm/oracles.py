@@ -25,8 +25,8 @@ e as (select doc_id, unnest(s) g from s),
 c as (select a.doc_id a, b.doc_id b, count(*) both_n from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 l as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both_n >= 85 * (na.n + nb.n - both_n)),
 m as (select a, b from l union all select b, a from l),
-r(doc_id, at) as (select doc_id, doc_id from n union select r.doc_id, m.b from r join m on m.a = r.at)
-select n.doc_id, cast(n.n as bigint) n_shingles, min(r.at) component_id, n.doc_id = min(r.at) kept
+r(doc_id, node) as (select doc_id, doc_id from n union select r.doc_id, m.b from r join m on m.a = r.node)
+select n.doc_id, cast(n.n as bigint) n_shingles, min(r.node) component_id, n.doc_id = min(r.node) kept
 from n join r using (doc_id) group by n.doc_id, n.n
 """
 
