@@ -64,8 +64,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("toxicity", toxicity), ("line_dedup", line_dedup), ("minhash_near_dedup", minhash_near_dedup),
     ("mixing", mixing_to_weights), ("best_fit_packing", best_fit_packing)]
 
-#: SQL expresses neither the trained tagger, the sketches nor the packing; tests/llm/test_pipeline.py holds the rows
-#: against a brute-force version.
+#: SQL expresses neither the trained tagger, the sketches nor the packing; tests/llm/test_pipeline.py checks what the
+#: stages drop and how the rows are packed.
 ORACLE_SQL = None
 
 
