@@ -54,19 +54,36 @@ def _offsets(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change), [t.num_rows]])
 
 
-def block_pairs(df: DataFrame, key: Column, blocks: Column) -> DataFrame:
+def block_pairs(df: DataFrame, key: Column, blocks: Column, main: Column | None = None,
+                main_blocks: Column | None = None) -> DataFrame:
     """Deal a group's rows into ``blocks`` blocks and give each row to every pair of blocks that holds its own.
 
     Adds ``_i <= _j`` (the block pair) and ``_side`` (0: the row is of block ``_i``, 1: of ``_j``).
-    Any two rows of a group meet in exactly one pair; a group of one block stays one group.
+    Any two rows of a group meet in exactly one pair; a group of one block stays one group. Rows
+    for which ``main`` holds need not meet each other: they are dealt into ``main_blocks`` blocks of their own, which meet
+    the other blocks only.
     """
-    own = F.pmod(F.xxhash64(key), blocks).cast("int")
-    df = df.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    return df.select(*[c for c in df.columns if c not in ("_own", "_other")],
-                     F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
+    hashed = F.xxhash64(key)
+    own, others = F.pmod(hashed, blocks), blocks
+    if main is not None:
+        own = F.when(main, blocks + F.pmod(hashed, F.greatest(main_blocks, F.lit(1)))).otherwise(own)
+        others = F.when(main, blocks).otherwise(blocks + main_blocks)
+    columns = df.columns
+    df = df.withColumn("_own", own.cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
+    return df.select(*columns, F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
                      (F.col("_own") > F.col("_other")).cast("int").alias("_side"))
 
 
+def unsettled(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """``group``, main, n_main, n_rest of the groups whose rows lie in two or more parts; main is the largest part.
+
+    Rows of one part need no further comparison, so a group is compared as its rest against all of it.
+    """
+    sizes = rows.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.groupBy(group).agg(F.max_by(part, F.struct("_n", part)).alias("main"), F.max("_n").alias("n_main"),
+                                    (F.sum("_n") - F.max("_n")).alias("n_rest")).where("n_rest > 0")
+
+
 def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over undirected edges ``a``-``b``."""
     label = np.arange(n)

@@ -5,10 +5,12 @@
 2. *Inverted lists* of the smallest ``probes`` retained values bring together representatives
    that may be similar. A list is worked on as a whole in arrays: pairwise overlaps of the
    sketches, the similarity *estimated on the sketch of the union*, and only the connected
-   sets of pairs that pass leave the task, so no pairs are written out. Long lists are
-   split into blocks, and every two blocks meet.
+   sets of pairs that pass leave the task, so no pairs are written out. In a long list all
+   members first meet its smallest document only; a large group of copies falls together in this
+   one linear pass. Members outside the list's largest connected part then meet all of the list, in block pairs.
 3. Connected candidate sets get their full shingle sets, recomputed from the whole texts, and
-   the *exact Jaccard* of every two members decides, again in block pairs; what leaves is a
+   the *exact Jaccard* decides: of every two members of a small set; in a large set of all members with the
+   smallest one first, then of those outside the largest part with all, in block pairs. What leaves is a
    spanning forest of the verified links.
 
 Misses: two sets of similarity t share none of their ``probes`` smallest values with
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.components import connected_components
-from sheaf.llm.groups import block_pairs, labels_of, shared_counts, whole_groups
+from sheaf.llm.groups import block_pairs, labels_of, shared_counts, unsettled, whole_groups
 from sheaf.llm.textbytes import shingles, text_chunks
 from sheaf.session import cut_lineage
 
@@ -38,6 +40,8 @@ PAD = np.uint64(2 ** 64 - 1)
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1_000_000
 SMALL = 24
+STAR = -1
+"""Stands for the second block where the rows of a block meet a pivot only."""
 
 
 @dataclass(frozen=True)
@@ -189,24 +193,62 @@ def candidate_links(reps: DataFrame, params: NearDup) -> DataFrame:
             ids = table.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[root])], ["u", "v"])
 
+    def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = params.least_shared()
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            ok = _estimate(_matrix(t.column("sketch"), k)[0], _matrix(t.column("_sketch"), k)[0],
+                           t.column("n_shingles").to_numpy(), t.column("_n_shingles").to_numpy(), params, least)
+            yield b.select(["doc_id", "pivot"]).rename_columns(["u", "v"]).filter(pa.array(ok))
+
+    facts = reps.select("doc_id", "n_shingles", "sketch")
     entries = reps.select("doc_id", "sketch").mapInArrow(retained, "value long, doc_id long")
-    lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    members = entries.join(lists, "value")
-    members = members.join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    blocks = F.ceil(F.col("_n") / BLOCK_ROWS)
-    dealt = block_pairs(members, F.col("doc_id"), blocks).drop("_n")
-    return (dealt.repartition("value", "_i", "_j").sortWithinPartitions("value", "_i", "_j")
-            .mapInArrow(links, "u long, v long").distinct())
+    lists = cut_lineage(entries.groupBy("value").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("doc_id").alias("pivot")).where("_n > 1"))
+    members = entries.join(lists.where(F.col("_n") <= BLOCK_ROWS).select("value"), "value")
+    dealt = block_pairs(members.join(facts, "doc_id"), F.col("doc_id"), F.lit(1))
+    star = None
+    if not lists.where(F.col("_n") > BLOCK_ROWS).isEmpty():
+        long = cut_lineage(entries.join(lists.where(F.col("_n") > BLOCK_ROWS).select("value", "pivot"), "value"))
+        to_pivot = long.where("doc_id <> pivot").select("doc_id", "pivot").distinct().join(facts, "doc_id").join(
+            facts.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("_n_shingles"),
+                         F.col("sketch").alias("_sketch")), "pivot")
+        star = cut_lineage(to_pivot.mapInArrow(stars, "u long, v long"))
+        parts = connected_components(star)
+        long = cut_lineage(long.join(parts, long["doc_id"] == parts["node"], "left").select(
+            "value", "doc_id", F.coalesce("component", "doc_id").alias("part")))
+        rest = long.join(unsettled(long, "value", "part"), "value").join(facts, "doc_id")
+        rest = block_pairs(rest, F.col("doc_id"), F.ceil(F.col("n_rest") / BLOCK_ROWS), F.col("part") == F.col("main"),
+                           F.ceil(F.col("n_main") / BLOCK_ROWS))
+        dealt = dealt.unionByName(rest.select(*dealt.columns))
+    found = (dealt.repartition("value", "_i", "_j").sortWithinPartitions("value", "_i", "_j")
+             .mapInArrow(links, "u long, v long"))
+    return (found if star is None else found.unionByName(star)).distinct()
+
+
+def _star_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pivot) of the members (side 1) that are linked to the pivot (side 0)."""
+    pivot, rows = int(np.flatnonzero(side == 0)[0]), np.flatnonzero(side == 1)
+    hit = np.isin(np.concatenate([sets[i] for i in rows]) if len(rows) else sets[pivot][:0], sets[pivot])
+    n = np.array([len(sets[i]) for i in rows], np.int64)
+    shared = np.diff(np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(n)])])
+    linked = rows[100 * shared >= percent * (n + len(sets[pivot]) - shared)]
+    return linked, np.full(len(linked), pivot)
 
 
 def _exact_links(table: pa.Table, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = table.column("shingles").to_pylist()
+    raw, star = table.column("shingles").to_pylist(), table.column("_j").to_numpy() == STAR
     side, cross = table.column("_side").to_numpy(), table.column("_i").to_numpy() != table.column("_j").to_numpy()
     rows, roots = [], []
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
         if hi - lo < 2:
             continue
         sets = [np.frombuffer(x, "<u8") for x in raw[lo:hi]]
+        if star[lo]:
+            row, root = _star_links(sets, side[lo:hi], percent)
+            rows.append(lo + row)
+            roots.append(lo + root)
+            continue
         n = np.array([len(s) for s in sets])
         if len(sets) == 2:
             shared = np.zeros((2, 2), np.int64)
@@ -227,13 +269,13 @@ def _exact_links(table: pa.Table, at: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, params: NearDup) -> DataFrame:
-    """(u, v): a spanning forest of the exact links inside each candidate set (node, component)."""
+    """(u, v): links that connect what exact links connect inside each candidate set (node, component, n_shingles)."""
     def full_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [s.astype("<u8").tobytes() for s in _sets(b.column(1), params.width)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(out, pa.large_binary()).cast(pa.binary())],
-                ["doc_id", "component", "_blocks", "shingles"])
+                [b.column(0), *b.columns[2:], pa.array(out, pa.large_binary()).cast(pa.binary())],
+                ["doc_id", *b.schema.names[2:], "shingles"])
 
     def links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in whole_groups(batches, ["component", "_i", "_j"]):
@@ -241,14 +283,41 @@ def verified_links(docs: DataFrame, candidates: DataFrame, params: NearDup) -> D
             ids = table.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(ids[root])], ["u", "v"])
 
-    sizes = candidates.groupBy("component").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("_blocks"))
-    wanted = candidates.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "_blocks")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "component", "_blocks")
-    sets = texts.mapInArrow(full_sets, "doc_id long, component long, _blocks long, shingles binary")
-    dealt = block_pairs(sets, F.col("doc_id"), F.col("_blocks")).drop("_blocks")
-    return (dealt.repartition("component", "_i", "_j").sortWithinPartitions("component", "_i", "_j")
-            .mapInArrow(links, "u long, v long").distinct())
+    def with_sets(wanted: DataFrame) -> DataFrame:
+        """Adds the shingles of each node's text."""
+        texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("node", "doc_id"), "doc_id")
+        texts = texts.select("doc_id", "text", *[c for c in wanted.columns if c != "node"])
+        kinds = ", ".join(f"{c} {t}" for c, t in texts.drop("text").dtypes)
+        return texts.mapInArrow(full_sets, f"{kinds}, shingles binary")
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        columns = ("doc_id", "component", "_i", "_j", "_side", "shingles")
+        return cut_lineage(dealt.select(*columns).repartition("component", "_i", "_j").sortWithinPartitions(
+            "component", "_i", "_j").mapInArrow(links, "u long, v long").distinct())
+
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    sizes = cut_lineage(candidates.groupBy("component").agg(blocks.alias("_blocks")))
+    sets = with_sets(candidates.join(sizes, "component").select("node", "component", "_blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
+    pivot, large = F.col("doc_id") == F.col("component"), F.col("_blocks") > 1
+    first = compared(sets.withColumn("_i", F.explode(F.when(
+        pivot, F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))).otherwise(F.array(own)))).withColumn(
+        "_j", F.when(large, STAR).otherwise(0)).withColumn("_side", (large & ~pivot).cast("int")))
+    if sizes.where(large).isEmpty():
+        return first
+    part = connected_components(first).withColumnRenamed("component", "part")
+    rows = cut_lineage(candidates.join(sizes.where(large).select("component"), "component").join(part, "node", "left").select(
+        "node", "component", "n_shingles", F.coalesce("part", "node").alias("part")))
+    open_sets = cut_lineage(unsettled(rows, "component", "part").select("component", "main"))
+    if open_sets.isEmpty():
+        return first
+    rows = rows.join(open_sets, "component").withColumn("_main", F.col("part") == F.col("main"))
+    size = rows.groupBy("component", "_main").agg(blocks.alias("_b")).groupBy("component").agg(
+        F.max(F.when(~F.col("_main"), F.col("_b"))).alias("_rest_blocks"),
+        F.max(F.when(F.col("_main"), F.col("_b"))).alias("_main_blocks"))
+    wanted = rows.join(size, "component").select("node", "component", "_main", "_rest_blocks", "_main_blocks")
+    return first.unionByName(compared(block_pairs(with_sets(wanted), F.col("doc_id"), F.col("_rest_blocks"), F.col("_main"),
+                                                  F.col("_main_blocks"))))
 
 
 def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
@@ -269,12 +338,12 @@ def near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
     reps = made.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = connected_components(candidate_links(reps, params))
     sized = sets.join(tagged.select(F.col("doc_id").alias("node"), "n_shingles").dropDuplicates(["node"]), "node")
-    parts = connected_components(verified_links(docs.dropDuplicates(["doc_id"]) if False else docs, sized, params))
+    parts = connected_components(verified_links(docs, sized, params))
     return tagged.join(parts.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, params: NearDup = NearDup()) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    kept = near_duplicates(docs, params).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that are the smallest of their component, with all their columns; rows with a null doc_id stay."""
+    copies = near_duplicates(docs, params).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti")

@@ -64,6 +64,28 @@ def test_blocks_of_long_lists_and_sets(spark, monkeypatch):
     assert found(near_duplicates(df, NearDup(85, 3))) == brute(rows, 85, 3)
 
 
+def test_chains_in_a_long_list(spark, monkeypatch):
+    """A large group whose ends are not like its smallest document, hung together by what lies between."""
+    from sheaf.llm import minhash_dedup
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 20)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in [*range(40), *range(48, 90)]:
+        w = list(base)
+        w[: i * 2] = [f"c{j}" for j in range(i * 2)]
+        rows.append(" ".join(w))
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(300)] = f"d{i}"
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, 95, 3)
+    assert 1 < len({c for _, c in want.values()}) < len(rows) and found(near_duplicates(df, NearDup(95, 3))) == want
+
+
 def test_edge_cases(spark):
     long = "lorem ipsum dolor sit amet " * 20_000
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, long), (8, long + "x"),
@@ -85,6 +107,7 @@ def test_empty_table_and_null_ids(spark):
     assert near_duplicates(df).count() == 0 and drop_near_duplicates(df).count() == 0
     one = spark.createDataFrame([(None, "a b"), (1, "a b")], "doc_id long, text string")
     assert found(near_duplicates(one)) == {1: (1, 1)}
+    assert drop_near_duplicates(one).count() == 2
 
 
 def test_components_of_a_chain_a_star_and_loops(spark):
