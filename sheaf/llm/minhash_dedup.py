@@ -131,6 +131,16 @@ def _passes(shared, a, b, na, nb, params: NearDup, least) -> np.ndarray:
         (100 * np.minimum(na, nb) >= params.percent * np.maximum(na, nb))
 
 
+def _need(n: np.ndarray, params: NearDup, least) -> np.ndarray:
+    """For each pair of set sizes, the shared retained values below which ``_passes`` holds for no such pair.
+
+    Two sets that are retained whole have their own need; any other pair has a union sample of at least k values.
+    """
+    whole = n <= params.k
+    own = -(-params.percent * (n[:, None] + n) // (100 + params.percent))
+    return np.maximum(1, np.where(whole[:, None] & whole, own, least[params.k]))
+
+
 def _list_links(table: pa.Table, at: np.ndarray, params: NearDup, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row indices (row, root) of candidate links inside the groups of a table."""
     m, _ = _matrix(table.column("sketch"), params.k)
@@ -159,7 +169,7 @@ def _list_links(table: pa.Table, at: np.ndarray, params: NearDup, least: np.ndar
         shared = shared_counts([row[row != PAD] for row in part])
         if cross[lo]:
             shared[side[lo:hi][:, None] == side[lo:hi]] = 0
-        x, y = np.nonzero(np.triu(shared, 1) >= max(1, int(least[params.k]) // 2))
+        x, y = np.nonzero(np.triu(shared, 1) >= _need(n[lo:hi], params, least))
         for k in range(0, len(x), 50_000):
             i, j = x[k: k + 50_000], y[k: k + 50_000]
             ok = _passes(shared[i, j], part[i], part[j], n[lo + i], n[lo + j], params, least)

@@ -86,6 +86,23 @@ def test_chains_in_a_long_list(spark, monkeypatch):
     assert 1 < len({c for _, c in want.values()}) < len(rows) and found(near_duplicates(df, NearDup(95, 3))) == want
 
 
+def test_short_documents_in_lists_of_any_length(spark, monkeypatch):
+    """Sets of few shingles are linked by what they share, however many documents share it."""
+    from sheaf.llm import minhash_dedup
+    same = [f"w{i}" for i in range(16)]
+    other = [f"v{i}" for i in range(9)]
+    rows = [" ".join([*same, f"own{i}"]) for i in range(200)] + [" ".join([f"own{i}", *other]) for i in range(40)]
+    random.Random(3).shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (minhash_dedup.BLOCK_ROWS, 30):
+        monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", block)
+        for percent, width in ((85, 3), (80, 5)):
+            want = brute(rows, percent, width)
+            assert len({c for _, c in want.values()}) < 60
+            assert found(near_duplicates(df, NearDup(percent, width))) == want
+
+
 def test_edge_cases(spark):
     long = "lorem ipsum dolor sit amet " * 20_000
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "one two"), (7, long), (8, long + "x"),
