@@ -17,7 +17,8 @@ Pattern = tuple[tuple[int, ...], int]
 @dataclass(frozen=True)
 class Limits:
     """``width``: fillings tried at a node; ``nodes``: nodes that the search opens at most; ``steps``: extensions of
-    a filling that a node tries; ``items``: pieces that a filling adds to the largest one at a time."""
+    a filling that a node tries; ``items``: pieces that are added one by one; where more fit, the filling is a subset sum
+    of least waste, of any number of pieces."""
     width: int = 6
     nodes: int = 4_000
     steps: int = 300
@@ -90,11 +91,56 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return sum(a) >= sum(b) and fits(b, a)
 
 
+def _sums(order: list[int], left: dict[int, int], room: int) -> list[int]:
+    """Bit sets of the sums up to ``room`` that the first 0, 1, 2, ... lengths of ``order`` reach with the pieces at hand."""
+    out, mask = [1], (1 << (room + 1)) - 1
+    for size in order[:bisect_right(order, room)]:
+        reach, open_, step = out[-1], min(left[size], room // size), 1
+        while open_:
+            n = min(step, open_)
+            reach |= (reach << (size * n)) & mask
+            open_, step = open_ - n, 2 * step
+        out.append(reach)
+    return out
+
+
+def _filling_of(target: int, order: list[int], left: dict[int, int], reach: list[int]) -> tuple[int, ...]:
+    """The filling of sum ``target`` that takes as many of the largest pieces as it can, then of the next ones."""
+    out: list[int] = []
+    for i in range(len(reach) - 1, 0, -1):
+        size = order[i - 1]
+        n = min(left[size], target // size)
+        while not reach[i - 1] >> (target - n * size) & 1:
+            n -= 1
+        out += [size] * n
+        target -= n * size
+    return tuple(out)
+
+
+def least_waste(counts: dict[int, int], capacity: int) -> list[Pattern]:
+    """Each bin is opened by the largest length and filled by a subset sum of least waste."""
+    left = {k: n for k, n in counts.items() if n > 0}
+    order = sorted(left)
+    out: list[Pattern] = []
+    while order:
+        top = order[-1]
+        left[top] -= 1
+        reach = _sums(order, left, capacity - top)
+        filling = (top, *_filling_of(reach[-1].bit_length() - 1, order, left, reach))
+        left[top] += 1
+        used = {s: filling.count(s) for s in set(filling)}
+        times = min(left[s] // n for s, n in used.items())
+        out.append((filling, times))
+        _take(left, order, used, times)
+    return out
+
+
 def fillings(order: list[int], left: dict[int, int], room: int, waste: int, limits: Limits) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` by the lengths at hand that waste at most ``waste``, least waste first.
 
     Where the smallest length does not fit, the empty filling is the only one. A single piece
-    that fills the room dominates every other filling.
+    that fills the room dominates every other filling. Where the steps or ``limits.items`` end a filling that
+    could still grow, fillings of the largest reachable sums stand for it.
     """
     if room in left:
         return [(room,)]
@@ -103,12 +149,15 @@ def fillings(order: list[int], left: dict[int, int], room: int, waste: int, limi
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [limits.steps]
     least = [room]
+    cut = [False]
 
     def grow(filling: tuple[int, ...], space: int, top: int) -> None:
         budget[0] -= 1
         k = min(bisect_right(order, space), top)
-        fitting = [order[k - 1]] if k else []
-        if not fitting or len(filling) == limits.items:
+        if len(filling) == limits.items and any(filling.count(s) < left[s] for s in order[:k]):
+            cut[0] = True
+            return
+        if not k or len(filling) == limits.items:
             if space <= waste:
                 found.append((space, filling))
                 least[0] = min(least[0], space)
@@ -118,7 +167,10 @@ def fillings(order: list[int], left: dict[int, int], room: int, waste: int, limi
             size = order[i]
             if filling.count(size) >= left[size]:
                 continue
-            if budget[0] <= 0 or (tried >= limits.width and least[0] == 0):
+            if budget[0] <= 0:
+                cut[0] = True
+                return
+            if tried >= limits.width and least[0] == 0:
                 break
             tried += 1
             rest = space - size
@@ -132,9 +184,18 @@ def fillings(order: list[int], left: dict[int, int], room: int, waste: int, limi
             least[0] = min(least[0], space)
 
     grow((), room, len(order))
+    if cut[0]:
+        reach = _sums(order, left, room)
+        target = reach[-1].bit_length() - 1
+        for _ in range(limits.width):
+            if target < 0 or room - target > waste:
+                break
+            found.append((room - target, _filling_of(target, order, left, reach)))
+            target = (reach[-1] & ((1 << target) - 1)).bit_length() - 1
     out: list[tuple[int, ...]] = []
     for _, f in sorted(set(found), key=lambda x: (x[0], len(x[1]), [-s for s in x[1]])):
-        if len(out) < limits.width and not any(dominates(o, f) for o in out):
+        # long fillings are not compared: the test takes time that is exponential in their pieces
+        if len(out) < limits.width and not any(max(len(o), len(f)) <= limits.items + 1 and dominates(o, f) for o in out):
             out.append(f)
     return out
 
@@ -143,8 +204,8 @@ def complete(counts: dict[int, int], capacity: int, limits: Limits = Limits()) -
     """A packing of ``counts[length]`` pieces of each length into as few bins as the search finds.
 
     Branch and bound: every node fills bins around the largest remaining piece with one of the
-    undominated fillings; a branch ends when its waste would need as many bins as the best packing
-    known. The first incumbent is best-fit decreasing; the search ends early when ``lower_bound``
+    undominated fillings, as many bins as the counts allow or one; a branch ends when its waste would need as many bins as
+    the best packing known. The first incumbent is the better of best-fit decreasing and ``least_waste``; the search ends early when ``lower_bound``
     is met, or after ``limits.nodes`` nodes. Lengths must lie in
     1..capacity; without pieces there are no bins.
     """
@@ -156,6 +217,7 @@ def complete(counts: dict[int, int], capacity: int, limits: Limits = Limits()) -
     best = best_fit(counts, capacity)
     if not counts or bins(best) == bound:
         return best
+    best = min(best, least_waste(counts, capacity), key=bins)
     nodes = 0
     start = (dict(counts), sorted(counts), 0, [])
     stack = [iter([start])]
@@ -181,6 +243,7 @@ def _children(left, order, wasted, made, capacity, allowed, limits):
     open_ = order if rest[top] else order[:-1]
     if not rest[top]:
         del rest[top]
+    once = []
     for filling in fillings(open_, rest, capacity - top, allowed - wasted, limits):
         pattern = (top, *filling)
         used = {s: pattern.count(s) for s in set(pattern)}
@@ -188,7 +251,15 @@ def _children(left, order, wasted, made, capacity, allowed, limits):
         times = min(left[s] // n for s, n in used.items())
         if spare:
             times = min(times, max(1, (allowed - wasted) // spare))
-        now_left, now_order = dict(left), list(order)
-        _take(now_left, now_order, used, times)
         if wasted + spare * times <= allowed:
-            yield now_left, now_order, wasted + spare * times, [*made, (pattern, times)]
+            yield _applied(left, order, wasted, made, pattern, used, spare, times)
+        if times > 1:
+            once.append((pattern, used, spare))
+    for pattern, used, spare in once:
+        yield _applied(left, order, wasted, made, pattern, used, spare, 1)
+
+
+def _applied(left, order, wasted, made, pattern, used, spare, times):
+    now_left, now_order = dict(left), list(order)
+    _take(now_left, now_order, used, times)
+    return now_left, now_order, wasted + spare * times, [*made, (pattern, times)]

@@ -85,6 +85,19 @@ def test_bin_completion_is_optimal_on_small_instances_and_complete_on_all():
     assert bc.dominates((5, 3), (4, 1, 3)) and not bc.dominates((4, 4), (5, 3))
 
 
+def test_bins_of_many_short_pieces():
+    """Fillings hold as many pieces as fit, not a fixed number of them."""
+    rng = random.Random(1)
+    for low, high, n, gap in ((100, 146, 3000, 1.015), (60, 140, 3000, 1.005), (3, 9, 20_000, 1.0)):
+        counts = collections.Counter(rng.randint(low, high) for _ in range(n))
+        plan, used = bc.complete(counts, 1024), collections.Counter()
+        for filling, times in plan:
+            assert sum(filling) <= 1024
+            used.update({s: times * k for s, k in collections.Counter(filling).items()})
+        assert used == counts
+        assert bc.bins(plan) <= gap * bc.lower_bound(counts, 1024)
+
+
 def test_packing_is_gapless_and_whole(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 50)
     rng = random.Random(5)
