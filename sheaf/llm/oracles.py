@@ -72,5 +72,17 @@ select conv_id, n_turns, sha256(told) turns_sha256, cast(length(loss) as bigint)
   cast(formatted_chars as bigint) formatted_chars from g
 """
 
+EXACT_TOP_K = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select row_number() over () n, vec_id, e from v where vec_id % 50 = 0),
+s as (select n, q.vec_id query_id, v.vec_id, cast(list_inner_product(q.e, v.e) as bigint) score
+  from q join v on len(q.e) = len(v.e) and q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by n order by score desc, vec_id) place from s)
+select query_id, cast(place as integer) "rank", vec_id, score from r where place <= 5
+"""
+
 ORACLES: dict[str, str] = {
-    "op2_minhash_dedup": NEAR_DUPLICATES, "op6_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_chat_format": CHAT_FORMAT}
+    "op2_minhash_dedup": NEAR_DUPLICATES, "op6_line_dedup": LINE_DEDUP, "op7_mixing": MIXING, "op9_chat_format": CHAT_FORMAT,
+    "op11_exact_top_k": EXACT_TOP_K}

@@ -18,6 +18,7 @@ from sheaf.llm.quality_classifier import quality_scores
 from sheaf.llm.quality_rules import quality_rules
 from sheaf.llm.token_counts import token_counts
 from sheaf.llm.toxicity import toxicity_scores
+from sheaf.llm.vector_search import top_k
 from sheaf.sources.tables import load_table
 
 
@@ -94,6 +95,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors with the largest inner product, for every vector whose id 50 divides."""
+    vectors = load_table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_minhash_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprints, op6_line_dedup,
-    op7_mixing, op8_quality_classifier, op9_chat_format, op10_toxicity)}
+    op7_mixing, op8_quality_classifier, op9_chat_format, op10_toxicity, op11_exact_top_k)}
