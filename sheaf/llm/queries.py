@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import chat_format, mixing
+from sheaf.llm.chat_repair import damaged, repair_conversations
 from sheaf.llm.fingerprints import document_fingerprints
 from sheaf.llm.line_dedup import dedup_lines
 from sheaf.llm.minhash_dedup import NearDup, near_duplicates
@@ -101,6 +102,13 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = load_table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(rows), rows.select("conv_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_minhash_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprints, op6_line_dedup,
-    op7_mixing, op8_quality_classifier, op9_chat_format, op10_toxicity, op11_exact_top_k)}
+    op7_mixing, op8_quality_classifier, op9_chat_format, op10_toxicity, op11_exact_top_k,
+    op12_chat_repair)}
