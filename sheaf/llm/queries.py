@@ -17,6 +17,7 @@ from sheaf.llm.minhash_dedup import NearDup, near_duplicates
 from sheaf.llm.packing import pack
 from sheaf.llm.quality_classifier import quality_scores
 from sheaf.llm.quality_rules import quality_rules
+from sheaf.llm.spelling_variants import spelling_variants
 from sheaf.llm.token_counts import token_counts
 from sheaf.llm.toxicity import toxicity_scores
 from sheaf.llm.vector_search import top_k
@@ -108,7 +109,12 @@ def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(rows), rows.select("conv_id"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents with their forms and roots."""
+    return spelling_variants(load_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_minhash_dedup, op3_best_fit_packing, op4_quality_rules, op5_fingerprints, op6_line_dedup,
     op7_mixing, op8_quality_classifier, op9_chat_format, op10_toxicity, op11_exact_top_k,
-    op12_chat_repair)}
+    op12_chat_repair, op13_spelling_variants)}
