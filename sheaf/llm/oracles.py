@@ -32,18 +32,22 @@ from n join r using (doc_id) group by n.doc_id, n.n
 
 LINE_DEDUP = f"""
 with l as (select doc_id, source, text, string_split(coalesce(text, ''), chr(10)) ls from documents),
-e as (select doc_id, source, list_distinct(list_transform(list_filter(ls, lambda x: len(regexp_extract_all(x, {WORDS})) >= 5),
-  lambda x: md5(x))) ks from l),
-k as (select doc_id, source, list_sort(ks) ks, unnest(ks) line from e),
-x as (select doc_id, source, line, coalesce(case when ks[1] = line then ks[2] else ks[1] end, '')
-  || coalesce(case when ks[len(ks)] <> line then ks[len(ks)] when len(ks) > 1 then ks[len(ks) - 1] end, '') sig from k),
-b as (select line, min(doc_id) first_doc from x group by line
-  having count(distinct source) >= 8 and count(distinct sig) >= 0.5 * count(*)),
-d as (select doc_id, list(line) dl from x join b using (line) where doc_id > first_doc group by doc_id),
-o as (select l.*, dl, list_filter(ls, lambda x: not list_contains(dl, md5(x))) rest from l left join d using (doc_id))
+e as (select doc_id, source, list_distinct(list_transform(list_filter(ls, lambda x: regexp_matches(x, {WORDS})), lambda x: md5(x))) ks
+  from l),
+k as (select doc_id, source, ks, unnest(ks) line from e),
+o as (select doc_id, source, line, list_filter(ks, lambda x: x <> line) o from k),
+h as (select doc_id, source, line, list_transform(o, lambda x: substr(x, 1, 16)) a, list_transform(o, lambda x: substr(x, 17)) b from o),
+m as (select doc_id, source, line, unnest([1, 2, 3, 4]) k, unnest([coalesce(list_min(a), ''), coalesce(list_max(a), ''),
+  coalesce(list_min(b), ''), coalesce(list_max(b), '')]) mark from h),
+f as (select line, k, mark, min(doc_id) doc_id from m group by line, k, mark),
+own as (select line, doc_id from f group by line, doc_id having count(distinct k) = 4),
+w as (select line from own join documents using (doc_id) group by line having count(distinct source) >= 8),
+b as (select line, min(doc_id) first_doc from k where line in (select line from w) group by line),
+d as (select doc_id, list(line) dl from k join b using (line) where doc_id > first_doc group by doc_id),
+r as (select l.*, dl, list_filter(ls, lambda x: not list_contains(dl, md5(x))) rest from l left join d using (doc_id))
 select doc_id, cast(case when length(coalesce(text, '')) > 0 then len(ls) else 0 end as bigint) n_lines,
   cast(case when dl is not null then len(ls) - len(rest) else 0 end as bigint) n_removed,
-  case when dl is not null then array_to_string(rest, chr(10)) else text end text from o
+  case when dl is not null then array_to_string(rest, chr(10)) else text end text from r
 """
 
 MIXING = f"""
