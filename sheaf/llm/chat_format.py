@@ -1,9 +1,10 @@
 """Chat formatting: layouts recognised by a fingerprint of their field paths, one canonical template.
 
 A *layout* is declared as the field paths that it must have and expressions that give its
-turns. The fingerprint of a table (or of one JSON record) is the hash of its known nested field paths; it selects
-the layout, and every layout yields rows (conversation, position, role, text). Other fields
-do not count. The template marks turns and escapes control strings inside roles and texts
+turns. A table (or one JSON record) has a layout if the hash of those of its nested field paths that the layout names is
+the layout's fingerprint; other fields do not count, and of several the one with most paths is taken. Every
+layout yields rows (conversation, position, role, text). Records without a layout or without turns are
+returned as rejected, with the reason. The template marks turns and escapes control strings inside roles and texts
 reversibly. All of it is DataFrame expressions.
 """
 
@@ -21,7 +22,7 @@ CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 """Strings that no escaped role or text contains. The marks of the template start with the first."""
 
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-"""Other names of roles in message layouts."""
+"""Other names of roles in the from/value layout."""
 
 
 def _broken(control: str) -> str:
@@ -50,11 +51,12 @@ def _filled(*turns: Column) -> Column:
     return F.filter(F.array(*turns), lambda t: t["text"].isNotNull())
 
 
-def _messages(field: str, role: str, text: str) -> Callable[[Callable[[str], Column]], Column]:
+def _messages(field: str, role: str, text: str, names: dict[str, str] | None = None) -> Callable[[Callable[[str], Column]], Column]:
     def turns(of):
-        kind = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        return F.transform(of(field), lambda m: F.struct(
-            F.coalesce(kind[F.lower(m[role])], m[role]).alias("role"), m[text].alias("text")))
+        kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+        said = lambda m: m[role] if kind is None else F.coalesce(kind[F.lower(m[role])], m[role])
+        return F.transform(F.filter(of(field), lambda m: m.isNotNull()), lambda m: F.struct(
+            said(m).alias("role"), m[text].alias("text")))
     return turns
 
 
@@ -66,7 +68,7 @@ def _asked(*fields: str) -> Callable:
 
 LAYOUTS: dict[tuple[str, ...], Callable[[Callable[[str], Column]], Column]] = {
     ("messages[].content", "messages[].role"): _messages("messages", "role", "content"),
-    ("conversations[].from", "conversations[].value"): _messages("conversations", "from", "value"),
+    ("conversations[].from", "conversations[].value"): _messages("conversations", "from", "value", ROLES),
     ("prompt", "response"): lambda of: _filled(_turn("user", of("prompt")), _turn("assistant", of("response"))),
     ("completion", "prompt"): lambda of: _filled(_turn("user", of("prompt")), _turn("assistant", of("completion"))),
     ("answer", "question"): lambda of: _filled(_turn("user", of("question")), _turn("assistant", of("answer"))),
@@ -90,8 +92,8 @@ def fingerprint(paths) -> str:
     return hashlib.md5("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(paths): turns for paths, turns in LAYOUTS.items()}
-
+BY_SPECIFICITY = sorted([*LAYOUTS, TURN_ROWS], key=lambda paths: (-len(paths), paths))
+"""Paths of the layouts, most first; of equally many the first in code point order."""
 
 def field_paths(kind: DataType, at: str = "") -> list[str]:
     """Nested field paths of a schema: ``a.b`` below structs, ``a[].b`` below arrays of structs."""
@@ -102,50 +104,89 @@ def field_paths(kind: DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text of a table whose fields are columns, by the layout of its fingerprint.
+def layout_of(paths) -> tuple[str, ...] | None:
+    """Paths of the layout of a table or record with these field paths."""
+    return next((x for x in BY_SPECIFICITY if fingerprint(set(paths) & set(x)) == fingerprint(x)), None)
+
 
-    A table with a row per turn is taken as it is; elsewhere ``key`` names the conversation's id and
-    turns count from 0. Raises ValueError for an unknown fingerprint, with the known paths found.
+def canonical_table(df: DataFrame, key: str = "conv_id") -> tuple[DataFrame, DataFrame]:
+    """(turns, rejected) of a table whose fields are columns.
+
+    ``turns``: conv_id, turn, role, text. A table with a row per turn is taken as it is; elsewhere ``key`` names the
+    conversation's id and turns count from 0. ``rejected``: key, fingerprint, reason of the rows that give no turns. Raises
+    ValueError for a table of no layout, with the known paths found. Other columns are ignored, whatever their names.
     """
     paths = field_paths(df.schema)
-    rest = [p for p in paths if p != key]
-    if fingerprint(paths) == fingerprint(TURN_ROWS):
-        return df.select("conv_id", "turn", "role", "text")
-    turns = BY_FINGERPRINT.get(fingerprint(rest))
-    if turns is None:
+    layout = layout_of(paths)
+    if layout is None:
         raise ValueError(f"no layout for the fields {sorted(set(paths) & set(KNOWN))}")
-    return _exploded(df.select(F.col(key).alias("conv_id"), turns(F.col).alias("_turns")))
+    if layout == TURN_ROWS:
+        none = df.select(F.col("conv_id").alias("key"), F.lit("").alias("fingerprint"), F.lit("").alias("reason")).where("false")
+        return df.select("conv_id", "turn", "role", "text"), none
+    turns = LAYOUTS[layout](lambda field: F.col(f"`{field}`"))
+    made = df.select(F.col(f"`{key}`").alias("conv_id"), turns.alias("turns"))
+    return _exploded(made), made.where("turns is null or size(turns) = 0").select(
+        F.col("conv_id").alias("key"), F.lit(fingerprint(paths)).alias("fingerprint"), F.lit("no turns").alias("reason"))
+
+
+def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
+    """The turns of ``canonical_table``."""
+    return canonical_table(df, key)[0]
 
 
 def _exploded(df: DataFrame) -> DataFrame:
-    return df.select("conv_id", F.posexplode("_turns").alias("turn", "_t")).select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("_t.role").alias("role"), F.col("_t.text").alias("text"))
+    return df.select("conv_id", F.posexplode("turns").alias("turn", "t")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
-def json_fingerprint(record: Column) -> Column:
-    """The fingerprint of one JSON record's fields, native: top-level keys and the keys of first array elements."""
-    def keys(x, before):
-        return F.transform(F.coalesce(F.json_object_keys(x), F.array().cast("array<string>")),
-                           lambda k: F.concat(F.lit(before), k))
+def json_paths(record: Column) -> Column:
+    """Field paths of one JSON record, native: top-level keys, and the keys of all elements of the arrays that layouts name."""
+    none = F.array().cast("array<string>")
     nested = sorted({p.split("[]")[0] for p in KNOWN if "[]" in p})
-    paths = F.concat(keys(record, ""), *[keys(F.get_json_object(record, f"$.{n}[0]"), f"{n}[].") for n in nested])
-    known = F.array(*[F.lit(k) for k in KNOWN])
-    return F.md5(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"))
+    keys = lambda x, before: F.transform(F.coalesce(F.json_object_keys(x), none), lambda k: F.concat(F.lit(before), k))
 
+    def inside(field):
+        elements = F.from_json(F.get_json_object(record, f"$.{field}"), "array<string>")
+        return F.flatten(F.transform(F.coalesce(elements, none), lambda e: keys(e, f"{field}[].")))
+    return F.array_distinct(F.concat(keys(record, ""), *map(inside, nested)))
+
+
+def _hashed(paths: Column, known) -> Column:
+    return F.md5(F.array_join(F.array_sort(F.array_intersect(paths, F.array(*[F.lit(k) for k in known]))), "\n"))
+
+
+def canonical_json(df: DataFrame, key: str, record: str) -> tuple[DataFrame, DataFrame]:
+    """(turns, rejected) of JSON records in any mixture of layouts; as ``canonical_table``.
+
+    A record is rejected as "not a JSON object" (nulls too), "no layout" (also for an empty list of messages) or "no turns".
+    A message without a role or text is a turn that has a null there; elements that are no objects are no messages.
+    """
+    text = F.col("record")
 
-def canonical_turns_of_json(df: DataFrame, key: str, record: str) -> DataFrame:
-    """conv_id, turn, role, text of JSON records in any mixture of layouts; records of no known layout give no turns."""
     def getter(field):
         if any(p.startswith(f"{field}[]") for p in KNOWN):
             inner = ", ".join(f"`{p.split('.')[-1]}`: string" for p in KNOWN if p.startswith(f"{field}[]."))
-            return F.from_json(F.get_json_object(record, f"$.{field}"), f"array<struct<{inner}>>")
-        return F.get_json_object(record, f"$.{field}")
-    found, out = json_fingerprint(F.col(record)), None
-    for mark, turns in BY_FINGERPRINT.items():
-        value = turns(getter).cast("array<struct<role:string,text:string>>")
-        out = F.when(found == mark, value) if out is None else out.when(found == mark, value)
-    return _exploded(df.select(F.col(key).alias("conv_id"), out.alias("_turns")))
+            objects = F.filter(F.from_json(F.get_json_object(text, f"$.{field}"), "array<string>"),
+                               lambda e: F.json_object_keys(e).isNotNull())
+            return F.transform(objects, lambda e: F.from_json(e, f"struct<{inner}>"))
+        return F.get_json_object(text, f"$.{field}")
+
+    read = df.select(F.col(f"`{key}`").alias("conv_id"), F.col(f"`{record}`").alias("record")).withColumn("paths", json_paths(text))
+    mark, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+    for layout in reversed([x for x in BY_SPECIFICITY if x != TURN_ROWS]):
+        has = _hashed(F.col("paths"), layout) == fingerprint(layout)
+        mark = F.when(has, F.lit(fingerprint(layout))).otherwise(mark)
+        turns = F.when(has, LAYOUTS[layout](getter).cast("array<struct<role:string,text:string>>")).otherwise(turns)
+    made = read.select("conv_id", mark.alias("mark"), turns.alias("turns"), _hashed(F.col("paths"), KNOWN).alias("fingerprint"),
+                       F.json_object_keys(text).isNull().alias("bad"))
+    reason = F.when(F.col("bad"), "not a JSON object").when(F.col("mark").isNull(), "no layout").otherwise("no turns")
+    return _exploded(made), made.where("turns is null or size(turns) = 0").select(
+        F.col("conv_id").alias("key"), "fingerprint", reason.alias("reason"))
+
+
+def canonical_turns_of_json(df: DataFrame, key: str, record: str) -> DataFrame:
+    """The turns of ``canonical_json``."""
+    return canonical_json(df, key, record)[0]
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

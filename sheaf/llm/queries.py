@@ -76,14 +76,29 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))[0]
 
 
+def _three_layouts(rows: DataFrame) -> DataFrame:
+    """The turns of conversations after a third each went through rows, a table of messages and JSON records."""
+    third = F.coalesce(F.pmod(F.col("conv_id"), F.lit(3)), F.lit(0))
+    none = F.lit("")
+    said = F.struct("turn", F.coalesce("role", none).alias("role"), F.coalesce("text", none).alias("content"))
+    held = rows.where(third > 0).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("messages")).select(
+        "conv_id", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    records = held.where(third == 2).select(F.col("conv_id").alias("id"), F.to_json(F.struct("messages")).alias("record"))
+    return chat_format.canonical_turns(rows.where(third == 0)).unionByName(
+        chat_format.canonical_turns(held.where(third == 1))).unionByName(
+        chat_format.canonical_turns_of_json(records, "id", "record"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1, formatted, and digests that are read back from the output."""
-    said = "</s>[INST] ok [/INST]"
+    """All conversations and conversation -1, brought from three layouts to turns and formatted, and digests that
+    are read back from the output."""
+    text = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
-        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    turns = chat_format.canonical_turns(load_table(spark, sf_dir, "conversations")).unionByName(extra)
-    out = chat_format.format_chats(turns).withColumn("_turns", chat_format.read_turns(F.col("formatted"))).withColumn(
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat_format.format_chats(_three_layouts(rows)).withColumn(
+        "_turns", chat_format.read_turns(F.col("formatted"))).withColumn(
         "_loss", chat_format.read_loss(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select("conv_id", F.size("_turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),

@@ -151,4 +151,20 @@ def test_layouts_by_fingerprint(spark):
     for r in cf.canonical_turns_of_json(df, "id", "record").orderBy("conv_id", "turn").collect():
         out[r.conv_id].append((r.role, r.text))
     assert dict(out) == {i: turns for i in range(len(records))}
+    # every record is either formatted or rejected with a reason
+    records = [{"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]}, {"prompt": "q", "response": "a", "input": "x", "turn": 3},
+               {"messages": []}, {"prompt": "q"}, {"messages": [1, {"role": "user", "content": "q"}]}]
+    df = spark.createDataFrame([(i, json.dumps(r), "k", "m") for i, r in enumerate(records)] + [(7, "no json", "", ""), (8, None, "", ""), (9, "[1]", "", "")],
+                               "id long, record string, paths string, turns string")
+    turns_, rejected = cf.canonical_json(df, "id", "record")
+    assert {r.key: r.reason for r in rejected.collect()} | {r.conv_id: "" for r in turns_.collect()} == {
+        0: "", 1: "", 2: "no layout", 3: "no layout", 4: "", 7: "not a JSON object", 8: "not a JSON object", 9: "not a JSON object"}
+    assert [(r.role, r.text) for r in turns_.where("conv_id < 2").orderBy("conv_id", "turn").collect()] == [
+        ("user", None), ("assistant", "a"), ("user", "q"), ("assistant", "a")]
+    # columns of other layouts do not matter, the layout with most paths wins
+    rows_ = spark.createDataFrame([(1, 0, "user", "q", "p", "i", "s")], "conv_id long, turn long, role string, text string, prompt string, input string, system string")
+    assert [tuple(r) for r in cf.canonical_turns(rows_).collect()] == [(1, 0, "user", "q")]
+    none = spark.createDataFrame([(1, []), (2, None), (3, [("user", "q")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    kept, rejected = cf.canonical_table(none)
+    assert [r.conv_id for r in kept.collect()] == [3] and sorted((r.key, r.reason) for r in rejected.collect()) == [(1, "no turns"), (2, "no turns")]
     assert cf.fingerprint(["role", "text", "turn", "conv_id", "other"]) == hashlib.md5(b"conv_id\nrole\ntext\nturn").hexdigest()
