@@ -57,23 +57,34 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3, seed: str = "mix") -> DataFrame:
+PARTS = ("size", "source_size", "target", "rate", "copies")
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: float, seed: str, size: Column | None) -> DataFrame:
+    """row (a struct of the columns of ``docs``) and the columns PARTS."""
+    row = F.col("row")
+    own = size if size is not None else n_words(F.col("text"))
+    sized = docs.select(F.struct(F.col("*")).alias("row"), own.alias("size"))
+    per = source_targets(sized.select(row["source"].alias("source"), "size"), weights, most)
+    out = sized.join(per, row["source"].eqNullSafe(per["source"]))
+    extra = (draw(row["doc_id"], seed) < F.col("rate") - F.floor("rate")).cast("long")
+    return out.select("row", "size", "source_size", "target", "rate", (F.floor("rate") + extra).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3, seed: str = "mix", size: Column | None = None) -> DataFrame:
     """Adds size, source_size, target, rate, copies to documents, under names that start with ``mix_``.
 
-    ``docs`` needs doc_id, text, source. A null text has size 0, a null source is a source of its own,
-    documents with a null doc_id share one draw, repeated rows are taken alike. A source without
-    words has target and rate 0. An empty table gives no rows.
+    ``docs`` needs doc_id, source, and text or a ``size`` of its own; columns of the added names are replaced. A null text
+    has size 0, a null source is a source of its own, documents with a null doc_id share one draw, repeated rows are
+    taken alike. A source without words has target and rate 0. An empty table gives no rows.
     """
-    sized = docs.withColumn("mix_size", n_words(F.col("text")))
-    per = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, most).select(
-        F.col("source").alias("_s"), F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    out = sized.join(per, sized["source"].eqNullSafe(per["_s"])).drop("_s")
-    extra = (draw(F.col("doc_id"), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")
-    return out.withColumn("mix_copies", F.floor("mix_rate") + extra)
+    added = [f"mix_{c}" for c in PARTS]
+    return _taken(docs, weights, most, seed, size).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *[F.col(c).alias(m) for c, m in zip(PARTS, added)])
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = 3, seed: str = "mix") -> DataFrame:
     """The documents of the mix with the columns of ``docs``, each as often as it is taken."""
-    taken = mix(docs, **options).where("mix_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    taken = _taken(docs, weights, most, seed, None).where("copies > 0")
+    every = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -21,6 +21,7 @@ from sheaf.llm.spelling_variants import spelling_variants
 from sheaf.llm.token_counts import token_counts
 from sheaf.llm.toxicity import toxicity_scores
 from sheaf.llm.vector_search import top_k
+from sheaf.session import cut_lineage
 from sheaf.sources.tables import load_table
 
 
@@ -66,9 +67,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
-    return mixing.mix(load_table(spark, sf_dir, "documents")).select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    # the words of the texts are counted once; sums and draws read the light table
+    docs = cut_lineage(load_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    return mixing.mix(docs, size=F.col("size")).select(
+        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        (F.col("size") * F.col("mix_copies")).alias("taken"))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,9 +110,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity score of every document, with the number of toxic spans and the first one's place."""
+    """Toxicity score of every document, and the toxic spans: (start, length) in code points of its text."""
     return toxicity_scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))[0].select(
-        "doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+        "doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), "spans")
 
 
 def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

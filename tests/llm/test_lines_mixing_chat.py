@@ -108,6 +108,17 @@ def test_mixing_equals_sql_and_rules(spark):
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).columns == mixing.mix(df).columns
 
 
+def test_mixing_with_clashing_columns(spark):
+    names = ["size", "source_size", "target", "rate", "copies", "copy", "row", "weight", "_s", "_at", "_w", "_cap", "mix_target", "mix_size", "mix_rate", "mix_copies", "mix_source_size", "x.y"]
+    rows = [(d, "one two three", f"s{d % 3}", *["v"] * len(names)) for d in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", *[c for c in names if not c.startswith("mix_")], *[f"mix_{c}" for c in mixing.PARTS]]
+    assert all(r["_s"] == r["x.y"] == r["copies"] == "v" and r.mix_size == 3 for r in out.collect())
+    taken = mixing.mixed_documents(df)
+    assert taken.columns == df.columns and all(r["mix_target"] == "v" for r in taken.collect())
+
+
 def read_back(df):
     out = cf.format_chats(df)
     return {r.conv_id: ([tuple(t) for t in r.turns], r.loss, r.formatted) for r in out.select(

@@ -109,3 +109,15 @@ def test_tiny_chunks(text):
     (_, c), = text_chunks(pa.array([text]))
     t = Tokens(c)
     assert len(Tagger().marginals(t)) == len(t.s)
+
+
+def test_query_returns_spans(spark, tmp_path):
+    from sheaf.llm.queries import op10_toxicity
+
+    rows, labels = corpus(300, 4)
+    spark.createDataFrame(rows + [(900, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got, texts = op10_toxicity(spark, str(tmp_path)).collect(), dict(rows)
+    assert len(got) == 301 and all(r.n_spans == len(r.spans) for r in got)
+    found = [texts[r.doc_id][s.start: s.start + s.length].lower() for r in got for s in r.spans]
+    assert found and all(any(w.startswith(("vile", "vermin", "qux")) for w in x.split()) for x in found)
