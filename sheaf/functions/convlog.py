@@ -91,12 +91,3 @@ def parse_convlog(lines: DataFrame, lenient: bool = False) -> DataFrame:
 def truncate_text(c: Column, width: int, keep: int) -> Column:
     """Longer than ``width`` -> first ``keep`` characters + '...'."""
     return F.when(F.length(c) > width, F.concat(F.substring(c, 1, keep), F.lit("..."))).otherwise(c)
-
-
-def substrings_of_lengths(df: DataFrame, col: str, lengths: Column, out: str) -> DataFrame:
-    """Rows of ``df`` repeated for every substring of ``col`` whose length is in ``lengths``
-    (an array column). Native generators only; O(len * |lengths|) rows per input row."""
-    n = F.length(F.col(col))
-    x = df.withColumn("_L", F.explode(lengths)).where((F.col("_L") >= 1) & (F.col("_L") <= n))
-    x = x.withColumn("_i", F.explode(F.sequence(F.lit(1), n - F.col("_L") + 1)))
-    return x.withColumn(out, F.substring(F.col(col), F.col("_i"), F.col("_L"))).drop("_L", "_i")

@@ -7,9 +7,9 @@ conversions keyed by file name and a "current file" cursor. Here:
 * Conversions: one row per (log, file name) from its ATTEMPTs (first ATTEMPT
   fixes type and timestamp, the last one attempt and input size).
 * J3 scan target: first-created conversion (created before the scan) whose name
-  contains the scan name or is contained in it; else the current file. Both
-  containment directions become equi-joins on enumerated substrings, so no
-  pairs are formed inside a log.
+  contains the scan name or is contained in it; else the current file. Names meet
+  in an index of rare grams (``containment``), once per different scan name of a
+  log: its first-created match is the target of every scan after that.
 * J4: CONVERTED joins by exact name to a conversion created before it.
 * Last writer wins for links (scans) and pdf size (SUCCESS/CONVERTED); success is
   sticky.
@@ -20,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.convlog import MAX_RETRIES, substrings_of_lengths
+from sheaf.functions.convlog import MAX_RETRIES
 from sheaf.operators.carry import carry_last
+from sheaf.operators.containment import contained_names
+from sheaf.session import cut_lineage
 
 ORDER = ["block", "line_no"]
 
@@ -54,30 +56,26 @@ def scan_targets(events: DataFrame, convs: DataFrame | None = None, with_current
     scans = (ev.where(F.col("event_type") == "LINK_SCAN")
              .select("log_id", "block", "line_no", F.col("filename").alias("scan_name"), "current_file",
                      "links_found", "link_types", _pos().alias("pos")))
-    c = convs.select("log_id", F.col("filename").alias("cand"), "created")
-    # Only substrings whose length some name on the other side has can match; the length
-    # sets are scalar subqueries (bounded by the longest file name).
-    lengths = (c.select(F.lit(True).alias("is_conv"), F.length("cand").alias("n"))
-               .unionByName(scans.select(F.lit(False).alias("is_conv"), F.length("scan_name").alias("n")))
-               .agg(F.struct(F.collect_set(F.when(F.col("is_conv"), F.col("n"))).alias("conv"),
-                             F.collect_set(F.when(~F.col("is_conv"), F.col("n"))).alias("scan")).alias("l"))
-               .scalar())  # one job for both length sets
-    conv_lengths, scan_lengths = lengths.getField("conv"), lengths.getField("scan")
-    # (a) conversion name inside the scan name: substrings of the scan name hit names exactly.
-    in_scan = (substrings_of_lengths(scans.select("log_id", "pos", "scan_name"), "scan_name", conv_lengths, "cand")
-               .join(c, on=["log_id", "cand"]).where(F.col("created") < F.col("pos")).select("log_id", "pos", "cand", "created"))
-    # (b) scan name inside a conversion name: earliest conversion per (log, substring).
-    by_sub = (substrings_of_lengths(c, "cand", scan_lengths, "sub")
-              .groupBy("log_id", "sub").agg(F.min_by("cand", "created").alias("cand"), F.min("created").alias("created")))
-    has_scan = (scans.select("log_id", "pos", F.col("scan_name").alias("sub"))
-                .join(by_sub, on=["log_id", "sub"]).where(F.col("created") < F.col("pos")).drop("sub"))
-    best = (in_scan.unionByName(has_scan).groupBy("log_id", "pos")
-            .agg(F.min_by("cand", "created").alias("matched")))
-    out = scans.join(best, on=["log_id", "pos"], how="left")
+    best = scan_matches(convs, scans.select("log_id", "scan_name").distinct())
+    out = scans.join(best, on=["log_id", "scan_name"], how="left").withColumn(
+        "matched", F.when(F.col("created") < F.col("pos"), F.col("cand")))
     return out.select("log_id", "block", "line_no", "scan_name", "matched", "current_file",
                       F.coalesce("matched", "current_file").alias("target"), "links_found", "link_types")
 
 
+def scan_matches(convs: DataFrame, scan_names: DataFrame) -> DataFrame:
+    """log_id, scan_name, cand, created: the first-created conversion whose name contains the scan name or is contained in it."""
+    names = convs.select("log_id", F.col("filename").alias("name"), F.lit(True).alias("is_conv"), "created").unionByName(
+        scan_names.select("log_id", F.col("scan_name").alias("name"), F.lit(False).alias("is_conv")), allowMissingColumns=True)
+    pairs = contained_names(cut_lineage(names), ["log_id"], "name", "is_conv", ["created"])
+    inner = F.col("inner_side")
+    cand = F.when(inner, F.col("inner")).otherwise(F.col("outer"))
+    scan = F.when(inner, F.col("outer")).otherwise(F.col("inner"))
+    created = F.coalesce("inner_created", "outer_created")
+    return pairs.select("log_id", scan.alias("scan_name"), cand.alias("cand"), created.alias("created")).groupBy(
+        "log_id", "scan_name").agg(F.min_by("cand", "created").alias("cand"), F.min("created").alias("created"))
+
+
 def converted_targets(events: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     """CONVERTED lines whose exact file name was created by an earlier ATTEMPT."""
     convs = conversions(events) if convs is None else convs
