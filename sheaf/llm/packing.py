@@ -22,23 +22,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.llm.bin_completion import Limits, Pattern, complete
-from sheaf.llm.token_counts import BEYOND_LATIN, CONTRACTIONS, LETTERS, NUMBERS, SPACES
 from sheaf.session import cut_lineage
 
-CACHE_WORDS = 500_000
-"""Words whose ids a worker keeps; beyond it the cache starts anew."""
+LONG = 400
+"""Characters of a word, or of surplus space, from which a text is left to the file's own library."""
+CALL_CHARS = 2_000_000
+"""Characters of the texts that are tokenised together, about."""
 RANK_ROWS = 4_000
 """Pieces that one ranking window holds, about, should all have one length."""
 
-PIECE = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+"
-                   f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+# Punctuation, currency, arrows and box drawing beyond U+024F hold no letters, numbers or spaces.
+UNKNOWN = re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff\u2500-\u25ff]")
+
+
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+"""Fixed value: the splitting pattern that the byte-level files of this kind use."""
 
 
 class ByteBpe:
     """Ids of texts under a byte-level BPE file of the ``tokenizers`` library.
 
-    Words recur, so the library tokenises each new word of a batch once. Texts with special
-    tokens or with characters from U+0250 on are given to it whole.
+    The file's merges are also its ranks, so ``tiktoken`` gives the same ids in less time. Texts with special tokens, with
+    characters whose class the two libraries might see differently, or with very long words or spaces (which
+    take it time in their square) are given to the file's own library, and so is every text if ids do not rise with the merges.
     """
 
     def __init__(self, path: str):
@@ -46,21 +52,65 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
-        cut = [None if BEYOND_LATIN.search(t) or any(s in t for s in self.special) else PIECE.findall(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        new = list({w for words in cut if words for w in words if w not in self.words})
-        for k in range(0, len(new), 4096):
-            for w, e in zip(new[k: k + 4096], self.library.encode_batch_fast(new[k: k + 4096], add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) if words is not None else
-                np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                for t, words in zip(texts, cut)]
+        self.quick = _ranked(path)
+
+    def _plain(self, text: str) -> bool:
+        if UNKNOWN.search(text) or any(s in text for s in self.special):
+            return False
+        if len(text) < LONG:
+            return True
+        sizes = list(map(len, text.split()))
+        return max(sizes, default=0) < LONG and len(text) - sum(sizes) - len(sizes) < LONG
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text, without added special tokens."""
+        if self.quick is not None and self._plain(text):
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _ranked(path: str):
+    """The file as a ``tiktoken`` encoding, or None if it is not a plain byte-level file with ids in the order of its merges."""
+    import json
+
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    spec = json.load(open(path, encoding="utf-8"))
+    model, vocab = spec["model"], spec["model"]["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    plain = (spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+             and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
+             and merged == sorted(merged) and not model.get("ignore_merges") and not model.get("byte_fallback"))
+    if not plain:
+        return None
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    byte_of = {}
+    for c in map(chr, range(0x800)):  # every byte of UTF-8 but those that no text has occurs here or below
+        for shown, raw in zip(level.pre_tokenize_str(c)[0][0], c.encode()):
+            byte_of[shown] = raw
+    for c in ("\u0800", "\uffff", *map(chr, range(0x1000, 0x10000, 0x1000)), *map(chr, range(0x10000, 0x110000, 0x10000))):
+        if not 0xD800 <= ord(c) < 0xE000:
+            for shown, raw in zip(level.pre_tokenize_str(c)[0][0], c.encode()):
+                byte_of[shown] = raw
+    special = {t["content"] for t in spec["added_tokens"]}
+    unused = iter(sorted(set(range(256)) - set(byte_of.values())))
+    for shown in sorted({c for w in vocab if w not in special and len(w) == 1 for c in w} - byte_of.keys()):
+        byte_of[shown] = next(unused)  # bytes that no UTF-8 text holds
+    ranks = {bytes(map(byte_of.__getitem__, w)): i for w, i in vocab.items() if w not in special}
+    return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+def _calls(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about CALL_CHARS characters, or one text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= CALL_CHARS:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 @lru_cache(maxsize=2)
@@ -84,11 +134,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, wi
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, end = byte_bpe(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                b = batch.slice(k, 256)
+            docs_, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "").to_pylist()
+            for i, j in _calls(texts):
                 rows = []
-                texts = pc.fill_null(b.column(1), "").to_pylist()
-                for doc, ids in zip(b.column(0).to_pylist(), bpe.encode(texts)):
+                for doc, ids in zip(docs_[i:j], map(bpe.encode, texts[i:j])):
                     ids += end
                     total = len(ids) // 4
                     first = (total - 1) % capacity + 1
@@ -155,11 +204,12 @@ def place(made: DataFrame, capacity: int = 1024, limits: Limits = Limits()) -> D
     return ranked.select(*names, "_rank").mapInArrow(locate, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, limits: Limits = Limits(),
+         with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece; before sequence_id the column ``ids``
+    (little-endian unsigned 32-bit) if asked for.
 
     Sequences are gapless from offset 0 and as few as the search finds. Other columns of
-    ``docs`` are ignored; repeated rows are packed again; an empty table gives no rows. The ids
-    themselves come from ``pieces(..., with_ids=True)`` joined on (doc_id, piece).
+    ``docs`` are ignored; repeated rows are packed again, each with its ids; an empty table gives no rows.
     """
-    return place(cut_lineage(pieces(docs, path, capacity, end_id)), capacity, limits)
+    return place(cut_lineage(pieces(docs, path, capacity, end_id, with_ids)), capacity, limits)

@@ -17,9 +17,11 @@ WORDS, BYTES = str(P.path("word_bpe_49k.json")), str(P.path("byte_bpe_50k.json")
 def texts(n):
     rng = random.Random(3)
     parts = [*"abcXYZ '’stTdD  \t\n\r\x0b\x1c\x85\xa0 éÉßİΣσς中文é٣²½Ⅷ_-!😀\x00\xad", "'s", "'ll", "<|endoftext|>", "<|startoftext|>",
-             "don't", "ΟΔΟΣ", "hello", " world", "12", "ŉ"]
+             "don't", "ΟΔΟΣ", "hello", " world", "12", "ŉ", "’s", "–", " — ", "“", "”", "…", "€", "→", "•", "\u2028", "\u2009", "\u202f", "\u205f"]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(n)]
-    return [*made, "", "a" * 3000, " " * 500, "ab" * 1500, *map(chr, range(0x250))]
+    plain = [p for p in parts if not any(c in "İΣσς中文é٣ⅧΟΔΟΣ😀" for c in p)]
+    made += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 40))) for _ in range(n)]
+    return [*made, *map(chr, range(0x2000, 0x2070)), *map(chr, range(0x20A0, 0x20C0)), *map(chr, range(0x2190, 0x2200)), "", "a" * 3000, " " * 500, "ab" * 1500, *map(chr, range(0x250))]
 
 
 def test_merging_equals_the_library():
@@ -28,12 +30,16 @@ def test_merging_equals_the_library():
         assert own.count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
 
 
-def test_ids_equal_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
-    library, own, all_texts = Tokenizer.from_file(BYTES), packing.ByteBpe(BYTES), texts(600)
-    for k in range(0, len(all_texts), 100):
-        for t, ids in zip(all_texts[k:k + 100], own.encode(all_texts[k:k + 100])):
-            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+def test_ids_equal_the_library():
+    library, own = Tokenizer.from_file(BYTES), packing.ByteBpe(BYTES)
+    assert own.quick is not None
+    for t in texts(600):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not own._plain("a" * 400) and not own._plain("a " + "\n " * 300) and not own._plain("ａ") and own._plain("a – b" * 200)
+
+
+def test_other_files_are_left_to_the_library():
+    assert packing._ranked(WORDS) is None
 
 
 def test_merges_leftmost_lowest_rank_first():
@@ -125,5 +131,6 @@ def test_packing_is_gapless_and_whole(spark, monkeypatch):
     total = sum(r.length for r in out)
     assert len(sequences) <= 1.02 * total / 64 + 1
     assert packing.pack(df.limit(0), BYTES).count() == 0
-    ids = packing.pieces(df, BYTES, 64, with_ids=True).collect()
+    ids = packing.pack(df, BYTES, 64, with_ids=True).collect()
+    assert collections.Counter(tuple(r)[:5] for r in ids) == want
     assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in ids)
