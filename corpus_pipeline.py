@@ -55,9 +55,9 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 1024 tokens: a row per piece."""
+    """Packs all documents into sequences of 1024 tokens: a row per piece, with its ids."""
     ship_package(spark)
-    return pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    return pack(docs, vocabulary("byte_bpe_50k.json"), capacity=1024, end_id=2, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
