@@ -66,3 +66,32 @@ def test_one_huge_conversion_log(spark):
     want = fold_loop([r.asDict() for r in ev.orderBy("line_no").collect()])
     got = {r.filename: (r.conversion_successful, r.links_found, r.pdf_size_mb) for r in cv.conversion_records(ev).collect()}
     assert got == {f: (w["ok"], w["links"], w["pdf"]) for f, w in want.items()}
+
+
+def test_sparse_key_with_a_million_buckets(spark):
+    """One key has 10**6 buckets: no window holds 1 % of its rows, and what is carried is right."""
+    from sheaf.operators import carry
+    n = 10 ** 6
+    df = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 3).alias("b"), F.col("id").alias("at"),
+                               F.when(F.col("id") % 7 == 0, F.col("id")).alias("v")).unionByName(
+        spark.range(50).select(F.lit("cold").alias("k"), (F.col("id") * 60_000).alias("b"), F.col("id").alias("at"), F.col("id").alias("v")))
+    sizes = carry.bucket_groups(df.select("k", "b"), "b").groupBy("k", "_g").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 0.01 * n and sizes.where("k = 'hot'").count() <= 0.01 * n
+    out = carry.carry_last(df, keys=["k"], bucket="b", order=["at"], value=F.col("v"), out="c")
+    assert out.where("k = 'hot' and c <> at - at % 7 or k = 'cold' and c <> at or c is null").isEmpty() and out.count() == n + 50
+    top = carry.running_max(df, keys=["k"], bucket="b", order=["at"], value=-F.col("v"), out="m", out_prev="p")
+    assert top.where("m <> 0 or (at > 0 and p <> 0) or (at = 0 and p is not null) or m is null").isEmpty()
+
+
+def test_carry_over_null_and_negative_buckets(spark):
+    from sheaf.operators import carry
+    rnd = random.Random(8)
+    rows = [(rnd.choice("ab"), rnd.randrange(-50, 50), i, rnd.choice([None, None, i])) for i in range(400)]
+    rows += [("a", None, -1, 77), ("c", None, -1, None), ("c", 5, 0, None)]
+    df = spark.createDataFrame([(k, b, i, v) for k, b, i, v in rows], "k string, b long, at long, v long").withColumn(
+        "at", F.struct(F.coalesce("b", F.lit(-99)).alias("b"), "at"))
+    got = {(r.k, r.b, r["at"]["at"]): r.c for r in carry.carry_last(df, keys=["k"], bucket="b", order=["at"], value=F.col("v"), out="c").collect()}
+    last = {}
+    for k, b, i, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        last[k] = v if v is not None else last.get(k)
+        assert got[k, b, i] == last[k]
