@@ -143,10 +143,12 @@ def near_multisets(words: DataFrame, parts: int) -> DataFrame:
 
 
 def word_lists(words: DataFrame, list_words: int) -> DataFrame:
-    """letters, list (array of word and n): the words of a multiset, in lists of about ``list_words``."""
+    """letters, words, counts: the words of a multiset and their counts, joined by blanks, in lists of about ``list_words``."""
     size = words.groupBy("letters").agg(F.ceil(F.count(F.lit(1)) / list_words).alias("_lists"))
     dealt = words.join(size, "letters").withColumn("_list", F.pmod(F.xxhash64("word"), F.col("_lists")))
-    return dealt.groupBy("letters", "_list").agg(F.collect_list(F.struct("word", "n")).alias("list")).select("letters", "list")
+    lists = dealt.groupBy("letters", "_list").agg(F.collect_list(F.struct("word", "n")).alias("l"))
+    return lists.select("letters", F.array_join("l.word", " ").alias("words"),
+                        F.array_join(F.col("l.n").cast("array<string>"), " ").alias("counts"))
 
 
 def one_edit(more: list[str], less: list[str]) -> list[tuple[int, int]]:
@@ -154,11 +156,17 @@ def one_edit(more: list[str], less: list[str]) -> list[tuple[int, int]]:
 
     All words of a list have the same letters, so the edited letter is known.
     """
-    lost, won = Counter(more[0]), Counter(less[0])
-    lost, won = lost - won, won - lost
-    if lost.total() != 1 or won.total() > 1:
+    left, extra = more[0], ""
+    for c in less[0]:  # short words: a replacement a letter is quicker than counting letters
+        rest = left.replace(c, "", 1)
+        if len(rest) == len(left):
+            extra += c
+            if len(extra) > 1:
+                return []
+        left = rest
+    if len(left) != 1:
         return []
-    old, new = next(iter(lost)), next(iter(won), "")
+    old, new = left, extra
     place = {w: j for j, w in enumerate(less)}
     out = []
     for i, w in enumerate(more):
@@ -176,16 +184,22 @@ def near_words(words: DataFrame, params: Variants = Variants()) -> DataFrame:
     """word, n, near, near_n: both directions of all pairs of words one edit apart (``words``: as ``word_counts``, stored)."""
     lists = cut_lineage(word_lists(words, params.list_words))
     pairs = near_multisets(words, params.parts)
-    both = pairs.join(lists.select(F.col("letters").alias("more"), F.col("list").alias("x")), "more").join(
-        lists.select(F.col("letters").alias("less"), F.col("list").alias("y")), "less").select("x", "y")
+    both = pairs.join(lists.select(F.col("letters").alias("more"), F.col("words").alias("x"), F.col("counts").alias("x_n")), "more").join(
+        lists.select(F.col("letters").alias("less"), F.col("words").alias("y"), F.col("counts").alias("y_n")), "less").select(
+        "x", "x_n", "y", "y_n")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, y in zip(*((list(zip(*([w["word"] for w in one], [w["n"] for w in one]))) for one in c.to_pylist()) for c in b.columns)):
-                for i, j in one_edit([w for w, _ in x], [w for w, _ in y]):
-                    out.append((*x[i], *y[j]))
-                    out.append((*y[j], *x[i]))
+            for x, x_n, y, y_n in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = x.split(" "), y.split(" ")
+                found = one_edit(x, y)
+                if found:
+                    x_n, y_n = x_n.split(" "), y_n.split(" ")
+                for i, j in found:
+                    n, m = int(x_n[i]), int(y_n[j])
+                    out.append((x[i], n, y[j], m))
+                    out.append((y[j], m, x[i], n))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["word", "n", "near", "near_n"])
 
