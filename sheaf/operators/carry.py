@@ -22,6 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from sheaf.session import cut_lineage
 
@@ -44,17 +45,17 @@ def bucket_groups(tails: DataFrame, bucket: str) -> DataFrame:
 
 
 def carry_in(tails: DataFrame, keys: list[str], bucket: str, combine: Callable[[Column, Column], Column],
-             scan: Callable[[Column], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
+             scan: Callable[[Column, WindowSpec], Column], merge: Callable[[Column, Column], Column]) -> DataFrame:
     """keys, bucket, ``_carry``: what the buckets before each one (column ``_tail``) amount to; stored.
 
-    ``combine(tail, bucket)`` aggregates a group, ``scan(x)`` aggregates over a window in order, ``merge(near, far)`` joins the
+    ``combine(tail, bucket)`` aggregates a group, ``scan(x, window)`` aggregates over a window in order, ``merge(near, far)`` joins the
     carry within a group to the group's own.
     """
     dealt = bucket_groups(cut_lineage(tails), bucket)
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     groups = dealt.groupBy(*keys, "_g").agg(combine(F.col("_tail"), F.col(bucket)).alias("_all"))
-    entering = groups.select(*keys, "_g", scan(F.col("_all")).over(before(*keys).orderBy("_g")).alias("_far"))
-    near = dealt.withColumn("_near", scan(F.col("_tail")).over(before(*keys, "_g").orderBy(bucket)))
+    entering = groups.select(*keys, "_g", scan(F.col("_all"), before(*keys).orderBy("_g")).alias("_far"))
+    near = dealt.withColumn("_near", scan(F.col("_tail"), before(*keys, "_g").orderBy(bucket)))
     return cut_lineage(near.join(entering, [*keys, "_g"], "left").select(
         *keys, bucket, merge(F.col("_near"), F.col("_far")).alias("_carry")))
 
@@ -73,7 +74,7 @@ def carry_last(df: DataFrame, *, keys: list[str], bucket: str, order: list[str],
     tails = valued.groupBy(*keys, bucket).agg(
         F.max_by(F.col("_v"), F.when(F.col("_v").isNotNull(), ord_struct)).alias("_tail"))
     carry = carry_in(tails, keys, bucket, lambda x, b: F.max_by(x, F.when(x.isNotNull(), F.struct(b))),
-                     lambda x: F.last(x, ignorenulls=True), F.coalesce)
+                     lambda x, w: F.last(x, ignorenulls=True).over(w), F.coalesce)
     return (with_local.join(carry, on=[*keys, bucket], how="left")
             .withColumn(out, F.coalesce(F.col("_local"), F.col("_carry")))
             .drop("_v", "_local", "_carry"))
@@ -91,7 +92,7 @@ def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str]
     with_local = valued.withColumn("_local", run)
     with_local = with_local.withColumn("_local_prev", F.lag("_local", 1).over(w))
     tails = valued.groupBy(*keys, bucket).agg(F.max("_v").alias("_tail"))
-    carry = carry_in(tails, keys, bucket, lambda x, b: F.max(x), F.max, F.greatest)
+    carry = carry_in(tails, keys, bucket, lambda x, b: F.max(x), lambda x, w: F.max(x).over(w), F.greatest)
     joined = with_local.join(carry, on=[*keys, bucket], how="left")
     prev = F.greatest(F.col("_local_prev"), F.col("_carry"))
     cur = F.greatest(F.col("_local"), F.col("_carry"))
@@ -99,37 +100,3 @@ def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str]
     if out_prev:
         joined = joined.withColumn(out_prev, prev)
     return joined.drop("_v", "_local", "_local_prev", "_carry")
-
-
-def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema: str,
-                      prepartitioned: bool = False) -> DataFrame:
-    """Like ``groupBy(keys).applyInPandas(fn)`` but one Python call per partition.
-
-    Rows are hash-partitioned on ``keys`` and sorted within partitions, so each
-    group is a contiguous run of rows; Arrow batches are cut at group ends (a group
-    that spans batches is carried into the next one). Memory per task: one group,
-    as with applyInPandas; overhead: per partition instead of per group.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        carry = None
-        for pdf in batches:
-            if carry is not None and len(carry):
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            last = pdf.iloc[-1]
-            tail = np.logical_and.reduce([pdf[k].to_numpy() == last[k] for k in keys])
-            done, carry = pdf[~tail], pdf[tail]
-            if len(done):
-                yield pd.concat([fn(g) for _, g in done.groupby(keys, sort=False)], ignore_index=True)
-        if carry is not None and len(carry):
-            yield fn(carry)
-
-    if not prepartitioned:
-        df = df.repartition(*keys)
-    # With ``prepartitioned`` the caller guarantees hash partitioning on ``keys``;
-    # a sort the child already satisfies is removed by the planner.
-    return df.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

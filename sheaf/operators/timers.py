@@ -1,195 +1,76 @@
-"""Batch form of the monitor-emission timer (T2): exact, without holding a run in one task.
+"""Batch forms of the monitor-emission timer (T2) and of the spike ratchet (T3): exact, no run in one task.
 
-Rule (per run, samples in (epoch_s, seq) order, the first sample seeds the peak):
-a monitored sample is logged when it is a strict new peak or when at least
-``interval`` seconds passed since the last logged sample (last starts at 0); a
-log resets the timer.
+T2, per run in order of (epoch_s, seq), the first sample seeding the peak: a monitored sample is logged when
+it is a strict new peak or when at least ``interval`` seconds passed since the last logged sample (which starts at 0);
+a log resets the timer. That is a chain (``chains``) along time whose sure rows are new peaks and samples after a gap.
 
-The timer makes every decision depend on the previous one, but only weakly
-across time chunks: the threshold ``last + interval`` entering a chunk is below
-``chunk start + interval``, so only samples in the chunk's first ``interval``
-seconds (before its first new peak) can be its first log. Three passes:
+T3: a sample is reported when it exceeds the last reported value by more than ``step`` MB (which starts at 0). Only
+strict new peaks can be, so it is a chain along the values of the new peaks.
 
-1. per (run, chunk): for each such candidate, the last log time if the chunk's
-   first log is that candidate (chains merge quickly; memoised);
-2. per run: a scan over those small per-chunk tables gives each chunk's
-   entering threshold (rows per run = chunks x candidates, not samples);
-3. per (run, chunk): replay the chunk from its threshold and flag the logs.
-
-Groups of passes 1 and 3 hold one chunk of one run; pass 2 holds one run's
-summaries. Each pass is one pandas call per partition (``map_sorted_groups``). New peaks come from the bucketed running max (no per-run window).
+The running peak, the sample before and the number of samples before come from one bucketed pass.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.operators.carry import map_sorted_groups
-from sheaf.operators.samples import with_running_peak
+from sheaf.operators.carry import carry_in
+from sheaf.operators.chains import Chain, chain_marks
 
 LOG_INTERVAL_S = 30.0
-
-_SUMMARY = "run_id long, chunk long, cand_t array<double>, cand_exit array<double>, anchor_exit double, has_anchor boolean"
-_THETA = "run_id long, chunk long, theta double"
-_OUT = "run_id long, seq long, epoch_s long, rss_mb double, peak_rss_mb double, new_peak boolean"
-
-
-def _chains(t: np.ndarray, anchor: np.ndarray, interval: float):
-    """exit[i]: time of the chunk's last log if sample i is logged (following the rule)."""
-    n = len(t)
-    nxt_anchor = np.full(n, -1)
-    nxt = -1
-    for i in range(n - 1, -1, -1):
-        nxt_anchor[i] = nxt
-        if anchor[i]:
-            nxt = i
-    timer = np.searchsorted(t, t + interval, side="left")  # first sample at or after t + interval
-    exit_t = np.empty(n)
-    for i in range(n - 1, -1, -1):
-        j = timer[i] if timer[i] < n else -1
-        a = nxt_anchor[i]
-        k = a if (a != -1 and (j == -1 or a < j)) else j
-        exit_t[i] = t[i] if k == -1 else exit_t[k]
-    return exit_t
-
-
-def _summarise(interval):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch_s", "seq"])
-        t = pdf["epoch_s"].to_numpy(dtype=float)
-        anchor = pdf["new_peak"].to_numpy(dtype=bool)
-        exit_t = _chains(t, anchor, interval)
-        first_anchor = int(np.argmax(anchor)) if anchor.any() else len(t)
-        start = float(pdf["chunk_start"].iloc[0])
-        limit = np.searchsorted(t, start + interval, side="left")  # candidates: t < start + interval, plus one
-        m = min(first_anchor, limit + 1, len(t))
-        return pd.DataFrame({"run_id": [int(pdf["run_id"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])],
-                             "cand_t": [t[:m].tolist()], "cand_exit": [exit_t[:m].tolist()],
-                             "anchor_exit": [float(exit_t[first_anchor]) if first_anchor < len(t) else float("nan")],
-                             "has_anchor": [bool(first_anchor < len(t))]})
-    return f
-
-
-def _scan(interval):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        theta = interval  # last = 0
-        out = []
-        for r in pdf.itertuples(index=False):
-            out.append((r.run_id, r.chunk, theta))
-            ct = np.asarray(r.cand_t, dtype=float)
-            i = int(np.searchsorted(ct, theta, side="left"))
-            if i < len(ct):
-                theta = float(r.cand_exit[i]) + interval
-            elif r.has_anchor:
-                theta = float(r.anchor_exit) + interval
-        return pd.DataFrame(out, columns=["run_id", "chunk", "theta"])
-    return f
-
-
-def _replay(interval):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch_s", "seq"])
-        last = float(pdf["theta"].iloc[0]) - interval
-        keep = []
-        for t, a in zip(pdf["epoch_s"].to_numpy(dtype=float), pdf["new_peak"].to_numpy(dtype=bool)):
-            hit = bool(a) or (t - last >= interval)
-            keep.append(hit)
-            if hit:
-                last = t
-        sel = pdf[np.asarray(keep, dtype=bool)]
-        return pd.DataFrame({"run_id": sel["run_id"], "seq": sel["seq"], "epoch_s": sel["epoch_s"],
-                             "rss_mb": sel["rss_mb"], "peak_rss_mb": sel["running_peak"], "new_peak": sel["new_peak"]})
-    return f
-
-
-def monitor_emissions_batch(samples: DataFrame, *, log_interval_s: float = LOG_INTERVAL_S,
-                            chunk_seconds: int = 3600, bucket_seconds: int = 3600) -> DataFrame:
-    """T2 (batch): the samples the profiler's monitor would log, with the running peak."""
-    if chunk_seconds < log_interval_s:
-        raise ValueError("chunk_seconds must be at least the log interval")
-    s = with_running_peak(samples.select("run_id", "seq", "epoch_s", "rss_mb"), bucket_seconds)
-    mon = s.withColumn("new_peak", F.col("is_new_peak")).withColumn(
-        "chunk", F.floor(F.col("epoch_s") / chunk_seconds).cast("long")).withColumn(
-        "chunk_start", (F.col("chunk") * chunk_seconds).cast("double"))
-    # The seed (first sample of a run) is the "before" snapshot, not a monitored sample.
-    seeds = s.groupBy("run_id").agg(F.min(F.struct("epoch_s", "seq")).alias("_first"))
-    mon = mon.join(seeds, "run_id").where(F.struct("epoch_s", "seq") > F.col("_first")).drop("_first")
-    cols = ["run_id", "seq", "epoch_s", "rss_mb", "running_peak", "new_peak", "chunk", "chunk_start"]
-    # One shuffle of the samples on (run, chunk), shared by the summary and replay passes;
-    # the join below moves only the small per-chunk state table.
-    mon = mon.select(*cols).repartition("run_id", "chunk")
-    keys, order = ["run_id", "chunk"], ["epoch_s", "seq"]
-    summary = map_sorted_groups(mon, keys, order, _summarise(log_interval_s), _SUMMARY, prepartitioned=True)
-    theta = map_sorted_groups(summary, ["run_id"], ["chunk"], _scan(log_interval_s), _THETA)
-    return map_sorted_groups(mon.join(theta, keys), keys, order, _replay(log_interval_s), _OUT, prepartitioned=True)
-
-
 SPIKE_STEP_MB = 100.0
-_SPIKE_SUMMARY = "run_id long, chunk long, bounds array<double>, exits array<double>"
-_SPIKE_THETA = "run_id long, chunk long, last double"
-_SPIKE_OUT = "run_id long, seq long, epoch_s long, rss_mb double"
-
-
-def _spike_summarise(step):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch_s", "seq"])
-        v = pdf["rss_mb"].to_numpy(dtype=float)
-        # Reports are always strict prefix maxima of the chunk, whose values increase.
-        pm = np.maximum.accumulate(v)
-        rec = v[np.concatenate([[True], v[1:] > pm[:-1]])] if len(v) else v
-        m = len(rec)
-        exits = np.empty(m)
-        for i in range(m - 1, -1, -1):
-            j = int(np.searchsorted(rec, rec[i] + step, side="right"))
-            exits[i] = rec[i] if j >= m else exits[j]
-        # first report for threshold th = first record > th; merge runs of equal exits.
-        keep = np.ones(m, dtype=bool)
-        if m > 1:
-            keep[:-1] = exits[:-1] != exits[1:]
-        return pd.DataFrame({"run_id": [int(pdf["run_id"].iloc[0])], "chunk": [int(pdf["chunk"].iloc[0])],
-                             "bounds": [rec[keep].tolist()], "exits": [exits[keep].tolist()]})
-    return f
-
-
-def _spike_scan(step):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        last, out = 0.0, []
-        for r in pdf.itertuples(index=False):
-            out.append((r.run_id, r.chunk, last))
-            b = np.asarray(r.bounds, dtype=float)
-            j = int(np.searchsorted(b, last + step, side="right"))
-            if j < len(b):
-                last = float(r.exits[j])
-        return pd.DataFrame(out, columns=["run_id", "chunk", "last"])
-    return f
-
-
-def _spike_replay(step):
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch_s", "seq"])
-        last = float(pdf["last"].iloc[0])
-        keep = []
-        for v in pdf["rss_mb"].to_numpy(dtype=float):
-            hit = v > last + step
-            keep.append(hit)
-            if hit:
-                last = v
-        sel = pdf[np.asarray(keep, dtype=bool)]
-        return pd.DataFrame({"run_id": sel["run_id"], "seq": sel["seq"], "epoch_s": sel["epoch_s"], "rss_mb": sel["rss_mb"]})
-    return f
-
-
-def memory_spikes_batch(samples: DataFrame, *, step_mb: float = SPIKE_STEP_MB, chunk_seconds: int = 3600) -> DataFrame:
-    """T3 (batch): samples reported by the converter's ratchet (rss above the last
-    reported value + ``step_mb``; the last value starts at 0)."""
-    s = samples.select("run_id", "seq", "epoch_s", "rss_mb").withColumn(
-        "chunk", F.floor(F.col("epoch_s") / chunk_seconds).cast("long")).repartition("run_id", "chunk")
-    keys, order = ["run_id", "chunk"], ["epoch_s", "seq"]
-    summary = map_sorted_groups(s, keys, order, _spike_summarise(step_mb), _SPIKE_SUMMARY, prepartitioned=True)
-    last = map_sorted_groups(summary, ["run_id"], ["chunk"], _spike_scan(step_mb), _SPIKE_THETA)
-    return map_sorted_groups(s.join(last, keys), keys, order, _spike_replay(step_mb), _SPIKE_OUT, prepartitioned=True)
+ORDER = ["epoch_s", "seq"]
+
+
+def with_history(samples: DataFrame, key: str, bucket_seconds: float) -> DataFrame:
+    """Adds ``_b`` (time bucket), ``_peak`` (highest rss before), ``_at`` (time of the sample before), ``_n`` (samples before)
+    and ``_head`` (first of its bucket)."""
+    s = samples.withColumn("_b", F.floor(F.col("epoch_s") / F.lit(float(bucket_seconds))).cast("long"))
+    w = Window.partitionBy(key, "_b").orderBy(*ORDER)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    tails = s.groupBy(key, "_b").agg(F.struct(F.max("rss_mb").alias("peak"), F.max("epoch_s").cast("double").alias("at"),
+                                              F.count(F.lit(1)).alias("n")).alias("_tail"))
+    both = lambda f: lambda x, *_: F.struct(f(F.max, x["peak"]).alias("peak"), f(F.max, x["at"]).alias("at"), f(F.sum, x["n"]).alias("n"))
+    merge = lambda near, far: F.struct(F.greatest(near["peak"], far["peak"]).alias("peak"), F.greatest(near["at"], far["at"]).alias("at"),
+                                       (F.coalesce(near["n"], F.lit(0)) + F.coalesce(far["n"], F.lit(0))).alias("n"))
+    carry = carry_in(tails, [key], "_b", both(lambda f, c: f(c)), lambda x, w: both(lambda f, c: f(c).over(w))(x), merge)
+    local = s.withColumn("_near", F.struct(F.max("rss_mb").over(before).alias("peak"), F.lag("epoch_s").over(w).cast("double").alias("at"),
+                                           (F.row_number().over(w) - 1).alias("n")))
+    joined = local.join(carry, [key, "_b"], "left").withColumn("_all", merge(F.col("_near"), F.col("_carry")))
+    return joined.select(*samples.columns, "_b", F.col("_all.peak").alias("_peak"), F.col("_all.at").alias("_at"),
+                         F.col("_all.n").alias("_n"), (F.col("_near.n") == 0).alias("_head"))
+
+
+def monitor_emissions_batch(samples: DataFrame, *, log_interval_s: float = LOG_INTERVAL_S, chunk_seconds: float = 3600,
+                            key: str = "run_id") -> DataFrame:
+    """T2 (batch): the samples the profiler's monitor would log, with the running peak.
+
+    ``key`` may have any type; ``epoch_s`` may have fractions (microseconds are told apart). Times count from 1970, so
+    a run's first monitored sample is logged unless it lies within an interval of that.
+    """
+    chain = Chain(log_interval_s * 1e6, chunk_seconds * 1e6)
+    s = with_history(samples.select(key, "seq", "epoch_s", "rss_mb"), key, chunk_seconds).where("_n > 0")
+    micros = lambda c: F.round(c * 1e6)  # noqa: E731  whole numbers, so that distances are exact
+    x = micros(F.col("epoch_s").cast("double"))
+    new_peak = F.coalesce(F.col("rss_mb") > F.col("_peak"), F.lit(False))
+    before = F.when(F.col("_n") > 1, micros(F.col("_at"))).otherwise(F.lit(0.0))
+    rows = s.select(key, F.col("_b").alias("chunk"), x.alias("x"), (new_peak | chain.beyond(x, before)).alias("sure"),
+                    (F.col("_head") | (F.col("_n") == 1)).alias("head"), "seq", "epoch_s", "rss_mb",
+                    F.greatest("rss_mb", "_peak").alias("peak_rss_mb"), new_peak.alias("new_peak"))
+    # the seed is not monitored: a chunk that it heads begins with the sample after it
+    return chain_marks(rows, key, ["x", "seq"], chain).select(key, "seq", "epoch_s", "rss_mb", "peak_rss_mb", "new_peak")
+
+
+def memory_spikes_batch(samples: DataFrame, *, step_mb: float = SPIKE_STEP_MB, chunk_mb: float = 10_000, bucket_seconds: float = 3600,
+                        key: str = "run_id") -> DataFrame:
+    """T3 (batch): samples reported by the converter's ratchet (rss above the last reported value + ``step_mb``; the last
+    value starts at 0). ``key`` may have any type; samples without rss are never reported."""
+    chain = Chain(step_mb, chunk_mb, strict=True)
+    s = with_history(samples.select(key, "seq", "epoch_s", "rss_mb"), key, bucket_seconds)
+    x, before = F.col("rss_mb"), F.greatest(F.col("_peak"), F.lit(0.0))
+    peaks = s.where(x > before).select(
+        key, chain.chunk_of(x).alias("chunk"), x.alias("x"), chain.beyond(x, before).alias("sure"), "seq", "epoch_s", "rss_mb")
+    first = Window.partitionBy(key, "chunk").orderBy("x")
+    rows = peaks.withColumn("head", F.row_number().over(first) == 1)
+    return chain_marks(rows, key, ["x"], chain).select(key, "seq", "epoch_s", "rss_mb")

@@ -36,7 +36,7 @@ def _stats_cols(df):
 MONITOR_INTERVAL_S, MONITOR_CHUNK_S = 43200, 864000
 
 QUERIES = {
-    "memory_spikes": lambda s, d: flat(memory_spikes_batch(samples(s, d), chunk_seconds=MONITOR_CHUNK_S)),
+    "memory_spikes": lambda s, d: flat(memory_spikes_batch(samples(s, d), bucket_seconds=MONITOR_CHUNK_S)),
     "monitor_emit": lambda s, d: flat(monitor_emissions_batch(samples(s, d), log_interval_s=MONITOR_INTERVAL_S,
                                                               chunk_seconds=MONITOR_CHUNK_S)),
     "samples_scan": lambda s, d: flat(samples(s, d).select(

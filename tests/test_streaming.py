@@ -149,7 +149,7 @@ def test_spikes_batch_matches_loop(spark):
             base = i * 2.0 if run % 2 else 0.0  # leaking runs climb steadily
             rows.append((run, run * 10_000 + i, t, base + rnd.randint(0, 300)))
     got = {}
-    for r in memory_spikes_batch(samples_df(spark, rows), chunk_seconds=300).collect():
+    for r in memory_spikes_batch(samples_df(spark, rows), bucket_seconds=300, chunk_mb=200).collect():
         got.setdefault(r.run_id, []).append(r.seq)
     for run in range(5):
         assert sorted(got.get(run, [])) == loop_spikes([x for x in rows if x[0] == run], 100.0), run
