@@ -100,3 +100,37 @@ def running_max(df: DataFrame, *, keys: list[str], bucket: str, order: list[str]
     if out_prev:
         joined = joined.withColumn(out_prev, prev)
     return joined.drop("_v", "_local", "_local_prev", "_carry")
+
+
+def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str], fn, schema: str,
+                      prepartitioned: bool = False) -> DataFrame:
+    """Like ``groupBy(keys).applyInPandas(fn)`` but one Python call per partition.
+
+    Rows are hash-partitioned on ``keys`` and sorted within partitions, so each
+    group is a contiguous run of rows; Arrow batches are cut at group ends (a group
+    that spans batches is carried into the next one). Memory per task: one group,
+    as with applyInPandas; overhead: per partition instead of per group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        carry = None
+        for pdf in batches:
+            if carry is not None and len(carry):
+                pdf = pd.concat([carry, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf.iloc[-1]
+            tail = np.logical_and.reduce([pdf[k].to_numpy() == last[k] for k in keys])
+            done, carry = pdf[~tail], pdf[tail]
+            if len(done):
+                yield pd.concat([fn(g) for _, g in done.groupby(keys, sort=False)], ignore_index=True)
+        if carry is not None and len(carry):
+            yield fn(carry)
+
+    if not prepartitioned:
+        df = df.repartition(*keys)
+    # With ``prepartitioned`` the caller guarantees hash partitioning on ``keys``;
+    # a sort the child already satisfies is removed by the planner.
+    return df.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

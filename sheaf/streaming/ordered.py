@@ -7,6 +7,11 @@ JSON state. Every call sees at most one micro-batch of new rows, so a hot key
 costs a micro-batch, never its whole history; the state itself stays small
 (the fold's variables plus the rows not yet past the watermark).
 
+State ends: a key without rows for ``idle_ms`` of event time, and without open business (``wake_after_ms``), is removed
+once the watermark has passed that. Rows that come after their time has been folded are *late*. They are never folded in, and
+go to the output as they are, with ``late`` set, if they come within ``grace`` behind the watermark; Spark drops
+and counts those beyond it.
+
 ``step(state: dict, rows: pandas.DataFrame, watermark_ms: int) -> (state, list[dict])``
 receives the rows that became final, sorted, and returns the new state and the
 output records. It is also called with no rows when the event-time timeout fires.
@@ -18,53 +23,71 @@ import json
 from typing import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-STATE_SCHEMA = "state string, buffer string"
+STATE_SCHEMA = "state string, buffer string, folded long, last long"
 
 
 def ordered_fold(df: DataFrame, *, key: str, ts_col: str, order: list[str], step: Callable, out_schema: str,
-                 watermark: str = "10 seconds", wake_after_ms: Callable[[dict], int | None] | None = None,
-                 init: dict | None = None) -> DataFrame:
-    """Apply ``step`` per ``key`` in event-time order; append-mode output.
+                 watermark: str = "10 seconds", grace: str | None = None, idle_ms: int = 86_400_000,
+                 wake_after_ms: Callable[[dict], int | None] | None = None, init: dict | None = None,
+                 keep: Column | None = None) -> DataFrame:
+    """Apply ``step`` per ``key`` in event-time order; append-mode output: the columns of ``out_schema``, ``late`` and ``late_row``.
 
     ``ts_col`` holds event time as epoch milliseconds (long): ordering and the
-    watermark both use that number, so the session time zone plays no part.
+    watermark both use that number, so the session time zone plays no part. Only rows with ``keep`` are folded, but
+    all of them move the watermark. ``late_row`` is the JSON of a late row.
     """
+    from datetime import timedelta
+
     init = dict(init or {})
     df = df.withColumn("_event_time", F.timestamp_millis(F.col(ts_col)))
-    cols = df.columns
-    out_cols = [c.strip().split(" ")[0] for c in out_schema.split(",")]
+    cols = [c for c in df.columns if c != "_event_time"]
+    names = [c.strip().split(" ")[0] for c in out_schema.split(",")]
+    spans = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+    def seconds(text: str) -> float:
+        number, unit = text.split()
+        return timedelta(seconds=float(number) * spans[unit.rstrip("s")]).total_seconds()
+
+    behind = int(seconds(grace) * 1000) if grace else 0
 
     def fn(k, batches, state):
-        if state.hasTimedOut:
-            st, buf = json.loads(state.get[0]), json.loads(state.get[1])
-            new = []
+        if state.exists:
+            st, buf, folded, last = json.loads(state.get[0]), json.loads(state.get[1]), state.get[2], state.get[3]
         else:
-            st, buf = (json.loads(state.get[0]), json.loads(state.get[1])) if state.exists else (dict(init), [])
-            new = [r for pdf in batches for r in pdf.to_dict("records")]
-        for r in new:
-            r.pop("_event_time", None)
-        buf.extend(new)
-        wm = state.getCurrentWatermarkMs()
+            st, buf, folded, last = dict(init), [], -1, -1
+        new = [] if state.hasTimedOut else [r for pdf in batches for r in pdf[cols].to_dict("records")]
+        # Spark's own watermark lags by the grace; what lies in between may still come, as late rows
+        wm = state.getCurrentWatermarkMs() + behind
+        late = [r for r in new if r[ts_col] <= folded]
+        buf.extend(r for r in new if r[ts_col] > folded)
         ready = [r for r in buf if r[ts_col] <= wm]
         buf = [r for r in buf if r[ts_col] > wm]
         ready.sort(key=lambda r: tuple(r[c] for c in [ts_col, *order]))
-        st, out = step(st, pd.DataFrame(ready, columns=[c for c in cols if c != "_event_time"]), wm)
-        state.update((json.dumps(st), json.dumps(buf, default=str)))
-        wake = [r[ts_col] for r in buf]
-        if wake_after_ms is not None:
-            w = wake_after_ms(st)
-            if w is not None:
-                wake.append(w)
-        if wake:
-            state.setTimeoutTimestamp(max(min(wake), wm) + 1)
-        if out:
-            for rec in out:
-                rec[key] = k[0]
-            yield pd.DataFrame(out, columns=out_cols)
+        folded = max(folded, wm)
+        last = max([last, *(r[ts_col] for r in new)], default=last)
+        st, out = step(st, pd.DataFrame(ready, columns=cols), wm)
+        open_until = wake_after_ms(st) if wake_after_ms is not None else None
+        if not buf and open_until is None and last + idle_ms <= wm:
+            state.remove()
+        else:
+            state.update((json.dumps(st), json.dumps(buf, default=str), folded, last))
+            wake = [r[ts_col] for r in buf] + ([open_until] if open_until is not None else [])
+            wake = min(wake) if wake else last + idle_ms
+            state.setTimeoutTimestamp(max(wake - behind, wm - behind) + 1)
+        for r in out:
+            r[key] = k[0]
+        rows = [{**r, "late": False, "late_row": None} for r in out]
+        rows += [{**dict.fromkeys(names), key: k[0], "late": True, "late_row": json.dumps(r, default=str)} for r in late]
+        if rows:
+            yield pd.DataFrame(rows, columns=[*names, "late", "late_row"], dtype=object)
 
-    return (df.withWatermark("_event_time", watermark).groupBy(key)
-            .applyInPandasWithState(fn, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout))
+    delay = f"{seconds(watermark) + behind / 1000:.3f} seconds"
+    marked = df.withWatermark("_event_time", delay)
+    if keep is not None:  # a condition on the event time stays above the watermark, which so sees every row
+        marked = marked.where(F.when(F.col("_event_time").isNotNull(), keep).otherwise(F.lit(False)))
+    return marked.groupBy(key).applyInPandasWithState(
+        fn, out_schema + ", late boolean, late_row string", STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -2,9 +2,7 @@
 
 import glob
 
-
 from sheaf.plans import reports as rp
-from sheaf.streaming.folds import task_status_stream
 
 
 def test_entry_smoke(spark):
@@ -24,17 +22,3 @@ def test_report_and_markdown_writers(spark, tmpdir_path):
     rp.write_markdown(docs, f"{tmpdir_path}/md", buckets=4)
     back = spark.read.parquet(f"{tmpdir_path}/md")
     assert sorted(r.doc_key for r in back.collect()) == ["in/a.docx", "in/a.pdf"]  # same stem, both kept (Q13)
-
-
-def test_task_status_stream(spark, tmpdir_path):
-    import datetime as dt
-    rows = [(1, dt.datetime(2024, 1, 1, 0, 0, i), i, s, 0.1 * i) for i, s in
-            enumerate(["started", "pending", "success", "started"])]
-    spark.createDataFrame(rows, "task_id long, event_ts timestamp, seq long, task_status string, progress double") \
-        .write.parquet(f"{tmpdir_path}/ev")
-    src = spark.readStream.schema("task_id long, event_ts timestamp, seq long, task_status string, progress double") \
-        .parquet(f"{tmpdir_path}/ev")
-    q = (task_status_stream(src).writeStream.format("memory").queryName("t8").outputMode("complete")
-         .option("checkpointLocation", f"{tmpdir_path}/ck").trigger(availableNow=True).start())
-    q.awaitTermination(120)
-    assert [tuple(r) for r in spark.sql("select task_id, task_status from t8").collect()] == [(1, "success")]

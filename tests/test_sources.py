@@ -21,6 +21,21 @@ def test_line_order_across_splits(spark, tmpdir_path):
     assert got == want
 
 
+def test_compressed_log_is_many_blocks(spark, tmpdir_path):
+    """A gzip log is one split and one task's read; order-dependent work still spreads over its blocks."""
+    import gzip
+    with gzip.open(f"{tmpdir_path}/a.log.gz", "wt") as fh:
+        fh.write("".join(f"line {i:05d}\n" for i in range(5000)))
+    with open(f"{tmpdir_path}/b.log", "w") as fh:
+        fh.write("".join(f"plain {i:05d}\n" for i in range(700)))
+    df = read_log_lines(spark, tmpdir_path, block_lines=100)
+    sizes = df.groupBy("log_id", "block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.count() >= 57
+    got = [r.line for r in df.orderBy("log_id", "block", "line_no").collect()]
+    assert got == [f"line {i:05d}" for i in range(5000)] + [f"plain {i:05d}" for i in range(700)]
+    assert read_log_lines(spark, f"{tmpdir_path}/a.log.gz").select("block").distinct().count() == 1
+
+
 def test_map_sorted_groups_across_batches(spark):
     import pandas as pd
     from sheaf.operators.carry import map_sorted_groups

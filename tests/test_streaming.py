@@ -36,7 +36,7 @@ def test_stream_parse_equals_batch(spark, tmpdir_path):
     lines = [start(ts(i), f"j{i % 3}") if i % 2 else end(ts(i), f"j{i % 3}") for i in range(50)] + ["noise"]
     write_files(f"{tmpdir_path}/in", [lines[:25], lines[25:]])
     full = run(stream_memlog(spark, f"{tmpdir_path}/in"), "t1", f"{tmpdir_path}/ck")
-    # Whole files are read, so line numbers are exact file positions (distinct, in file order).
+    # Line numbers are exact file positions (distinct, in file order).
     for log in {r.log_id for r in full.select("log_id").collect()}:
         got = [r.ts for r in full.where(F.col("log_id") == log).orderBy("line_no").collect()]
         nos = [r.line_no for r in full.where(F.col("log_id") == log).collect()]
@@ -153,3 +153,86 @@ def test_spikes_batch_matches_loop(spark):
         got.setdefault(r.run_id, []).append(r.seq)
     for run in range(5):
         assert sorted(got.get(run, [])) == loop_spikes([x for x in rows if x[0] == run], 100.0), run
+
+
+def test_split_file_streams_in_order(spark, tmpdir_path):
+    """A file larger than a split is read by several tasks; (block, line_no) is still its order."""
+    from sheaf.sources.text import stream_log_lines
+    want = [f"line {i:06d} {'x' * (i % 23)}" for i in range(6000)]
+    write_files(f"{tmpdir_path}/in", [want, want[:10]])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        run(stream_log_lines(spark, f"{tmpdir_path}/in", block_lines=500), "t1s", f"{tmpdir_path}/ck").createOrReplaceTempView("t1s_rows")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = spark.sql("select * from t1s_rows order by log_id, block, line_no").collect()
+    assert [r.line for r in rows] == want + want[:10]
+    assert len({(r.log_id, r.block) for r in rows}) > 6
+
+
+def rows_of_state(query):
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def start_query(df, name, ckpt, mode="append"):
+    q = (df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    return q
+
+
+def test_orphan_state_ends_and_late_ends_change_nothing(spark, tmpdir_path):
+    """Files are batches: the state falls to 0 once jobs are idle; an END after its START was reported, one after the state
+    is gone, and lines behind the watermark neither revive nor retract anything."""
+    from helpers import monitor
+    d = f"{tmpdir_path}/in"
+    write_files(d, [
+        [start(ts(0), "a"), start(ts(2), "b"), end(ts(4), "b"), start(ts(5), "c")],
+        [monitor(ts(80), "m")], [monitor(ts(81), "m")],               # a and c have been open for 60 s: reported
+        [end(ts(90), "a"), end(ts(30), "c"), monitor(ts(110), "m")],  # a's END is too late to matter, c's is behind the watermark
+        [monitor(ts(2000), "m")], [end(ts(2001), "a"), monitor(ts(5000), "m")], [monitor(ts(9000), "m")], [monitor(ts(9001), "m")]])
+    src = (spark.readStream.option("maxFilesPerTrigger", 1).text(d, wholetext=True).select(
+        F.lit("s").alias("log_id"), F.lit(0).cast("long").alias("block"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")))
+    e = parse_memlog(src.select("log_id", "block", F.col("line_no").cast("long"), "line"))
+    q = start_query(stream_orphans(e, max_age_s=60, grace="10 minutes", late_rows=True), "t6e", f"{tmpdir_path}/ck")
+    got = spark.sql("select * from t6e").collect()
+    assert sorted((r.job_name, str(r.start_time)[-8:]) for r in got if not r.late) == [("a", "00:00:00"), ("c", "00:00:05")]
+    assert [(r.job_name, '"END"' in r.late_row) for r in got if r.late] == [("c", True)]
+    assert rows_of_state(q) == 0
+
+
+def test_sample_folds_end_with_their_runs(spark, tmpdir_path):
+    rows = [(run, i, 1_700_000_000 + i, float(100 + 50 * i)) for run in ("x", "y") for i in range(20)]
+    schema = "run_id string, seq long, epoch_s long, rss_mb double"
+    for i, part in enumerate((rows, [("z", 0, 1_700_010_000, None)], [("z", 1, 1_700_900_000, None)], [("z", 2, 1_700_900_001, None)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmpdir_path}/s/{i}")
+    for name, fold, want in (("t2e", monitor_emissions, 38), ("t3e", memory_spikes, 14)):
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmpdir_path}/s")
+        q = start_query(fold(src, idle_ms=3_600_000), name, f"{tmpdir_path}/ck-{name}")
+        assert spark.sql(f"select * from {name}").count() == want and rows_of_state(q) == 0
+
+
+def test_task_status_stream_equals_batch_and_forgets(spark, tmpdir_path):
+    import datetime as dt
+
+    from sheaf.operators.tasks import latest_status
+    from sheaf.streaming.folds import task_status_stream
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(rnd.randrange(40), t0 + dt.timedelta(seconds=rnd.randrange(600)), i, rnd.choice(["started", "pending", "started", "success", "failure"]),
+             rnd.random()) for i in range(300)]
+    schema = "task_id long, event_ts timestamp_ntz, seq long, task_status string, progress double"
+    parts = [rows[k::3] for k in range(3)]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmpdir_path}/ev/{i}")
+    for i, day in enumerate((10, 20, 30)):
+        spark.createDataFrame([(-1, t0 + dt.timedelta(days=day), 0, "success", 1.0)], schema).coalesce(1).write.parquet(f"{tmpdir_path}/ev/x{i}")
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmpdir_path}/ev")
+    q = start_query(task_status_stream(src, watermark="20 minutes"), "t8", f"{tmpdir_path}/ck", "update")
+    got = {}
+    for r in spark.sql("select * from t8").collect():  # a row per change, the last one holds
+        got[r.task_id] = (r.task_status, r.progress)
+    want = {r.task_id: (r.task_status, r.progress) for r in latest_status(spark.createDataFrame(rows, schema)).collect()}
+    assert {k: v for k, v in got.items() if k >= 0} == want
+    assert rows_of_state(q) <= 1  # the last marker's own task
