@@ -172,8 +172,8 @@ def rewrite_members(members: DataFrame, parity: bool = True) -> DataFrame:
     """Every member's bytes after sanitising; a member that is not text keeps its ``raw`` bytes."""
     out = sanitize_members(members, parity)
     text = F.encode("sanitized", "UTF-8")
-    return out.select("path", "member_ix", "member", (F.coalesce(text, F.col("raw")) if "raw" in members.columns
-                                                      else text).alias("content_out"))
+    whole = F.coalesce(text, F.col("raw")) if "raw" in members.columns else text
+    return out.select("path", "member_ix", "member", whole.alias("content_out"), *(["part"] if "part" in members.columns else []))
 
 
 def sanitize_ops(sanitized: DataFrame) -> DataFrame:

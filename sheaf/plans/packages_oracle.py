@@ -68,5 +68,11 @@ ORACLE = {
   cast(strlen(sanitized) as integer) bytes_after from sz2"""),
     "sanitize_ops": _w("""select path, coalesce(string_agg(ops, '|' order by member_ix) filter (where ops <> ''), '') operations,
   cast(sum(strlen(content)) as bigint) bytes_before, cast(sum(strlen(sanitized)) as bigint) bytes_after from sz2 group by path"""),
-    "pkg_rewrite_join": _w("select path, member, sanitized content_out from sz2"),
+    "pkg_rewrite_join": _w("""select path, member, case when length(content) % 3 = 0 then hex(encode(content)) || 'C3'
+  else hex(encode(sanitized)) end content_out from sz2"""),
+    "pkg_members": _w("""select path, cast(member_ix % 8 as integer) member_ix, member, cast(0 as integer) part,
+  case when length(content) % 3 <> 0 then content end content, hex(encode(content)) || case when length(content) % 3 = 0 then 'C3' else '' end raw,
+  length(content) % 3 <> 0 readable from m"""),
+    "office_discover": _w("select distinct path, true has_bytes from m"),
+    "doc_discover": _w("select distinct path, true has_bytes from m"),
 }

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheaf.operators import packages as pk
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import package_members
+from sheaf.session import ensure_checkpoint_dir
+from sheaf.sources import packages as src
 
 
 def members(s, d):
     return package_members(s, d)
 
 
+def _as_read(s, d):
+    """The members with the bytes and the text that reading them from a package would give; a third is not UTF-8."""
+    return members(s, d).select(
+        "path", "member_ix", "member", "content", F.concat(F.encode(F.col("content"), "UTF-8"), F.when(
+            F.length("content") % 3 == 0, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))).alias("raw")).withColumn(
+        "readable", F.is_valid_utf8(F.col("raw").cast("string"))).withColumn("content", F.when(F.col("readable"), F.col("content")))
+
+
+def _written(s, d):
+    """Real packages in the shared folder, written from the members (numbered from 0 in each)."""
+    folder = f"{ensure_checkpoint_dir(s).rstrip('/')}/packages-{uuid.uuid4().hex}"
+    rows = _as_read(s, d).select("path", (F.col("member_ix") % 8).alias("member_ix"), "member", F.col("raw").alias("content_out"))
+    src.write_packages(rows, folder).write.format("noop").mode("overwrite").save()
+    return src.package_files(s, folder, "*.pptx")
+
+
+def _discovered(s, d, suffixes):
+    found = src.discover(s, _written(s, d).select("path").first()[0].rsplit("/", 1)[0], suffixes, recursive=False)
+    return found.select(F.substring_index("path", "/", -1).alias("path"), (F.col("length") > 0).alias("has_bytes"))
+
+
 def scans(s, d):
     return pk.link_scan(members(s, d))
 
@@ -55,6 +80,10 @@ QUERIES = {
         F.octet_length("sanitized").alias("bytes_after")),
     "sanitize_ops": lambda s, d: pk.sanitize_ops(pk.sanitize_members(members(s, d))).select(
         "path", F.array_join("operations", "|").alias("operations"), "bytes_before", "bytes_after"),
-    "pkg_rewrite_join": lambda s, d: pk.sanitize_members(members(s, d)).select(
-        "path", "member", F.coalesce(F.col("sanitized"), F.col("content")).alias("content_out")),
+    "pkg_rewrite_join": lambda s, d: pk.rewrite_members(_as_read(s, d)).select(
+        "path", "member", F.hex("content_out").alias("content_out")),
+    "pkg_members": lambda s, d: src.stream_members(src.member_directory(_written(s, d))).select(
+        F.substring_index("path", "/", -1).alias("path"), "member_ix", "member", "part", "content", F.hex("raw").alias("raw"), "readable"),
+    "office_discover": lambda s, d: _discovered(s, d, (".pptx", ".xlsx")),
+    "doc_discover": lambda s, d: _discovered(s, d, (".pdf", ".pptx")),
 }
