@@ -1,8 +1,8 @@
 """Conversion-log lines (P3, P4): one typed event per line.
 
-Five patterns are tried; when several match one line the later one in the list
-wins (ENTRY < ATTEMPT < LINK_SCAN < SUCCESS < CONVERTED), and each event keeps
-its own pattern's fields. Every pattern contains a literal tag, tested first.
+Five patterns are tried. When several match one line, the later one in the order
+ENTRY < ATTEMPT < LINK_SCAN < SUCCESS < CONVERTED gives the event, and each field comes from the
+latest of the matching patterns that has it. Every pattern contains a literal tag, tested first.
 """
 
 from __future__ import annotations
@@ -44,46 +44,31 @@ def split_link_types(text: Column) -> Column:
 def parse_convlog(lines: DataFrame, lenient: bool = False) -> DataFrame:
     """One row per line that carries an event, with typed nullable fields."""
     line = F.col("line")
-    t = lines.withColumn("_c", F.when(line.contains("Converted"),
-                                      capture_groups(line, CONVERTED_PATTERN, 3, "\u0002C")))
-    hit = lambda c, m: F.coalesce(F.col(c).startswith(m + SEP), F.lit(False))
-    h_c = hit("_c", "\u0002C")
-    t = t.withColumn("_u", F.when(~h_c & line.contains("[SUCCESS]"),
-                                  capture_groups(line, SUCCESS_PATTERN, 2, "\u0002U")))
-    h_u = hit("_u", "\u0002U")
     scan = capture_groups(line, LINK_SCAN_PATTERN, 3, "\u0002L")
     if lenient:
-        strict = scan
-        scan = F.when(strict.startswith("\u0002L" + SEP), strict).otherwise(
-            capture_groups(line, LINK_SCAN_PRODUCER, 3, "\u0002L"))
-    t = t.withColumn("_l", F.when(~h_c & ~h_u & line.contains("[LINK_SCAN]"), scan))
-    h_l = hit("_l", "\u0002L")
-    t = t.withColumn("_a", F.when(~h_c & ~h_u & ~h_l & line.contains("[Attempt"),
-                                  capture_groups(line, ATTEMPT_PATTERN, 5, "\u0002A")))
-    h_a = hit("_a", "\u0002A")
-    t = t.withColumn("_n", F.when(~h_c & ~h_u & ~h_l & ~h_a & line.contains("[ENTRY]"),
-                                  capture_groups(line, ENTRY_PATTERN, 3, "\u0002N")))
-    h_n = hit("_n", "\u0002N")
-    kind = (F.when(h_c, "CONVERTED").when(h_u, "SUCCESS").when(h_l, "LINK_SCAN").when(h_a, "ATTEMPT")
-            .when(h_n, "ENTRY"))
-    raw = F.coalesce(F.when(h_c, F.col("_c")), F.when(h_u, F.col("_u")), F.when(h_l, F.col("_l")),
-                     F.when(h_a, F.col("_a")), F.when(h_n, F.col("_n")))
-    t = t.select("log_id", "block", "line_no", kind.alias("event_type"), F.split(raw, SEP).alias("g"),
-                 F.regexp_extract(line, TS_PATTERN, 1).alias("_ts"))
-    g = lambda i: F.col("g").getItem(i)
-    ev = F.col("event_type")
+        scan = F.when(scan.startswith("\u0002L" + SEP), scan).otherwise(capture_groups(line, LINK_SCAN_PRODUCER, 3, "\u0002L"))
+    captured = {"C": ("Converted", capture_groups(line, CONVERTED_PATTERN, 3, "\u0002C")),
+                "U": ("[SUCCESS]", capture_groups(line, SUCCESS_PATTERN, 2, "\u0002U")), "L": ("[LINK_SCAN]", scan),
+                "A": ("[Attempt", capture_groups(line, ATTEMPT_PATTERN, 5, "\u0002A")),
+                "N": ("[ENTRY]", capture_groups(line, ENTRY_PATTERN, 3, "\u0002N"))}
+    t = lines.select("log_id", "block", "line_no", F.regexp_extract(line, TS_PATTERN, 1).alias("_ts"),
+                     *[F.when(line.contains(tag), groups).alias(k) for k, (tag, groups) in captured.items()])
+    # groups of each pattern, NULL where it did not match; the marker is item 0
+    t = t.select("log_id", "block", "line_no", "_ts", *[
+        F.when(F.col(k).startswith(f"\u0002{k}{SEP}"), F.split(k, SEP)).alias(k) for k in captured])
+    hit = lambda k: F.col(k).isNotNull()
+    g = lambda k, i: F.col(k).getItem(i)
+    ev = (F.when(hit("C"), "CONVERTED").when(hit("U"), "SUCCESS").when(hit("L"), "LINK_SCAN").when(hit("A"), "ATTEMPT")
+          .when(hit("N"), "ENTRY"))
     rec = F.struct(
         F.col("log_id"), F.col("block"), F.col("line_no"),
         F.when(F.col("_ts") != "", F.col("_ts")).alias("timestamp"), ev.alias("event_type"),
-        F.when(ev == "ATTEMPT", F.concat(g(3), F.lit("_input_"), g(4)))
-        .when(ev.isin("LINK_SCAN", "CONVERTED"), g(1)).alias("filename"),
-        F.when(ev.isin("ENTRY", "SUCCESS"), g(1)).when(ev == "ATTEMPT", g(3)).alias("file_type"),
-        F.when(ev == "ATTEMPT", g(1).try_cast("int")).alias("attempt"),
-        F.when(ev == "ATTEMPT", g(5).try_cast("double")).alias("input_size"),
-        F.when(ev == "LINK_SCAN", g(2).try_cast("int")).alias("links_found"),
-        F.when(ev == "LINK_SCAN", split_link_types(g(3))).alias("link_types"),
-        F.when(ev.isin("SUCCESS", "CONVERTED"), g(2).try_cast("double")).alias("pdf_size"),
-        F.when(ev == "CONVERTED", g(3).try_cast("double")).alias("conversion_time"))
+        F.coalesce(g("C", 1), g("L", 1), F.concat(g("A", 3), F.lit("_input_"), g("A", 4))).alias("filename"),
+        F.coalesce(g("U", 1), g("A", 3), g("N", 1)).alias("file_type"),
+        g("A", 1).try_cast("int").alias("attempt"), g("A", 5).try_cast("double").alias("input_size"),
+        g("L", 2).try_cast("int").alias("links_found"), F.when(hit("L"), split_link_types(g("L", 3))).alias("link_types"),
+        F.when(hit("C"), g("C", 2)).otherwise(g("U", 2)).try_cast("double").alias("pdf_size"),
+        g("C", 3).try_cast("double").alias("conversion_time"))
     # Generator instead of a filter: see parse_memlog.
     return t.select(F.explode(F.array_compact(F.array(F.when(ev.isNotNull(), rec)))).alias("r")).select("r.*")
 

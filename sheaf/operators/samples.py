@@ -43,20 +43,18 @@ def run_stats(samples: DataFrame, continuous: bool = True) -> DataFrame:
     ``before`` up to (not including) ``after``; otherwise the peak is ``after``.
     """
     peak_key = F.struct(F.col("rss_mb"), -F.col("epoch_s"), -F.col("seq"))
-    agg = samples.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.min_by(_snap(), _pos()).alias("before"),
-        F.max_by(_snap(), _pos()).alias("after"),
-    )
     if continuous:
-        # Peak over every sample but the last; a one-sample run peaks at "before".
+        # A light table, a row per run, says which sample is the last; then one aggregation sees every sample once.
         last = samples.groupBy("run_id").agg(F.max(_pos()).alias("_last"))
-        body = (samples.join(last, "run_id").where(_pos() < F.col("_last"))
-                .groupBy("run_id").agg(F.max_by(_snap(), peak_key).alias("_peak_body")))
-        agg = agg.join(body, "run_id", "left").withColumn(
-            "peak", F.coalesce(F.col("_peak_body"), F.col("before"))).drop("_peak_body")
+        agg = samples.join(last, "run_id").groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("n_samples"), F.min_by(_snap(), _pos()).alias("before"), F.max_by(_snap(), _pos()).alias("after"),
+            F.max_by(_snap(), F.when(_pos() < F.col("_last"), peak_key)).alias("_body"))
+        # a one-sample run peaks at "before"
+        agg = agg.withColumn("peak", F.coalesce("_body", "before")).drop("_body")
     else:
-        agg = agg.withColumn("peak", F.col("after"))
+        agg = samples.groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("n_samples"), F.min_by(_snap(), _pos()).alias("before"),
+            F.max_by(_snap(), _pos()).alias("after")).withColumn("peak", F.col("after"))
     return agg.select(
         "run_id", "n_samples", "before", "after", "peak",
         (F.col("after.epoch_s") - F.col("before.epoch_s")).cast("double").alias("duration_seconds"),
@@ -64,6 +62,12 @@ def run_stats(samples: DataFrame, continuous: bool = True) -> DataFrame:
         (F.col("after.vms_mb") - F.col("before.vms_mb")).alias("vms_delta_mb"))
 
 
+def with_outcomes(stats: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Run statistics with ``success`` and ``error``; ``outcomes`` (run_id, error) lists the failed runs, one row each."""
+    failed = outcomes.where("error is not null").select("run_id", "error")
+    return stats.join(failed, "run_id", "left").withColumn("success", F.col("error").isNull())
+
+
 def with_running_peak(samples: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """W2 + W3: running max of rss (seeded by the first sample) and a strict new-peak flag.
 

@@ -66,16 +66,25 @@ def json_string(c: Column) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def table_metadata(cells: DataFrame) -> DataFrame:
-    """C21 (+ S6): rows, columns, headers, cells; a header row always exists."""
+def table_metadata(cells: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """C21 (+ S6): rows, columns, headers, cells; a header row always exists.
+
+    ``places`` (table_id, place_ix, page_number, bbox) says where tables were found: the first place counts. Without one, page and
+    box are NULL.
+    """
     rows = cells.groupBy("table_id", "row_ix").agg(F.lit(1).alias("_")).groupBy("table_id").agg(
         F.count(F.lit(1)).alias("num_rows"))
     h = headers(cells).withColumn("num_columns", F.size("cols").cast("long"))
     m = rows.join(h, "table_id")
+    if places is None:
+        m = m.withColumn("bbox", F.lit(None).cast("array<double>")).withColumn("page_number", F.lit(None).cast("int"))
+    else:
+        first = places.groupBy("table_id").agg(F.min_by(F.struct("bbox", "page_number"), "place_ix").alias("p"))
+        m = m.join(first.select("table_id", "p.bbox", "p.page_number"), "table_id", "left")
     return m.select(
         "table_id", "num_rows", "num_columns", "headers", F.lit(True).alias("has_headers"),
         (F.col("num_rows") * F.col("num_columns")).alias("total_cells"),
-        F.col("num_rows").alias("grid_rows"), F.col("num_columns").alias("grid_cols"),
+        F.col("num_rows").alias("grid_rows"), F.col("num_columns").alias("grid_cols"), "bbox", "page_number",
         headers_preview(F.col("headers")).alias("headers_preview"))
 
 

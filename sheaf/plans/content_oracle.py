@@ -50,7 +50,10 @@ ls as (select task_id, coalesce(arg_min(task_status, (event_ts, seq)) filter (wh
 
 ORACLE = {
     "table_metadata": _w("""select md.table_id, num_rows, num_columns, array_to_string(headers, '|') headers, true has_headers,
-  num_rows * num_columns total_cells, num_rows grid_rows, num_columns grid_cols from md join h using (table_id)"""),
+  num_rows * num_columns total_cells, num_rows grid_rows, num_columns grid_cols, page_number, bbox from md join h using (table_id)
+  join (select p_brand table_id, cast(arg_min(p_size, p_partkey) as integer) page_number,
+    cast(cast(arg_min(p_size, p_partkey) as double) as varchar) || '|0.5|' || cast(cast(arg_min(p_size, p_partkey) + 10 as double) as varchar) || '|20.25' bbox
+    from part group by p_brand) using (table_id)"""),
     "headers_preview": _w("""select table_id, array_to_string(headers[1:5], ', ') || case when len(headers) > 5 then '...' else '' end
   headers_preview from h"""),
     "table_to_csv": _w(f"""select table_id, cast(0 as bigint) line_ix, array_to_string(list_transform(headers, lambda x: {CSVF}), ',') line from h

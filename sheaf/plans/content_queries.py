@@ -9,7 +9,7 @@ from sheaf.functions.text import chunk_starts, html_to_markdown
 from sheaf.operators import tables as tb
 from sheaf.operators import tasks as tk
 from sheaf.plans.common import flat
-from sheaf.plans.fixtures import table_cells, task_events
+from sheaf.plans.fixtures import table_cells, table_places, task_events
 from sheaf.sources.tables import load_table
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
@@ -30,9 +30,9 @@ def _results(s, d):
 
 
 QUERIES = {
-    "table_metadata": lambda s, d: tb.table_metadata(table_cells(s, d)).select(
+    "table_metadata": lambda s, d: tb.table_metadata(table_cells(s, d), table_places(s, d)).select(
         "table_id", "num_rows", "num_columns", F.array_join("headers", "|").alias("headers"), "has_headers",
-        "total_cells", "grid_rows", "grid_cols"),
+        "total_cells", "grid_rows", "grid_cols", "page_number", F.array_join(F.col("bbox").cast("array<string>"), "|").alias("bbox")),
     "headers_preview": lambda s, d: tb.table_metadata(table_cells(s, d)).select("table_id", "headers_preview"),
     "table_to_csv": lambda s, d: tb.to_csv_lines(table_cells(s, d)),
     "table_to_markdown": lambda s, d: tb.to_markdown_lines(table_cells(s, d)),

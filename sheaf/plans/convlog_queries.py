@@ -29,10 +29,10 @@ def _rec_cols(df):
 
 QUERIES = {
     "convlog_lines": lambda s, d: convlog_lines(s, d).select("log_id", "line_no", "line"),
-    "convlog_parse": lambda s, d: flat(events(s, d).select(
+    "convlog_parse": lambda s, d: flat(parse_convlog(convlog_lines(s, d)).select(
         "log_id", "line_no", "timestamp", "event_type", "filename", "file_type", "attempt", "input_size",
         "links_found", F.array_join("link_types", "|").alias("link_types"), "pdf_size", "conversion_time")),
-    "link_types_split": lambda s, d: events(s, d).where(F.col("event_type") == "LINK_SCAN").select(
+    "link_types_split": lambda s, d: parse_convlog(convlog_lines(s, d)).where(F.col("event_type") == "LINK_SCAN").select(
         "log_id", "line_no", F.size("link_types").alias("n_types"),
         F.array_join("link_types", "|").alias("link_types")),
     "conv_current_file": lambda s, d: cv.with_current_file(events(s, d)).select(

@@ -72,8 +72,10 @@ ORACLE = {
     "batch_progress": _w("""select file_path, row_number() over (order by file_path) idx,
   printf('[%d/%d]', row_number() over (order by file_path), count(*) over ()) progress from st"""),
     "files_sorted": _w("select path from r"),
-    "retry_outcome": _w("""select doc_id, count(*) attempts_made, min(attempt) filter (where ok) is not null succeeded,
-  coalesce(min(attempt) filter (where ok), max(attempt)) final_attempt from r where attempt <= 2 group by doc_id"""),
+    "retry_outcome": """with a as (select doc_id, cast(k as integer) attempt, (doc_id + k) % 3 = 0 ok from documents, range(1, 5) t(k)
+  where k <= doc_id % 4 + 1 and k <= 2)
+select doc_id, count(*) attempts_made, count(*) filter (where ok) > 0 succeeded,
+  coalesce(min(attempt) filter (where ok), max(attempt)) final_attempt from a group by doc_id""",
     "error_log_classify": _w("""select doc_id, case when error_msg is null or error_msg = '' then ''
   when contains(lower(error_msg), 'out of memory') or contains(lower(error_msg), 'cannot allocate')
   then 'OUT OF MEMORY detected in LibreOffice logs' else substr(error_msg, 1, 300) end error from r where not ok"""),

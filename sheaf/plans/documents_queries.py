@@ -8,7 +8,7 @@ from sheaf.functions import routing as r
 from sheaf.operators import documents as dm
 from sheaf.operators import samples as sm
 from sheaf.plans.common import flat
-from sheaf.plans.fixtures import document_runs, samples
+from sheaf.plans.fixtures import attempts, document_runs, samples
 from sheaf.sources.tables import load_table
 
 
@@ -61,7 +61,7 @@ QUERIES = {
     "conversion_counts": lambda s, d: dm.conversion_counts(dm.doc_run_stats(runs(s, d))),
     "batch_progress": lambda s, d: dm.batch_progress(dm.doc_run_stats(runs(s, d))).select("file_path", "idx", "progress"),
     "files_sorted": lambda s, d: runs(s, d).orderBy("path").select("path"),
-    "retry_outcome": lambda s, d: sm.retry_outcome(runs(s, d)),
+    "retry_outcome": lambda s, d: sm.retry_outcome(attempts(s, d)),
     "error_log_classify": lambda s, d: runs(s, d).where(~F.col("ok")).select(
         "doc_id", dm.classify_error_log(F.col("error_msg")).alias("error")),
     "conversion_validate": lambda s, d: dm.validate_for_conversion(runs(s, d)).groupBy(

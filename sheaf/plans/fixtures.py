@@ -126,6 +126,29 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(first, "run_id").withColumn("elapsed_s", F.col("epoch_s") - F.col("_t0")).drop("_t0")
 
 
+def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the runs whose last event is an error, with its text."""
+    from sheaf.operators.leaks import epoch_seconds
+    ev = load_table(spark, sf_dir, "events")
+    at = F.struct(F.floor(epoch_seconds(F.col("ts"))), F.col("event_id"))
+    last = ev.groupBy(F.col("user_id").alias("run_id")).agg(F.max_by(F.struct("event_type", "event_id"), at).alias("e"))
+    return last.where("e.event_type = 'error'").select("run_id", F.concat(F.lit("failed at event "), F.col("e.event_id").cast("string")).alias("error"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one to four attempts a document; each succeeds or fails by its own rule."""
+    did = F.col("doc_id")
+    docs = load_table(spark, sf_dir, "documents").select(did, F.explode(F.sequence(F.lit(1), (did % 4 + 1).cast("int"))).alias("attempt"))
+    return docs.select(did, "attempt", ((did + F.col("attempt")) % 3 == 0).alias("ok"))
+
+
+def table_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """where a table was found, in order: every part of a brand is a place, on the page of its size."""
+    part, size = load_table(spark, sf_dir, "part"), F.col("p_size").cast("double")
+    return part.select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("place_ix"), F.col("p_size").cast("int").alias("page_number"),
+                       F.array(size, F.lit(0.5), size + 10, F.lit(20.25)).alias("bbox"))
+
+
 def document_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """one processing record per document; mixed-case and unsupported suffixes.
 

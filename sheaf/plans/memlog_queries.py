@@ -20,6 +20,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(parse_memlog(memlog_lines(spark, sf_dir)))
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For plans with one branch: nothing is stored."""
+    return parse_memlog(memlog_lines(spark, sf_dir))
+
+
 def _stats(spark, sf_dir, limit=CONTAINER_LIMIT_MB):
     return leaks.job_stats(entries(spark, sf_dir), container_limit_mb=limit)
 
@@ -29,11 +34,11 @@ def q_memlog_lines(spark, sf_dir):
 
 
 def q_memlog_parse(spark, sf_dir):
-    return flat(entries(spark, sf_dir).drop("log_id", "block"))
+    return flat(parsed(spark, sf_dir).drop("log_id", "block"))
 
 
 def q_ts_parse(spark, sf_dir):
-    e = entries(spark, sf_dir)
+    e = parsed(spark, sf_dir)
     return e.select("line_no", ts_text("ts").alias("ts"), F.year("ts").alias("yr"),
                     F.hour("ts").alias("hr"), F.second("ts").alias("sec"))
 

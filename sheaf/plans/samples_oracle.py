@@ -17,6 +17,11 @@ rp as (select run_id, seq, rss_mb, max(rss_mb) over (partition by run_id order b
 """
 
 
+OUTCOMES = """oc as (select user_id run_id, 'failed at event ' || cast(max(event_id) filter (where last) as varchar) error from (
+  select *, row_number() over (partition by user_id order by floor(epoch(ts)) desc, event_id desc) = 1 last from events) e
+  group by user_id having max(event_type) filter (where last) = 'error')"""
+
+
 def _w(body):
     return "with " + F4 + body
 
@@ -28,8 +33,9 @@ ORACLE = {
   round(a_rss, 6) after_rss_mb, p_seq peak_seq, round(p_rss, 6) peak_rss_mb, round(duration_seconds, 6) duration_seconds,
   round(rss_delta_mb, 6) rss_delta_mb, round(vms_delta_mb, 6) vms_delta_mb from st"""),
     "snapshot_delta": _w("select run_id, round(rss_delta_mb, 6) rss_delta_mb, round(vms_delta_mb, 6) vms_delta_mb from st"),
-    "job_status_line": _w("""select run_id, printf('[SUCCESS] run_%d | Duration: %.2fs | RSS Delta: %+.2fMB | VMS Delta: %+.2fMB | Peak RSS: %.2fMB',
-  run_id, duration_seconds, rss_delta_mb, vms_delta_mb, p_rss) line from st"""),
+    "job_status_line": _w(f""", {OUTCOMES}
+  select run_id, case when error is null then '[SUCCESS]' else '[FAILED]' end || printf(' run_%d | Duration: %.2fs | RSS Delta: %+.2fMB | VMS Delta: %+.2fMB | Peak RSS: %.2fMB',
+  run_id, duration_seconds, rss_delta_mb, vms_delta_mb, p_rss) line from st left join oc using (run_id)"""),
     "running_peak": _w("select run_id, seq, round(running_peak, 6) running_peak from rp"),
     "peak_updates": _w("select run_id, seq, prev_peak is null or rss_mb > prev_peak is_new_peak from rp"),
     "limit_verdict": _w("""select run_id, arg_min(seq, (epoch_s, seq)) seq, arg_min(code, (epoch_s, seq)) returncode,

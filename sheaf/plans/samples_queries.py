@@ -8,6 +8,7 @@ from sheaf.functions.memlog import job_status_line
 from sheaf.operators import samples as sm
 from sheaf.operators.timers import memory_spikes_batch, monitor_emissions_batch
 from sheaf.plans.common import flat
+from sheaf.plans.fixtures import run_outcomes
 from sheaf.plans.fixtures import samples as _samples
 from sheaf.session import cut_lineage
 
@@ -21,7 +22,7 @@ def samples(s, d):
 
 
 def stats(s, d):
-    return sm.run_stats(samples(s, d))
+    return sm.run_stats(_samples(s, d))
 
 
 def _stats_cols(df):
@@ -39,13 +40,13 @@ QUERIES = {
     "memory_spikes": lambda s, d: flat(memory_spikes_batch(samples(s, d), bucket_seconds=MONITOR_CHUNK_S)),
     "monitor_emit": lambda s, d: flat(monitor_emissions_batch(samples(s, d), log_interval_s=MONITOR_INTERVAL_S,
                                                               chunk_seconds=MONITOR_CHUNK_S)),
-    "samples_scan": lambda s, d: flat(samples(s, d).select(
+    "samples_scan": lambda s, d: flat(_samples(s, d).select(
         "run_id", "seq", "epoch_s", sm.bytes_to_mb(F.col("rss_bytes")).alias("rss_mb"), "vms_mb", "available_mb",
         "percent", "elapsed_s")),
     "job_mem_stats": lambda s, d: _stats_cols(stats(s, d)),
     "snapshot_delta": lambda s, d: flat(stats(s, d).select("run_id", "rss_delta_mb", "vms_delta_mb")),
-    "job_status_line": lambda s, d: stats(s, d).select("run_id", job_status_line(
-        F.concat(F.lit("run_"), F.col("run_id").cast("string")), F.lit(True), F.col("duration_seconds"),
+    "job_status_line": lambda s, d: sm.with_outcomes(stats(s, d), run_outcomes(s, d)).select("run_id", job_status_line(
+        F.concat(F.lit("run_"), F.col("run_id").cast("string")), F.col("success"), F.col("duration_seconds"),
         F.col("rss_delta_mb"), F.col("vms_delta_mb"), F.col("peak.rss_mb")).alias("line")),
     "running_peak": lambda s, d: flat(sm.with_running_peak(samples(s, d)).select("run_id", "seq", "running_peak")),
     "peak_updates": lambda s, d: sm.with_running_peak(samples(s, d)).select("run_id", "seq", "is_new_peak"),

@@ -50,7 +50,8 @@ def test_parse_priority_and_fields(spark):
     assert ev[0].event_type == "ENTRY" and ev[0].file_type == "excel"
     assert ev[1].filename == "excel_input_a_input_b.xlsx" and ev[1].file_type == "excel_input_a" and ev[1].timestamp == "2026-01-01 10:00:01"
     assert ev[2].link_types == ["ole", "", "chart", ""] and ev[2].timestamp is None  # '' stays: blank test precedes quote strip (P4)
-    assert ev[3].event_type == "CONVERTED" and ev[3].pdf_size == 0.8  # later pattern wins
+    # the later pattern gives the event; fields that only the earlier one has stay
+    assert ev[3].event_type == "CONVERTED" and ev[3].pdf_size == 0.8 and ev[3].file_type == "excel" and ev[3].filename == "excel_input_q.xlsx"
     assert 4 not in ev
 
 
