@@ -15,6 +15,13 @@ def _html_sql(col: str) -> str:
     return f"trim({body})"
 
 
+def unescaped(col: str) -> str:
+    """The named entities of XML, the ampersand last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&amp;", "&")):
+        col = f"replace({col}, '{entity}', '{char}')"
+    return col
+
+
 F6 = """
 p as (select p_brand, p_partkey, p_name, p_retailprice, p_partkey rn from part),
 c as (select p_brand table_id, cast(rn as bigint) row_ix, cast(col_ix as integer) col_ix,

@@ -46,7 +46,7 @@ done as (select log_id, filename, count(*) n_done, arg_max(pdf_size, line_no) pd
 rec as (select c.log_id, c.filename, c.file_type, coalesce(s.links_found > 0, false) has_links,
   coalesce(s.links_found, 0) links_found, coalesce(s.link_types, []::varchar[]) link_types,
   coalesce(dn.n_done > 0, false) conversion_successful, c.input_size_mb, dn.pdf_size_mb, dn.conversion_time_seconds,
-  c.attempt_number, 2 max_retries, coalesce(c."timestamp", '') "timestamp"
+  c.attempt_number, 2 max_retries, coalesce(c."timestamp", '') "timestamp", c.created
   from convs c left join scan_last s on c.log_id = s.log_id and c.filename = s.filename
   left join done dn on c.log_id = dn.log_id and c.filename = dn.filename)
 """

@@ -1,8 +1,12 @@
 """DuckDB oracle SQL for report lines that are exactly defined (K1, K3) and T5."""
 
+from sheaf.plans.content_oracle import ORACLE as CONTENT
+from sheaf.plans.content_oracle import _html_sql, unescaped
 from sheaf.plans.convlog_oracle import F2_TYPED
+from sheaf.plans.documents_oracle import F5
 from sheaf.plans.memlog_oracle import F1_TYPED
-from sheaf.plans.samples_oracle import F4
+from sheaf.plans.packages_oracle import F3
+from sheaf.plans.samples_oracle import F4, OUTCOMES
 
 RULE = "=" * 100
 
@@ -15,7 +19,9 @@ ORACLE = {
   avg_peak_rss, max_peak_rss) || case when coalesce(time_to_oom_hours, 0) <> 0 then printf('%.6f', time_to_oom_hours) else '' end
   || ',' || case when headroom_consumed_percent > 0 then printf('%.2f', headroom_consumed_percent) else '' end || ','
   || case when is_statistical_outlier then '1' else '0' end from top""",
-    "conv_csv": "with " + F2_TYPED + """select log_id, filename, '"' || filename || '",' || coalesce(file_type, 'None') || ',' ||
+    "conv_csv": "with " + F2_TYPED + """select distinct log_id, '' filename, cast(0 as integer) ord,
+  'filename,file_type,has_links,links_found,link_types,conversion_successful,input_size_mb,pdf_size_mb,conversion_time_seconds' line from rec
+  union all select log_id, filename, cast(1 as integer), '"' || filename || '",' || coalesce(file_type, 'None') || ',' ||
   case when has_links then 'True' else 'False' end || ',' || cast(links_found as varchar) || ',"' || array_to_string(link_types, '|')
   || '",' || case when conversion_successful then 'True' else 'False' end || ',' || coalesce(cast(input_size_mb as varchar), '') || ',' ||
   case when coalesce(pdf_size_mb, 0) <> 0 then cast(pdf_size_mb as varchar) else '' end || ',' ||
@@ -25,21 +31,55 @@ ORACLE = {
   where epoch(timestamp '2024-01-31 00:00:00') - epoch(start_time) > 259200""",
 }
 
-ORACLE["profiler_report_lines"] = "with " + F4 + """,
-bs as (select st.*, (select min(seq) from s where s.run_id = st.run_id and s.epoch_s = st.b_t) b_seq from st),
+_PROFILED = "with " + F4 + f""", {OUTCOMES},
+bs as (select st.*, error, (select min(seq) from s where s.run_id = st.run_id and s.epoch_s = st.b_t) b_seq from st left join oc using (run_id))"""
+
+ORACLE["profiler_report_lines"] = _PROFILED + f""",
 jb as (select *, row_number() over (order by b_t, b_seq) idx from bs),
 cu as (select *, row_number() over (order by -rss_delta_mb, run_id) idx2 from bs where rss_delta_mb > 50 or p_rss > 500)
-select 1 section, cast(idx as bigint) ord, printf('%d. [SUCCESS] run_%d | Duration: %.2fs | RSS Delta: %+.2fMB | VMS Delta: %+.2fMB | Peak RSS: %.2fMB',
-  idx, run_id, duration_seconds, rss_delta_mb, vms_delta_mb, p_rss) line from jb
-union all select 2, cast(k as bigint), line from (
-  select 0 k, 'SUMMARY:' line
-  union all select 1, printf('  Total jobs tracked: %d', (select count(*) from bs))
-  union all select 2, printf('  Total RSS delta: %+.2fMB', (select sum(rss_delta_mb) from bs))
-  union all select 3, (select printf('  Largest RSS increase: run_%d (%+.2fMB)', arg_max(run_id, (rss_delta_mb, -b_t, -b_seq)), max(rss_delta_mb)) from bs)
-  union all select 4, (select printf('  Highest peak RSS: run_%d (%.2fMB)', arg_max(run_id, (p_rss, -b_t, -b_seq)), max(p_rss)) from bs))
-union all select 3, cast(idx2 * 100 as bigint), printf('  [WARNING] run_%d:', run_id) from cu
-union all select 3, cast(idx2 * 100 + 1 as bigint), printf('      RSS Delta: %+.2fMB', rss_delta_mb) from cu
-union all select 3, cast(idx2 * 100 + 2 as bigint), printf('      Peak RSS: %.2fMB', p_rss) from cu"""
+select cast(section as integer) section, cast(k as bigint) ord, line from (
+  select 0 section, 0 k, '{"=" * 80}' line union all select 0, 1, 'MEMORY PROFILING REPORT' union all select 0, 2, '{"=" * 80}'
+  union all select 0, 3, '' union all select 0, 4, 'Job-by-Job Memory Usage:' union all select 0, 5, '{"-" * 80}'
+  union all select 1, idx * 100, printf('%d. %s run_%d | Duration: %.2fs | RSS Delta: %+.2fMB | VMS Delta: %+.2fMB | Peak RSS: %.2fMB',
+    idx, case when error is null then '[SUCCESS]' else '[FAILED]' end, run_id, duration_seconds, rss_delta_mb, vms_delta_mb, p_rss) from jb
+  union all select 1, idx * 100 + 1, '   Error: ' || error from jb where error is not null
+  union all select 2, 0, '' union all select 2, 1, '{"-" * 80}' union all select 2, 2, 'SUMMARY:'
+  union all select 2, 3, printf('  Total jobs tracked: %d', (select count(*) from bs))
+  union all select 2, 4, printf('  Total RSS delta: %+.2fMB', (select sum(rss_delta_mb) from bs))
+  union all select 2, 5, (select printf('  Largest RSS increase: run_%d (%+.2fMB)', arg_max(run_id, (rss_delta_mb, -b_t, -b_seq)), max(rss_delta_mb)) from bs)
+  union all select 2, 6, (select printf('  Highest peak RSS: run_%d (%.2fMB)', arg_max(run_id, (p_rss, -b_t, -b_seq)), max(p_rss)) from bs)
+  union all select 2, 7, '' union all select 2, 8, 'POTENTIAL OOM CULPRITS (RSS delta > 50MB or RSS > 500MB):'
+  union all select 2, 9, '  No obvious culprits found.' where (select count(*) from cu) = 0
+  union all select 3, idx2 * 100, printf('  [WARNING] run_%d:', run_id) from cu
+  union all select 3, idx2 * 100 + 1, printf('      RSS Delta: %+.2fMB', rss_delta_mb) from cu
+  union all select 3, idx2 * 100 + 2, printf('      Peak RSS: %.2fMB', p_rss) from cu
+  union all select 4, 0, '' union all select 4, 1, '{"=" * 80}')"""
+
+ORACLE["profiler_json"] = _PROFILED + """ select 'run_' || cast(run_id as varchar) "name", 'name,duration,rss_delta_mb,peak_rss_mb,success' keys,
+  round(duration_seconds, 6) duration, round(rss_delta_mb, 6) rss_delta_mb, round(p_rss, 6) peak_rss_mb, error is null success from bs"""
+
+ORACLE["doc_metadata_json"] = "with " + F5 + """ select file_path, 'processing_date,statistics,output_location' keys, '2026-01-08T10:00:00' processing_date,
+  filename statistics_filename, format statistics_format, success statistics_success, round(file_size_mb, 6) statistics_file_size_mb,
+  cast(tables_found as bigint) statistics_tables_found, cast(tables_exported as bigint) statistics_tables_exported,
+  cast(images_extracted as bigint) statistics_images_extracted, cast(page_images_extracted as bigint) statistics_page_images_extracted,
+  round(processing_time_seconds, 6) statistics_processing_time_seconds, error statistics_error, 'out/' || file_path output_location
+  from st where success"""
+
+ORACLE["batch_summary_json"] = "with " + F5 + """, b as (select coalesce(format, 'None') format, count(*) n, count(*) filter (where success) ok from st group by 1)
+select printf('{"total_files":%d,"successful":%d,"failed":%d,"total_tables_extracted":%d,"total_images_extracted":%d,"total_page_images_extracted":%d,'
+  || '"total_processing_time_seconds":T,"output_directory":"out","format_breakdown":{', count(*), count(*) filter (where success),
+  count(*) filter (where not success), cast(sum(tables_found) as bigint), cast(sum(images_extracted) as bigint), cast(sum(page_images_extracted) as bigint))
+  || (select string_agg(printf('"%s":{"count":%d,"success":%d}', format, n, ok), ',' order by format) from b) || '}}' json from st"""
+
+ORACLE["markdown_sink"] = "with " + F3 + f""", dk as (select path, string_agg(printf('## Slide %d', member_ix) || chr(10) || chr(10)
+  || {unescaped("regexp_extract(content, '(?s)<a:t>(.*?)</a:t>', 1)")}, chr(10) || chr(10) order by member_ix) md
+  from m where member_ix % 5 = 0 group by path)
+select 'pages/' || cast(page_id as varchar) || '.html' doc_key, md5({_html_sql("html")}) md5 from pages
+union all select path, md5(md) from dk"""
+
+ORACLE["output_layout"] = f"""with x as (select 'csv' fmt, table_id, line from ({CONTENT["table_to_csv"]})
+  union all select 'json', table_id, line from ({CONTENT["table_to_json"]}))
+select 'tables' kind, fmt, table_id, line from x"""
 
 _HEAD = "\n".join(["", "DETAILED CONVERSION RESULTS", "-" * 120,
                    f"{'Filename':<40} {'Type':<12} {'Links':<6} {'Link Types':<15} {'Status':<10} {'Input Size':<12} {'PDF Size':<12}",
@@ -70,7 +110,17 @@ union all select 3, idx, printf('%-40s %-12s %-6s %-15s %-10s %-12s %-12s',
   case when length(lt) > 15 then substr(lt, 1, 12) || '...' else lt end,
   case when conversion_successful then 'SUCCESS' else 'FAILED' end,
   case when input_size_mb is not null then printf('%.2fMB', input_size_mb) else '-' end,
-  case when coalesce(pdf_size_mb, 0) <> 0 then printf('%.2fMB', pdf_size_mb) else '-' end) from rows"""
+  case when coalesce(pdf_size_mb, 0) <> 0 then printf('%.2fMB', pdf_size_mb) else '-' end) from rows
+union all select 4, 0, '' union all select 4, 1, '{RULE}'
+union all select 4, k, line from smr, (values (2, ''), (3, 'DOCUMENTS WITH LINKS - DETAILED'), (4, '{"-" * 100}')) v(k, line) where with_links > 0
+union all select 5, idx * 100 + k, line from (select *, row_number() over (order by log_id, created) idx from rec where has_links) r,
+  lateral (select * from (values (0, 'File: ' || filename), (1, '  Type: ' || coalesce(file_type, 'None')), (2, printf('  Links found: %d', links_found)),
+  (3, '  Link types: ' || case when len(link_types) > 0 then '[''' || array_to_string(link_types, ''', ''') || ''']' else '[]' end),
+  (4, '  Conversion status: ' || case when conversion_successful then 'SUCCESS' else 'FAILED' end),
+  (5, '  Input size: ' || cast(input_size_mb as varchar) || 'MB'),
+  (6, case when coalesce(pdf_size_mb, 0) <> 0 then '  PDF size: ' || cast(pdf_size_mb as varchar) || 'MB' end),
+  (7, case when coalesce(conversion_time_seconds, 0) <> 0 then '  Conversion time: ' || cast(conversion_time_seconds as varchar) || 's' end), (8, '')) v(k, line))
+  where line is not null"""
 
 _DASH = "─" * 95
 _LIM = "cast(2048.0 as double)"
@@ -113,8 +163,11 @@ lines as (
   union all select 2, 5, case when (select count(*) from orph) > 0 then 'This typically indicates the container was killed (OOM) during job execution.'
     else 'No evidence of container crash during job execution in this log sample.' end
   union all select 2, 6, ''
-  union all select 4, 0, '' union all select 4, 1, '{RULE}' union all select 4, 2, 'TOP MEMORY LEAK CULPRITS (ranked by leak score)'
-  union all select 4, 3, '{RULE}' union all select 4, 4, ''
+  union all select 4, k, x from (values (0, 'RECOMMENDATION: Investigate the jobs listed above. They are the most likely'),
+    (1, '                culprits for OOM issues. Check what these jobs do and why'), (2, '                they might consume excessive memory.'),
+    (3, '')) v(k, x) where (select count(*) from orph) > 0
+  union all select 4, 4, '' union all select 4, 5, '{RULE}' union all select 4, 6, 'TOP MEMORY LEAK CULPRITS (ranked by leak score)'
+  union all select 4, 7, '{RULE}' union all select 4, 8, '' union all select 4, 9, '  No culprits identified.' where (select count(*) from top) = 0
   union all select 7, 0, '{RULE}' union all select 7, 1, 'GLOBAL STATISTICS' union all select 7, 2, '{RULE}' union all select 7, 3, ''
   union all select 7, 4, printf('  Global average RSS delta: %.2f MB', global_avg_delta) from gt
   union all select 7, 5, printf('  Global standard deviation: %.2f MB', global_stddev_delta) from gt
