@@ -32,6 +32,21 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("source"), F.col("value").alias("response"))
 
 
+def scan_responses(responses: DataFrame) -> DataFrame:
+    """The typed columns of response documents (columns of ``read_responses``), whatever shapes their parts have.
+
+    ``json_kind`` says what ``document.json_content`` is: OBJECT, ARRAY, STRING, another variant type, or VOID where there is none. A
+    document that is no JSON has nulls and ``valid`` false.
+    """
+    v = F.col("v")
+    get = lambda path, kind="string": F.try_variant_get(v, path, kind)
+    kind = F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, "$.document.json_content", "variant")), "^([A-Z]+)", 1)
+    return responses.select("source", F.try_parse_json("response").alias("v")).select(
+        "source", v.isNotNull().alias("valid"), get("$.status").alias("status"), get("$.processing_time", "double").alias("processing_time"),
+        F.size(F.try_variant_get(v, "$.errors", "array<string>")).alias("n_errors"),
+        F.coalesce(F.when(kind != "", kind), F.lit("VOID")).alias("json_kind"), get("$.document.md_content").alias("md_content"))
+
+
 def normalise_format(fmt: Column) -> Column:
     f = F.lower(fmt)
     for a, b in FORMAT_ALIASES.items():

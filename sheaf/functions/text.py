@@ -48,8 +48,21 @@ def html_to_markdown(html: Column) -> Column:
     return F.trim(out)
 
 
+def _character(reference: Column) -> Column:
+    """The character of ``&#n;`` or ``&#xh;``; a number that is no character stays as written."""
+    hexadecimal = reference.startswith("&#x") | reference.startswith("&#X")
+    digits = F.regexp_extract(reference, "([0-9A-Fa-f]+);$", 1)
+    number = F.when(hexadecimal, F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16))
+    code = F.conv(number, 16, 10).cast("long")
+    valid = (F.length(number) <= 6) & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(number, 8, "0")), "UTF-32")).otherwise(reference)
+
+
 def xml_unescape(c: Column) -> Column:
-    """The five named entities of XML; the ampersand last."""
+    """Numeric character references, then the five named entities of XML; the ampersand last."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)(&#[xX][0-9A-Fa-f]{1,8};|&#[0-9]{1,8};|[^&]+|&)"), 1)
+    numbered = F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("&#") & x.endswith(";"), _character(x)).otherwise(x)), "")
+    c = F.when(F.contains(c, F.lit("&#")), numbered).otherwise(c)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c

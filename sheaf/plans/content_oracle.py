@@ -3,6 +3,8 @@
 import re as _re
 
 from sheaf.functions.text import HTML_RULES as _RULES
+from sheaf.plans.memlog_oracle import F1_TYPED, ORACLE as MEMLOG
+from sheaf.plans.packages_oracle import F3
 
 
 def _html_sql(col: str) -> str:
@@ -85,3 +87,43 @@ ORACLE = {
   task_status = 'success' and d.n_chars is not null has_result from ls left join documents d on d.doc_id = ls.task_id
   where task_status in ('success', 'failure')""",
 }
+
+_RESPONSES = """with r as (select doc_id, doc_id % 11 = 5 cut, doc_id % 7 = 0 failed, n_chars / 100.0 secs,
+  (['json', 'markdown', 'html', 'text', 'JSON'])[doc_id % 5 + 1] fmt from documents)"""
+
+ORACLE["responses_scan"] = _RESPONSES + """ select 'responses/' || cast(doc_id as varchar) || '.json' source, not cut valid,
+  case when not cut then case when failed then 'failure' else 'success' end end status, case when not cut then round(secs, 6) end processing_time,
+  cast(case when not cut then case when failed then 1 else 0 end end as integer) n_errors,
+  case when cut then 'VOID' when doc_id % 3 = 0 then 'OBJECT' when doc_id % 3 = 1 then 'STRING' else 'VOID' end json_kind,
+  case when not cut then '# ' || cast(doc_id as varchar) end md_content from r"""
+
+ORACLE["response_select"] = _RESPONSES + """ select doc_id, case when cut then '' when failed then null
+  when fmt in ('json', 'JSON') and doc_id % 3 = 0 then '{' || chr(10) || '  "id": ' || cast(doc_id as varchar) || ',' || chr(10) || '  "tags": [' || chr(10)
+    || '    "a",' || chr(10) || '    "é"' || chr(10) || '  ]' || chr(10) || '}'
+  when fmt in ('json', 'JSON') and doc_id % 3 = 1 then 'id ' || cast(doc_id as varchar)
+  when fmt = 'html' then '<p>' || cast(doc_id as varchar) || '</p>' when fmt = 'text' then '' else '# ' || cast(doc_id as varchar) end content,
+  case when not cut and failed then 'Conversion failed: ["parse error"]' end error, case when not cut then round(secs, 6) end processing_time from r"""
+
+ORACLE["request_v1"] = """select doc_id, '{"sources":[' || case doc_id % 3
+  when 0 then '{"kind":"http","url":"http://h/' || cast(doc_id as varchar) || '"}'
+  when 1 then '{"kind":"http","url":"http://h/' || cast(doc_id as varchar) || '"},{"kind":"base64","base64_string":"QQ==","filename":"' || cast(doc_id as varchar) || '.pdf"}'
+  else '{"kind":"http","url":"https://n/' || cast(doc_id as varchar) || '"},{"kind":"base64","base64_string":"QQ==","filename":"' || cast(doc_id as varchar) || '.pdf"}' end
+  || '],"options":{"to":"md"}}' request from documents"""
+
+ORACLE["pptx_to_markdown"] = "with " + F3 + f""" select path, string_agg(printf('## Slide %d', member_ix) || chr(10) || chr(10)
+  || {unescaped("regexp_extract(content, '(?s)<a:t>(.*?)</a:t>', 1)")}, chr(10) || chr(10) order by member_ix) markdown
+  from m where member_ix % 5 = 0 group by path"""
+
+ORACLE["xlsx_to_cells"] = """select 'book_' || cast(p_partkey // 50 as varchar) || '.xlsx' path, cast(1 as integer) sheet, c || cast(p_partkey % 50 + 1 as varchar) cell_ref,
+  cast(p_partkey % 50 as integer) row_ix, cast(ix as integer) col_ix,
+  case c when 'A' then 'A&é ' || p_name when 'B' then cast(p_size as varchar) else 'i' || cast(p_partkey as varchar) end "value"
+  from part, (values ('A', 0), ('B', 1), ('AA', 26)) t(c, ix)"""
+
+ORACLE["stream_memlog"] = "select * exclude (line_no) from (" + MEMLOG["memlog_parse"] + ")"
+
+# One batch reads all files, so everything up to the watermark is folded before old STARTs are reported.
+_STREAMED = F1_TYPED.replace("e as (select * from e0 where log_type is not null)", "wm as (select max(ts) - interval 10 seconds wm from e0 where log_type is not null),\n"
+                             "e as (select * from e0 where log_type is not null and ts <= (select wm from wm))")
+ORACLE["stream_orphans"] = "with " + _STREAMED + """ select job_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') start_time,
+  round(rss_at_start, 6) rss_at_start, round(vms_at_start, 6) vms_at_start, round(memory_percent_at_start, 6) memory_percent_at_start,
+  round(system_available_at_start, 6) system_available_at_start from orph where start_time + interval 300 seconds < (select wm from wm)"""

@@ -3,14 +3,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from sheaf.functions import responses as rs
 from sheaf.functions.text import chunk_starts, html_to_markdown
+from sheaf.operators import office
 from sheaf.operators import tables as tb
 from sheaf.operators import tasks as tk
 from sheaf.plans.common import flat
-from sheaf.plans.fixtures import table_cells, table_places, task_events
+from sheaf.plans.fixtures import (memlog_files, package_members, requests, responses, table_cells, table_places, task_events,
+                                  workbook_members)
+from sheaf.session import ensure_checkpoint_dir
 from sheaf.sources.tables import load_table
+from sheaf.streaming import folds
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 100
 
@@ -29,6 +36,15 @@ def _results(s, d):
     return docs.select(F.col("doc_id").alias("task_id"), F.col("n_chars").alias("result_chars"))
 
 
+def _streamed(s, d, build):
+    """The rows that a stream over the memory log's files puts out until it has read them all."""
+    folder = f"{ensure_checkpoint_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    memlog_files(s, d, f"{folder}/in")
+    df = build(f"{folder}/in")
+    df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return s.read.schema(df.schema).parquet(f"{folder}/out")
+
+
 QUERIES = {
     "table_metadata": lambda s, d: tb.table_metadata(table_cells(s, d), table_places(s, d)).select(
         "table_id", "num_rows", "num_columns", F.array_join("headers", "|").alias("headers"), "has_headers",
@@ -43,6 +59,14 @@ QUERIES = {
         "page_id", html_to_markdown(F.col("html")).alias("md")).select(
         "page_id", F.md5("md").alias("md5"), F.length("md").alias("n_chars")),
     "doc_chunk": _chunks,
+    "responses_scan": lambda s, d: flat(rs.scan_responses(responses(s, d))),
+    "response_select": lambda s, d: flat(responses(s, d).select("doc_id", rs.select_content(F.col("response"), F.col("output_format")).alias("c")).select(
+        "doc_id", "c.content", "c.error", "c.processing_time")),
+    "request_v1": lambda s, d: requests(s, d).select("doc_id", rs.request_v1(F.col("request")).alias("request")),
+    "pptx_to_markdown": lambda s, d: office.slides_markdown(package_members(s, d)),
+    "xlsx_to_cells": lambda s, d: office.sheet_cells(workbook_members(s, d)),
+    "stream_memlog": lambda s, d: flat(_streamed(s, d, lambda path: folds.stream_memlog(s, path)).drop("log_id", "block", "line_no")),
+    "stream_orphans": lambda s, d: flat(_streamed(s, d, lambda path: folds.stream_orphans(folds.stream_memlog(s, path)))),
     "task_status_latest": lambda s, d: flat(tk.latest_status(task_events(s, d))),
     "task_results": lambda s, d: tk.task_results(tk.latest_status(task_events(s, d)), _results(s, d)).select(
         "task_id", "task_status", "result_chars", "has_result"),

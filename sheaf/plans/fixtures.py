@@ -233,3 +233,50 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
           .when(F.col("event_type") == "signup", "pending").otherwise("started"))
     return ev.select(F.col("user_id").alias("task_id"), F.col("ts").alias("event_ts"), F.col("event_id").alias("seq"),
                      st.alias("task_status"), (F.col("value") * 0.002).alias("progress"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a conversion response per document: JSON content as an object, as a string or absent; failures; one in eleven is cut off.
+    ``output_format`` is what the client asked for."""
+    docs = load_table(spark, sf_dir, "documents")
+    did, ds = F.col("doc_id"), F.col("doc_id").cast("string")
+    content = (F.when(did % 3 == 0, F.concat(F.lit('{"id":'), ds, F.lit(',"tags":["a","\u00e9"]}')))
+               .when(did % 3 == 1, F.concat(F.lit('"id '), ds, F.lit('"'))).otherwise(F.lit("null")))
+    body = F.concat(F.lit('{"document":{"md_content":"# '), ds, F.lit('","json_content":'), content, F.lit(',"html_content":"<p>'), ds,
+                    F.lit('</p>"},"status":"'), F.when(did % 7 == 0, "failure").otherwise("success"), F.lit('","processing_time":'),
+                    money(F.col("n_chars")), F.lit(',"errors":['), F.when(did % 7 == 0, F.lit('"parse error"')).otherwise(F.lit("")), F.lit("]}"))
+    formats = F.array(*[F.lit(x) for x in ("json", "markdown", "html", "text", "JSON")])
+    return docs.select(did, F.concat(F.lit("responses/"), ds, F.lit(".json")).alias("source"),
+                       F.when(did % 11 == 5, F.left(body, F.lit(30))).otherwise(body).alias("response"),
+                       F.element_at(formats, (did % 5 + 1).cast("int")).alias("output_format"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a conversion request per document in the old, the new or a mixed shape."""
+    did, ds = F.col("doc_id"), F.col("doc_id").cast("string")
+    http = F.concat(F.lit('"http_sources":[{"url":"http://h/'), ds, F.lit('"}]'))
+    files = F.concat(F.lit('"file_sources":[{"base64_string":"QQ==","filename":"'), ds, F.lit('.pdf"}]'))
+    new = F.concat(F.lit('"sources":[{"kind":"http","url":"https://n/'), ds, F.lit('"}]'))
+    body = F.when(did % 3 == 0, http).when(did % 3 == 1, F.concat(files, F.lit(","), http)).otherwise(F.concat(new, F.lit(","), files))
+    return load_table(spark, sf_dir, "documents").select(did, F.concat(F.lit("{"), body, F.lit(',"options":{"to":"md"}}')).alias("request"))
+
+
+def workbook_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a workbook per fifty parts: shared strings (a name with a character reference), a number and an inline string a row."""
+    part = load_table(spark, sf_dir, "part")
+    k, ks = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    book = F.concat(F.lit("book_"), F.floor(k / 50).cast("long").cast("string"), F.lit(".xlsx"))
+    row = (k % 50 + 1).cast("int").cast("string")
+    rows = part.select(book.alias("path"), k.alias("k"), F.concat(F.lit("<si><t>&#x41;&amp;&#233; "), F.col("p_name"), F.lit("</t></si>")).alias("si"), F.concat(
+        F.lit('<row><c r="A'), row, F.lit('" t="s"><v>@</v></c><c r="B'), row, F.lit('"><v>'), F.col("p_size").cast("string"),
+        F.lit('</v></c><c r="AA'), row, F.lit('" t="inlineStr"><is><t>i'), ks, F.lit("</t></is></c></row>")).alias("row"))
+    books = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "si", "row"))).alias("r"))  # fifty rows
+    strings = F.concat(F.lit("<sst>"), F.array_join(F.transform("r", lambda x: x["si"]), ""), F.lit("</sst>"))
+    sheet = F.concat(F.lit("<sheetData>"), F.array_join(F.transform("r", lambda x, i: F.replace(x["row"], F.lit("@"), i.cast("string"))), ""), F.lit("</sheetData>"))
+    member = lambda name, content: F.struct(F.lit(name).alias("member"), content.alias("content"))
+    return books.select("path", F.inline(F.array(member("xl/sharedStrings.xml", strings), member("xl/worksheets/sheet1.xml", sheet))))
+
+
+def memlog_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """F1 as text files in ``folder``, lines in order within each."""
+    memlog_text(spark, sf_dir).repartitionByRange(4, "line_no").sortWithinPartitions("line_no").select("line").write.text(folder)

@@ -47,3 +47,24 @@ def test_json_and_table_writers(spark, tmpdir_path):  # K7, K8
     tb.write_table_exports(tb.to_csv_lines(cells), tmpdir_path, "csv")
     text = "".join(open(p).read() for p in sorted(glob.glob(f"{tmpdir_path}/kind=tables/fmt=csv/table_id=t1/part-*")))
     assert text == 'k,v\n1,"a,b"\n2,c\n'
+
+
+def test_character_references(spark):
+    from sheaf.functions.text import xml_unescape
+    texts = ["&#65;&#x42;", "&amp;#65;", "a &#233;&lt; &#x1F600; z", "&#0;&#xD800;&#x110000;&#99999999;", "&#x;&#;&", "plain & simple", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.u for r in df.select("i", xml_unescape(F.col("t")).alias("u")).orderBy("i").collect()]
+    assert got == ["AB", "&#65;", "a é< 😀 z", "&#0;&#xD800;&#x110000;&#99999999;", "&#x;&#;&", "plain & simple", "", None]
+
+
+def test_sorted_results_keep_their_order(spark):
+    """What a sort promises is the order of the rows, not only the rows."""
+    import __spark_entry__ as entry
+    queries, sf = entry.queries(), "/root/testdata/sf0.001"
+    rows = {k: queries[k](spark, sf).collect() for k in ("conv_detail_sorted", "culprits_sorted", "entries_sorted", "files_sorted", "top_culprits")}
+    assert [(not r.has_links, r.filename) for r in rows["conv_detail_sorted"]] == sorted((not r.has_links, r.filename) for r in rows["conv_detail_sorted"])
+    assert [-r.rss_delta_mb for r in rows["culprits_sorted"]] == sorted(-r.rss_delta_mb for r in rows["culprits_sorted"])
+    assert [(r.ts, r.line_no) for r in rows["entries_sorted"]] == sorted((r.ts, r.line_no) for r in rows["entries_sorted"])
+    assert [r.path for r in rows["files_sorted"]] == sorted(r.path for r in rows["files_sorted"])
+    assert [r["rank"] for r in rows["top_culprits"]] == sorted(r["rank"] for r in rows["top_culprits"])
+    assert all(len(r) for r in rows.values())
