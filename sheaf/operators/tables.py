@@ -48,8 +48,11 @@ def table_rows(cells: DataFrame) -> DataFrame:
     """
     rows = cells.groupBy("table_id", "row_ix").agg(
         F.sort_array(F.collect_list(F.struct("col_ix", F.coalesce("cell", F.lit("")).alias("cell")))).alias("_given"))
-    grid = F.transform("cols", lambda c: F.coalesce(
+    own = F.transform("_given", lambda x: x["col_ix"])
+    gaps = F.transform("cols", lambda c: F.coalesce(
         F.get(F.filter("_given", lambda x: x["col_ix"] == c), F.lit(0))["cell"], F.lit("")))
+    # only a row with gaps or repeats looks its columns up
+    grid = F.when(own == F.col("cols"), F.transform("_given", lambda x: x["cell"])).otherwise(gaps)
     return rows.join(headers(cells), "table_id").select("table_id", "row_ix", "headers", grid.alias("cells"))
 
 

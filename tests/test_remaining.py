@@ -60,7 +60,7 @@ def test_character_references(spark):
 def test_sorted_results_keep_their_order(spark):
     """What a sort promises is the order of the rows, not only the rows."""
     import __spark_entry__ as entry
-    queries, sf = entry.queries(), "/root/testdata/sf0.001"
+    queries, sf = entry.queries(), "/root/testdata/sf0.01"
     rows = {k: queries[k](spark, sf).collect() for k in ("conv_detail_sorted", "culprits_sorted", "entries_sorted", "files_sorted", "top_culprits")}
     assert [(not r.has_links, r.filename) for r in rows["conv_detail_sorted"]] == sorted((not r.has_links, r.filename) for r in rows["conv_detail_sorted"])
     assert [-r.rss_delta_mb for r in rows["culprits_sorted"]] == sorted(-r.rss_delta_mb for r in rows["culprits_sorted"])
