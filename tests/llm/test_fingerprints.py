@@ -1,3 +1,4 @@
+import numpy as np
 import hashlib
 import random
 
@@ -48,3 +49,45 @@ def test_next_document_and_edges(spark, monkeypatch):
     one = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert fp.document_fingerprints(one).first().near_next == 1.0
     assert fp.document_fingerprints(one.union(one)).count() == 2 and fp.document_fingerprints(one.limit(0)).count() == 0
+
+
+def plain_fingerprint(data):
+    """The fingerprint byte by byte: every window's hash, every chunk's hash."""
+    from sheaf.llm import fingerprints as fp
+    from sheaf.llm.textbytes import mix, powers
+    if not data:
+        return "3::"
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    m32, m64 = (1 << 32) - 1, (1 << 64) - 1
+
+    def rolled(i):
+        h = 0
+        for k in range(min(7, i + 1)):
+            h = (h + (data[i - k] + 1) * pow(0x01000193, k, 1 << 32)) & m32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D & m32
+        return h ^ h >> 13
+    base = int(powers(2)[0][1])
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(size):
+        out, chunk = "", []
+        for i, c in enumerate(data):
+            chunk.append(c)
+            if rolled(i) % size == size - 1 or i == len(data) - 1:
+                total = sum((x + 1) * pow(base, k, 1 << 64) for k, x in enumerate(chunk)) & m64
+                out += alphabet[int(mix(np.array([total], np.uint64))[0]) >> 58]
+                chunk = []
+        return out
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def test_fingerprint_byte_by_byte():
+    from sheaf.llm.fingerprints import fingerprint
+    rng = random.Random(12)
+    samples = [b"", b"a", b"ab" * 40, bytes(range(256)), "é😀".encode() * 30] + [rng.randbytes(rng.randrange(1, 700)) for _ in range(40)]
+    samples += [b"the quick brown fox " * k for k in (1, 7, 40)]
+    for data in samples:
+        assert fingerprint(data) == plain_fingerprint(data)
