@@ -51,7 +51,7 @@ def carry_in(tails: DataFrame, keys: list[str], bucket: str, combine: Callable[[
     ``combine(tail, bucket)`` aggregates a group, ``scan(x, window)`` aggregates over a window in order, ``merge(near, far)`` joins the
     carry within a group to the group's own.
     """
-    dealt = bucket_groups(cut_lineage(tails), bucket)
+    dealt = bucket_groups(tails, bucket)
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     groups = dealt.groupBy(*keys, "_g").agg(combine(F.col("_tail"), F.col(bucket)).alias("_all"))
     entering = groups.select(*keys, "_g", scan(F.col("_all"), before(*keys).orderBy("_g")).alias("_far"))

@@ -61,6 +61,13 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that is no longer needed, in whatever store Spark wrote it."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _SHIPPED: set = set()
 
 
