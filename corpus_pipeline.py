@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
 
 Intermediate tables go to the shared folder that the session names in
-``spark.checkpoint.dir``, one new folder a run. A stage takes ``(spark, docs, sf_dir)``; all but
+``spark.checkpoint.dir``, one new folder a run; a stage's input goes once its output is written. A stage takes ``(spark, docs, sf_dir)``; all but
 the last return the columns of ``documents``. Null and empty texts pass the filters (they are
 neither toxic nor copies of anything); rows without a doc_id do too. Tables that the stages
 train on are read from ``sf_dir``.
@@ -21,7 +21,7 @@ from sheaf.llm.minhash_dedup import NearDup, drop_near_duplicates
 from sheaf.llm.packing import pack
 from sheaf.llm.queries import vocabulary
 from sheaf.llm.toxicity import learn, tag
-from sheaf.session import ensure_checkpoint_dir, ship_package
+from sheaf.session import drop_path, ensure_checkpoint_dir, ship_package
 from sheaf.sources.tables import load_table
 
 
@@ -73,9 +73,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last one."""
     ship_package(spark)
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = load_table(spark, sf_dir, "documents")
+    docs, before = load_table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
