@@ -39,6 +39,8 @@ from sheaf.session import cut_lineage
 PAD = np.uint64(2 ** 64 - 1)
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1_000_000
+PIVOT_SALTS = 32
+"""Parts that the members of a long list are dealt into where they meet its pivot."""
 SMALL = 24
 STAR = -1
 """Stands for the second block where the rows of a block meet a pivot only."""
@@ -220,9 +222,12 @@ def candidate_links(reps: DataFrame, params: NearDup) -> DataFrame:
     star = None
     if not lists.where(F.col("_n") > BLOCK_ROWS).isEmpty():
         long = cut_lineage(entries.join(lists.where(F.col("_n") > BLOCK_ROWS).select("value", "pivot"), "value"))
-        to_pivot = long.where("doc_id <> pivot").select("doc_id", "pivot").distinct().join(facts, "doc_id").join(
-            facts.select(F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("_n_shingles"),
-                         F.col("sketch").alias("_sketch")), "pivot")
+        # a pivot's sketch is laid beside its members in many tasks: a list may hold a third of all documents
+        heads = facts.join(long.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
+            F.col("doc_id").alias("pivot"), F.col("n_shingles").alias("_n_shingles"), F.col("sketch").alias("_sketch"),
+            F.explode(F.sequence(F.lit(0), F.lit(PIVOT_SALTS - 1))).alias("_salt"))
+        to_pivot = long.where("doc_id <> pivot").select("doc_id", "pivot").distinct().join(facts, "doc_id").withColumn(
+            "_salt", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOT_SALTS)).cast("int")).join(heads, ["pivot", "_salt"])
         star = cut_lineage(to_pivot.mapInArrow(stars, "u long, v long"))
         parts = connected_components(star)
         long = cut_lineage(long.join(parts, long["doc_id"] == parts["node"], "left").select(
