@@ -127,3 +127,11 @@ _STREAMED = F1_TYPED.replace("e as (select * from e0 where log_type is not null)
 ORACLE["stream_orphans"] = "with " + _STREAMED + """ select job_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') start_time,
   round(rss_at_start, 6) rss_at_start, round(vms_at_start, 6) vms_at_start, round(memory_percent_at_start, 6) memory_percent_at_start,
   round(system_available_at_start, 6) system_available_at_start from orph where start_time + interval 300 seconds < (select wm from wm)"""
+
+_SHEETS = """with x as (select p_partkey // 50 b, p_partkey % 50 r, 'A&é ' || p_name a, cast(p_size as varchar) s, 'i' || cast(p_partkey as varchar) i from part),
+y as (select 'book_' || cast(b as varchar) || '.xlsx#1' table_id, cast(r - min(r) over (partition by b) as bigint) line_ix, a, s, i from x)"""
+
+ORACLE["sheet_to_csv"] = _SHEETS + " select table_id, line_ix, a || ',' || s || ',' || i line from y"
+
+ORACLE["sheet_to_markdown"] = _SHEETS + """ select table_id, line_ix, '| ' || a || ' | ' || s || ' | ' || i || ' |'
+  || case when line_ix = 0 then chr(10) || '| --- | --- | --- |' else '' end line from y"""

@@ -15,7 +15,7 @@ from sheaf.operators import tasks as tk
 from sheaf.plans.common import flat
 from sheaf.plans.fixtures import (memlog_files, package_members, requests, responses, table_cells, table_places, task_events,
                                   workbook_members)
-from sheaf.session import ensure_checkpoint_dir
+from sheaf.session import cut_lineage, ensure_checkpoint_dir
 from sheaf.sources.tables import load_table
 from sheaf.streaming import folds
 
@@ -36,6 +36,10 @@ def _results(s, d):
     return docs.select(F.col("doc_id").alias("task_id"), F.col("n_chars").alias("result_chars"))
 
 
+def _sheet_tables(s, d):
+    return cut_lineage(office.sheet_tables(office.sheet_cells(workbook_members(s, d))))
+
+
 def _streamed(s, d, build):
     """The rows that a stream over the memory log's files puts out until it has read them all."""
     folder = f"{ensure_checkpoint_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
@@ -65,6 +69,9 @@ QUERIES = {
     "request_v1": lambda s, d: requests(s, d).select("doc_id", rs.request_v1(F.col("request")).alias("request")),
     "pptx_to_markdown": lambda s, d: office.slides_markdown(package_members(s, d)),
     "xlsx_to_cells": lambda s, d: office.sheet_cells(workbook_members(s, d)),
+    # spreadsheets end to end: members, cells, tables, exports
+    "sheet_to_csv": lambda s, d: tb.to_csv_lines(_sheet_tables(s, d)),
+    "sheet_to_markdown": lambda s, d: tb.to_markdown_lines(_sheet_tables(s, d)),
     "stream_memlog": lambda s, d: flat(_streamed(s, d, lambda path: folds.stream_memlog(s, path)).drop("log_id", "block", "line_no")),
     "stream_orphans": lambda s, d: flat(_streamed(s, d, lambda path: folds.stream_orphans(folds.stream_memlog(s, path)))),
     "task_status_latest": lambda s, d: flat(tk.latest_status(task_events(s, d))),
