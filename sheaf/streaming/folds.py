@@ -28,9 +28,10 @@ def stream_memlog(spark: SparkSession, path: str, **parse_args) -> DataFrame:
 def _orphan_step(max_age_s: float):
     limit_ms = int(max_age_s * 1000)
 
-    def step(st, rows: pd.DataFrame, wm):
+    def step(st, rows: pd.DataFrame, wm, more):
         # st: {"latest": ts_ms of the newest START, "open": {ts_ms: attrs}}. Rows with one
         # timestamp always arrive in the same call, so keys closed here cannot reopen later.
+        # Only the newest START can still be closed, so the others leave before more rows come.
         opened = st.setdefault("open", {})
         closed = set()
         for r in rows.itertuples(index=False):
@@ -44,7 +45,7 @@ def _orphan_step(max_age_s: float):
                 closed.add(st["latest"])
         out = []
         for key in sorted(list(opened), key=int):
-            if int(key) + limit_ms < wm:
+            if int(key) + limit_ms < wm and not (more and key == st["latest"]):
                 a = opened.pop(key)
                 nz = lambda v: 0.0 if v is None or v != v else float(v)
                 out.append({"start_ms": int(key), "rss_at_start": nz(a[0]), "vms_at_start": nz(a[1]),
@@ -86,7 +87,7 @@ def stream_orphans(entries: DataFrame, *, max_age_s: float = MAX_AGE_S, watermar
 
 
 def _monitor_step(log_interval_s: float):
-    def step(st, rows, wm):
+    def step(st, rows, wm, more):
         out = []
         for r in rows.itertuples(index=False):
             t = r.epoch_s
@@ -120,7 +121,7 @@ def monitor_emissions(samples: DataFrame, *, log_interval_s: float = LOG_INTERVA
 
 
 def _spike_step(step_mb: float):
-    def step(st, rows, wm):
+    def step(st, rows, wm, more):
         out = []
         last = st.get("last", 0.0)
         for r in rows.itertuples(index=False):
