@@ -73,15 +73,19 @@ def text_stats(docs: DataFrame) -> DataFrame:
         run, "doc_id long, " + ", ".join(f"{k} long" for k in STATS))
 
 
-def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """doc_id and label (0 or 1) of at most ``bound`` rows outside the held-out fifth, by a hash of doc_id.
+def labelled_rows(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and label (0 or 1) of all rows outside the held-out fifth.
 
     Rows without a doc_id or with another label are left out; of repeated doc_ids one row stays.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
-    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """At most ``bound`` of ``labelled_rows``, by a hash of doc_id."""
+    return labelled_rows(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
 def held_out():

@@ -120,3 +120,66 @@ def test_first_condition_by_trying_all():
             inside = rule[0].holds(rows)
             p1, t1 = int((inside & bad).sum()), int(inside.sum())
             assert abs(p1 * (math.log2(p1 / t1) - math.log2(p / total)) - best) < 1e-9
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """More rows than any sample once held: those with the other label come last by the hash that used to pick it."""
+    from pyspark.sql import functions as F
+
+    from sheaf.llm.textstats import held_out
+    ids = spark.range(26_500).select(F.col("id").alias("doc_id"), held_out().alias("held"), F.xxhash64("id").alias("h")).collect()
+    learned = sorted((r.h, r.doc_id) for r in ids if not r.held)
+    last = {d for _, d in learned[20_000:]}
+    assert len(last) > 500
+    docs = spark.createDataFrame([(r.doc_id, "## $$ ##" if r.doc_id in last else "some plain words") for r in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.doc_id, int(r.doc_id not in last)) for r in ids], "doc_id long, quality int")
+    out, model = qc.quality_scores(docs, labels)
+    assert model.terms
+    assert {(r.doc_id in last, r.predicted) for r in out.where("not held_out").collect()} == {(True, 0), (False, 1)}
+
+
+def test_learned_weights_and_threshold_by_plain_loops(spark):
+    """With blocks of few rows and a rare label: each row has its pairs, the weights are a minimum, no cut makes fewer errors."""
+    rng = np.random.default_rng(6)
+    n, names = 300, sorted(qc.columns())
+    good = rng.random(n) < 0.9
+    x = rng.gamma(2, 0.5, (n, len(names))) + good[:, None] * rng.random(len(names))
+    x[:, 3] = 0.5
+    rows = spark.createDataFrame([(i, int(g), r) for i, (g, r) in enumerate(zip(good, x.tolist()))], "doc_id long, label int, x array<double>")
+    params = qc.Ranking(knots=2, block=40, panel=6)
+    model = qc.learn(rows, params)
+    assert model.terms and not any(name == names[3] for name, _, _ in model.terms)
+    blocks = {}
+    for r in qc._blocks(rows, int(good.sum()), int((~good).sum()), params).collect():
+        blocks.setdefault(r.block, []).append(r)
+    assert len(blocks) == 8 and sum(r.first for b in blocks.values() for r in b) == n
+    hinges = lambda v: np.stack([np.maximum(np.asarray(v)[:, names.index(name)] - knot, 0) for name, knot, _ in model.terms], 1)
+    spread, diffs = hinges(x).std(0), []
+    for b in blocks.values():
+        label = np.array([r.label == 1 for r in b])
+        assert 0 < label.sum() < len(label)
+        diffs += list(qc.block_pairs_of(hinges([r.x for r in b]), label, params.rounds))
+    diffs = np.concatenate(diffs)
+    loss = lambda w: np.logaddexp(0, -diffs @ w).mean() + params.ridge * ((w * spread) ** 2).sum() / 2
+    weights = np.array([w for _, _, w in model.terms])
+    for k in range(len(weights)):
+        for step in (-0.02, 0.02):
+            assert loss(weights + step * (np.arange(len(weights)) == k)) > loss(weights)
+    scores = hinges(x) @ weights
+    wrong = lambda cut: sum((s >= cut) != g for s, g in zip(scores, good))
+    assert wrong(model.threshold) == min(wrong(c) for c in [*scores, max(scores) + 1])
+
+
+def test_pairs_leave_no_row_out():
+    for g, p in ((1, 1), (1, 7), (5, 3), (8, 8)):
+        x = np.eye(g + p)
+        for a in qc.block_pairs_of(x, np.arange(g + p) < g, 4):
+            assert (a != 0).any(0).all() and len(a) == max(g, p)
+
+
+@pytest.mark.parametrize("rows, want", [
+    ([(1.0, 0), (2.0, 1)], 1.5), ([(1.0, 1), (2.0, 0)], 0.0), ([(1.0, 0), (2.0, 0), (3.0, 1), (4.0, 0)], 2.5),
+    ([(1.0, 0)] * 3 + [(1.0, 1)], 2.0), ([(float(i), int(i > 40)) for i in range(90)], 40.5)])
+def test_best_threshold(spark, rows, want):
+    good = sum(y for _, y in rows)
+    assert qc.best_threshold(spark.createDataFrame(rows, "s double, label int").repartition(7), good, len(rows) - good) == want
