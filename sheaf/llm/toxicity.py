@@ -8,12 +8,13 @@ tokens. Forward-backward marginals of every token of a whole text give its offen
 aggregated, the document's score by a logistic fit to the documents' labels.
 
 Words are runs of ASCII letters and of bytes from 0x80 on, in lower case; sentences end at
-``. ! ?`` and line ends. Training takes a bounded sample of labelled rows to the driver; tagging
+``. ! ?`` and line ends. Training takes a bounded sample of labelled rows to one task; tagging
 runs where the texts are.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -177,13 +178,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, params: Tagging = Tagging()) -> Tagger:
-    """A tagger from at most ``params.sample`` labelled rows outside the held-out fifth; without toxic ones it tags none."""
+    """A tagger from at most ``params.sample`` labelled rows outside the held-out fifth; without toxic ones it tags none.
+
+    A task trains it: only the tagger comes to the driver, neither the texts nor the memory that training takes.
+    """
     sample = labelled_sample(labels, "toxic", params.sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select(
         "text", "label")
     # copies of a text would count as so many witnesses
-    found = rows.groupBy("text").agg(F.max("label").alias("label")).orderBy(F.xxhash64("text"), "text").toArrow()
-    return train_tagger(found.column("text"), found.column("label").to_numpy() == 1, params)
+    found = rows.groupBy("text").agg(F.max("label").alias("label"))
+
+    def train_one(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            t = pa.Table.from_batches(held)
+            tagger = train_tagger(t.column("text"), t.column("label").to_numpy() == 1, params)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tagger)], pa.binary())], ["tagger"])
+
+    made = found.repartition(1).sortWithinPartitions(F.xxhash64("text"), "text").mapInArrow(train_one, "tagger binary").collect()
+    return pickle.loads(made[0]["tagger"]) if made else Tagger()
 
 
 def train_tagger(texts: pa.ChunkedArray, toxic: np.ndarray, params: Tagging = Tagging()) -> Tagger:

@@ -121,3 +121,26 @@ def test_query_returns_spans(spark, tmp_path):
     assert len(got) == 301 and all(r.n_spans == len(r.spans) for r in got)
     found = [texts[r.doc_id][s.start: s.start + s.length].lower() for r in got for s in r.spans]
     assert found and all(any(w.startswith(("vile", "vermin", "qux")) for w in x.split()) for x in found)
+
+
+def test_a_task_trains_the_tagger(spark, monkeypatch):
+    """The driver gets the tagger only, no texts; it is the one that the rows in their order give."""
+    from pyspark.sql import functions as F
+
+    from sheaf.llm.textstats import labelled_sample
+    from sheaf.llm.toxicity import learn
+    made = corpus(300, 4)
+    docs = spark.createDataFrame([(r[0], r[1]) for r in made[0]], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], int(r[1])) for r in made[1]], "doc_id long, toxic int")
+    rows = docs.join(labelled_sample(labels, "toxic", 5000), "doc_id").groupBy("text").agg(F.max("label").alias("label")).orderBy(
+        F.xxhash64("text"), "text").collect()
+    want = train_tagger(pa.chunked_array([pa.array([r.text for r in rows])]), np.array([r.label == 1 for r in rows]))
+
+    def refuse(self, *args, **kwargs):
+        raise AssertionError("rows come to the driver")
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    monkeypatch.setattr(type(docs), "toPandas", refuse)
+    got = learn(docs, labels)
+    assert got.stems and got.stems.keys() == want.stems.keys() and all((got.stems[k] == want.stems[k]).all() for k in want.stems)
+    assert (got.words == want.words).all() and np.allclose(got.weights, want.weights) and np.allclose(got.logistic, want.logistic)
+    assert learn(docs, labels.limit(0)).stems == {}
